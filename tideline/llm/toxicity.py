@@ -8,7 +8,7 @@ every maximal passage of positive score, where a word without weight costs
 ``DRIFT``.  By extreme-value theory the best passage of a clean text of n words
 has score S or more with expectation E = K n exp(-lambda S); -log E of the best
 and of each further significant passage add up to a document's evidence, and a
-logistic curve turns that into the chance of label 1.
+logistic curve of its root gives the chance of label 1.
 
 Weights are fitted in two halves of the training rows.  lambda, K and the curve
 come from training rows scored with the other half's weights; all documents are
@@ -116,7 +116,7 @@ def weights(counts: DataFrame, base: dict[str, float]) -> dict[str, tuple[np.nda
 
 
 def word_scores(w: tokens.Words, model: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Each word's weight less the drift."""
+    """Each word's weight less the drift; zero for a weighty word's repeats."""
     known, weight, kinds, kind_weight = model
     out = np.zeros(len(w.hash))
     if len(kinds) and len(out):
@@ -126,6 +126,12 @@ def word_scores(w: tokens.Words, model: tuple[np.ndarray, ...]) -> np.ndarray:
     if len(known) and len(out):
         at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
         out = np.where(known[at] == w.hash, weight[at], out)
+    # a word says it once: its repeats in a document neither add nor cost
+    heavy = np.flatnonzero(out > DRIFT)
+    _, first = np.unique(w.hash[heavy] + tokens.mix(w.row[heavy].astype(np.uint64)), return_index=True)
+    again = np.ones(len(heavy), bool)
+    again[first] = False
+    out[heavy[again]] = DRIFT
     return out - DRIFT
 
 
@@ -181,11 +187,12 @@ def decay(seen: np.ndarray, n: float) -> float:
 
 
 def evidence(found: list[float], n: int, lam: float, k: float) -> float:
-    """-log E of the best passage, and of each further significant one."""
+    """The root of -log E of the best passage plus that of each further significant one."""
     if not len(found) or n <= 0:
         return 0.0
     x = np.sort(lam * np.asarray(found) - math.log(max(k * n, 1e-12)))[::-1]
-    return float(max(0.0, x[0]) + x[1:][x[1:] > -math.log(SIGNIFICANT)].sum())
+    # the root keeps texts with many passages from setting the curve's slope
+    return math.sqrt(max(0.0, x[0]) + x[1:][x[1:] > -math.log(SIGNIFICANT)].sum())
 
 
 def curve(x: np.ndarray, ones: np.ndarray, all_: np.ndarray) -> tuple[float, float]:
