@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import hidden, let, shown
+from tideline.llm.common import hidden, let, settle, shown
 
 # Frequent words of four languages, and the symbols of the contract.
 COMMON = (
@@ -36,7 +36,7 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"[0-9]", "mark": r"[.,;:!?'\"()-]"}
 MAX_LANGUAGES = 1000
 MIN_CHARS, MIN_WORDS = 200, 100
 #: Distances above these reject a document.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.75
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.5
 WINDOW = 8
 
 
@@ -85,7 +85,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     sums = [F.sum(F.col("_kinds")[i]).alias(f"k{i}") for i in range(n)] + [F.sum(F.col("_common")[i]).cast("long").alias(f"c{i}") for i in range(m)]
     # of all documents: the rollup's total, from the same partial sums
     by = x.withColumn("_l", F.col(lang)).rollup("_l").agg(F.grouping("_l").alias("_all"), *sums)
-    shape = by.select("_l", "_all", F.array(*(f"k{i}" for i in range(n))).alias("_rk"), F.array(*(f"c{i}" for i in range(m))).alias("_rc"))
+    # a row a language; written once, as the judging reads it twice
+    shape = settle(by.select("_l", "_all", F.array(*(f"k{i}" for i in range(n))).alias("_rk"), F.array(*(f"c{i}" for i in range(m))).alias("_rc")), "references")
     own = shape.where("_all = 0 AND _l IS NOT NULL").orderBy(F.desc(F.aggregate("_rk", F.lit(0).cast("long"), lambda a, v: a + v)), "_l").limit(MAX_LANGUAGES)
     return own.unionByName(shape.where("_all = 1").withColumn("_l", F.lit(None).cast("string"))).drop("_all")
 
