@@ -27,9 +27,14 @@ def _z(y: Column, eta: Column, sigma: Column, tail: str) -> Column:
     return (y - eta) * float(_sign(tail)) / sigma
 
 
+def _not_zero(xi: Column) -> Column:
+    """For the branch that zero doesn't take, but that may be folded."""
+    return F.when(xi == 0, 1.0).otherwise(xi)
+
+
 def _log_p(z: Column, xi: Column) -> Column:
     """log of the exceedance rate p, inside the support."""
-    return F.when(xi == 0, -z).otherwise(-F.log1p(xi * z) / xi)
+    return F.when(xi == 0, -z).otherwise(-F.log1p(xi * z) / _not_zero(xi))
 
 
 def logpdf(y: Column, eta: Column, sigma: Column, xi: Column, tail: str = "upper") -> Column:
@@ -60,7 +65,7 @@ def ppf(p: Column, eta: Column, sigma: Column, xi: Column, tail: str = "upper")
     s = _sign(tail)
     rate = -F.log(p) if s > 0 else -F.log1p(-p)  # of the upper form's exceedance
     w = F.log(rate)
-    x = F.when(xi == 0, -w).otherwise(F.expm1(-xi * w) / xi)
+    x = F.when(xi == 0, -w).otherwise(F.expm1(-xi * w) / _not_zero(xi))
     return F.when((sigma > 0) & (p > 0) & (p < 1), s * (s * eta + sigma * x)).otherwise(NAN)
 
 

@@ -34,7 +34,7 @@ def _scores(x: DataFrame, key: list[str], value: str) -> DataFrame:
 def _rhat(x: DataFrame, key: list[str]) -> DataFrame:
     per = x.groupBy(*key, "chain", "part").agg(F.avg("_z").alias("m"), F.var_samp("_z").alias("v"), F.count(F.lit(1)).alias("n"))
     g = per.groupBy(*key).agg(F.var_samp("m").alias("b"), F.avg("v").alias("w"), F.max("n").alias("n"), F.countDistinct("chain").alias("chains"))
-    value = F.sqrt((F.col("n") - 1) / F.col("n") + F.col("b") / F.col("w"))
+    value = F.sqrt((F.col("n") - 1) / F.col("n") + F.try_divide("b", "w"))
     return g.select(*key, F.when(F.col("w") <= 0, F.when(F.col("b") <= 1e-300, 1.0).otherwise(float("inf"))).otherwise(value).alias("r"), "chains")
 
 
@@ -62,9 +62,9 @@ def _ess(x: DataFrame, key: list[str], z: str) -> DataFrame:
     per = per.withColumn("acov", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lagged))
     g = per.groupBy(*key).agg(F.collect_list("acov").alias("a"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.var_samp("m").alias("b"))
     at = lambda t: F.aggregate(F.transform("a", lambda v: F.get(v, t)), F.lit(0.0), lambda s, v: s + v) / F.col("k")
-    g = g.withColumn("within", at(F.lit(0)) * F.col("n") / (F.col("n") - 1))
+    g = g.withColumn("within", at(F.lit(0)) * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)))
     g = g.withColumn("plus", F.col("within") * (F.col("n") - 1) / F.col("n") + F.coalesce("b", F.lit(0.0)))
-    rho = lambda t: F.when(t == 0, 1.0).otherwise(1 - (F.col("within") - at(t)) / F.col("plus"))
+    rho = lambda t: F.when(t == 0, 1.0).otherwise(1 - F.try_divide(F.col("within") - at(t), F.col("plus")))
     g = g.withColumn("rho", F.transform(F.sequence(F.lit(0), F.col("n") - 1), rho))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.col("n") / 2) - 1, F.lit(0)).cast("int")), lambda i: F.get("rho", 2 * i) + F.coalesce(F.get("rho", 2 * i + 1), F.lit(0.0)))
     # positive pairs from the first on, none above the one before

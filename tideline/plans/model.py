@@ -182,7 +182,7 @@ class Component(Protocol):
 
 
 def _start(p: Normal | Fixed) -> tuple[float, float]:
-    return (p.mean, p.sd**2) if isinstance(p, Normal) else (p.value, 0.0)
+    return (float(p.mean), float(p.sd) ** 2) if isinstance(p, Normal) else (float(p.value), 0.0)
 
 
 def _mode(mode: str, *more: str) -> str:
