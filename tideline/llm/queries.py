@@ -35,7 +35,8 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-    return quality.judge(table(spark, sf_dir, "documents")).select(*names)
+    x = quality.judge(table(spark, sf_dir, "documents")).select(*names)
+    return x.withColumns({c: F.round(c, 6) for c in names[-2:]})
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +99,57 @@ ORACLE_SQL = {
  FROM canon c LEFT JOIN fit f ON f.page_id = c.page_id AND f.k = 1 LEFT JOIN listed l ON l.key = c.key
 """,
 }
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL["op10_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM documents),
+ b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '{_ALNUM}') AS w FROM benchmark),
+ bw AS (SELECT DISTINCT item, least(len(w), 10) AS k, w[i : i + least(len(w), 10) - 1] AS win FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(i) WHERE len(w) > 0),
+ dw AS (SELECT doc_id, i, k, w[i : i + k - 1] AS win FROM d, (SELECT DISTINCT k FROM bw), unnest(range(1, len(w) - k + 2)) AS r(i)),
+ hits AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.win = bw.win),
+ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM hits), unnest(range(i, i + k)) AS r(p) GROUP BY 1),
+ s AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+ORACLE_SQL["op7_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+ x AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS win FROM d, unnest(range(1, len(w) - 18)) AS r(i)),
+ late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM x) WHERE k > 1),
+ gone AS (SELECT DISTINCT doc_id, p FROM late, unnest(range(i, i + 20)) AS r(p)),
+ words AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+ kept AS (SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.i WHERE g.p IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _quality_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    count = lambda pattern: f"CAST(len(regexp_extract_all(t, {quote(pattern)})) AS BIGINT)"
+    common = "[" + ", ".join(map(quote, quality.COMMON)) + "]"
+    n_kinds, n_common = len(quality.CLASSES) + 3, len(quality.COMMON) + 1
+    plogp = lambda x: f"(CASE WHEN {x} > 0 THEN {x} * log2(CASE WHEN {x} > 0 THEN {x} ELSE 1 END) ELSE 0 END)"
+    dist = lambda a, b, n: (
+        f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda i: ({plogp(f'({a}[i] / list_sum({a}))')} + {plogp(f'({b}[i] / list_sum({b}))')}) / 2 - {plogp(f'(({a}[i] / list_sum({a}) + {b}[i] / list_sum({b})) / 2)')})))) END"
+    )
+    kinds = ["length(t) - word_chars", *(f"c_{c}" for c in quality.CLASSES), "n_symbols"]
+    rest = "word_chars - n_symbols - " + " - ".join(f"c_{c}" for c in quality.CLASSES)
+    sums = lambda col, n: "[" + ", ".join(f"sum({col}[{i}])" for i in range(1, n + 1)) + "]"
+    return f"""
+WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+ b AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {count(quality.SYMBOLS)} AS n_symbols, {", ".join(f"{count(p)} AS c_{c}" for c, p in quality.CLASSES.items())}, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS lines FROM a),
+ c AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, [{", ".join(kinds)}, {rest}] AS kinds, list_filter(w, lambda x: list_contains({common}, x)) AS found FROM b),
+ e AS (SELECT *, list_append(list_transform({common}, lambda x: len(list_filter(found, lambda y: y = x))), len(w) - len(found)) AS common FROM c),
+ x AS (SELECT doc_id, i, w[i : i + 7] AS win FROM a, unnest(range(1, len(w) - 6)) AS r(i)),
+ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM x) WHERE k > 1),
+ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 8)) AS r(p) GROUP BY 1),
+ ref AS (SELECT lang, {sums('kinds', n_kinds)} AS rk, {sums('common', n_common)} AS rc FROM e WHERE lang IS NOT NULL GROUP BY 1),
+ every AS (SELECT {sums('kinds', n_kinds)} AS pk, {sums('common', n_common)} AS pc FROM e),
+ g AS (SELECT e.*, coalesce(rep.n, 0) AS n_repeat_words, coalesce(rk, pk) AS rk, coalesce(rc, pc) AS rc FROM e LEFT JOIN rep USING (doc_id) LEFT JOIN ref ON ref.lang = e.lang CROSS JOIN every),
+ h AS (SELECT *, CASE WHEN length(t) >= {quality.MIN_CHARS} THEN {dist('kinds', 'rk', n_kinds)} END AS cd, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {dist('common', 'rc', n_common)} END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {quality.MAX_WORD_DISTANCE} AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM h"""
+
+
+ORACLE_SQL["op5_quality_rules"] = _quality_sql()
