@@ -63,3 +63,9 @@ def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def shown(names: dict[str, str], without: tuple[str, ...] = ()) -> list[Column]:
     """The columns of a hidden table under their old names, less those that results replace."""
     return [F.col(h).alias(c) for c, h in names.items() if c not in without]
+
+
+def spread(key: Column, seed: int = 0) -> Column:
+    """60 bits that any SQL engine can repeat: of the MD5 of a key's text (null as the empty text)."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"/{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")

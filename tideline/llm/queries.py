@@ -153,3 +153,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE_SQL["op5_quality_rules"] = _quality_sql()
+
+
+def _spread_sql(key: str, seed: int = 0) -> str:
+    return f"CAST('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '') || '/{seed}'), 1, 15) AS BIGINT)"
+
+
+ORACLE_SQL["op3_mixing"] = f"""
+WITH r AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_SPACED}')), 0) AS BIGINT) AS size, {_spread_sql('doc_id')} AS place FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
+ w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+ t AS (SELECT source, source_size, total, least(cap, coalesce((SELECT max(level) FROM l WHERE cap >= level * w) * w, cap)) AS target FROM l),
+ c AS (SELECT r.*, t.source_size, t.total, t.target, sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+ q AS (SELECT *, (cum + (n - 1) * source_size) / target AS finish FROM c, (SELECT unnest([1, 2, 3]) AS n) WHERE size > 0 AND target > 0 AND n <= ceil(target / source_size)),
+ u AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place, doc_id ROWS UNBOUNDED PRECEDING) AS used, total FROM q), g AS (SELECT doc_id, sum(size) AS taken FROM u WHERE used <= total GROUP BY 1)
+SELECT c.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM c LEFT JOIN g USING (doc_id)"""
+
+
+def _crc_table() -> list[int]:
+    """The checksum of each byte, by its rule: eight steps of the reversed polynomial 0xEDB88320."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_CRC = f"xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), CAST(xor(c, b) & 255 AS BIGINT) + 1)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+ORACLE_SQL["op8_sharding"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST({_CRC} AS BIGINT) AS text_crc32, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, CAST({_spread_sql('doc_id')} % {sharding.SLOTS} AS INTEGER) AS vslot FROM documents),
+ s AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, vslot DESC, n DESC) AS k FROM (SELECT vslot, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM d GROUP BY 1)),
+ p AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(40), lambda x: CAST(0 AS BIGINT)) AS loads, -1 AS vslot, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS shard
+  UNION ALL SELECT s.k, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + s.bytes ELSE v END), s.vslot, s.n, list_position(loads, list_min(loads)) - 1 FROM p JOIN s ON s.k = p.k + 1),
+ m AS (SELECT vslot, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p WHERE vslot >= 0)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard, CAST(shard AS INTEGER) AS shard, CAST(before + row_number() OVER (PARTITION BY vslot ORDER BY doc_id) - 1 AS BIGINT) AS slot, vslot FROM d JOIN m USING (vslot)"""

@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import let, text_bytes
+from tideline.llm.common import let, spread, text_bytes
 
 SLOTS = 4096
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    return F.pmod(spread(key), F.lit(slots)).cast("int")
 
 
 def slot_sizes(records: DataFrame, slot: str = "vslot", size: str = "size") -> DataFrame:
