@@ -102,6 +102,22 @@ def rolling_origins(obs: DataFrame, origins: list[int], horizon: int, forecast:
     return label_union(((str(o), score(forecast(obs.where(F.col("t") <= o), horizon), obs.where((F.col("t") > o) & (F.col("t") <= o + horizon)))) for o in origins), "origin")
 
 
+def linear_benchmark(obs: DataFrame, horizon: int, variance: float, prior: Normal, thresholds: DataFrame | None = None) -> DataFrame:
+    """(channel, t, mean, sd[, threshold, risk]): forecasts of a static line through each channel under a known
+    observation variance, with the chance to pass thresholds (channel, threshold)."""
+    from tideline.functions import normal
+    from tideline.operators.posterior import static_regression
+
+    last = obs.groupBy("channel").agg(F.max("t").alias("last"))
+    line = static_regression(obs.withColumn("x", F.array(F.lit(1.0), F.col("t").cast("double"))), 2, prior, variance)
+    line = line.groupBy("channel").agg(F.max(F.when(F.col("coefficient") == 0, F.col("mean"))).alias("a"), F.max(F.when(F.col("coefficient") == 1, F.col("mean"))).alias("b"))
+    x = line.join(last, "channel").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("t", (F.col("last") + F.col("k")).cast("int"))
+    x = x.select("channel", "t", (F.col("a") + F.col("b") * F.col("t")).alias("mean"), F.lit(variance**0.5).alias("sd"))
+    if thresholds is None:
+        return x
+    return x.join(thresholds, "channel").withColumn("risk", normal.sf(F.col("threshold"), F.col("mean"), F.col("sd")))
+
+
 def prior_horizon(spark: SparkSession, years: list[int], steps_per_year: int, level_sd: float, slope_sd: float) -> DataFrame:
     """(years, steps, level_variance, slope_variance, total): the variance that a random-walk level and
     slope add over a horizon: h q_level and h (h - 1) (2 h - 1) / 6 q_slope, summed step by step."""

@@ -142,3 +142,21 @@ def path_spread(paths: DataFrame) -> DataFrame:
 def coverage_pivot(table: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     """(origin, channel, one column of percentages a level)."""
     return table.groupBy("origin", "channel").pivot("level", list(levels)).agg(F.first(F.col("coverage") * 100))
+
+
+def risk_table(rows: DataFrame, spec: DataFrame, tail: str = "upper", interval: float = 0.95, **family) -> DataFrame:
+    """(channel, t, threshold, tail, mean, lower, upper): conditional risks of each channel's thresholds
+    (channel, threshold), as an export."""
+    x = by_specification(rows, spec, risk(F.col("threshold"), tail, **family))
+    return summarize(x, ["channel", "t", "threshold"], "risk", interval).withColumn("tail", F.lit(tail))
+
+
+def records(obs: DataFrame, period: int) -> DataFrame:
+    """(channel, phase, t, y, highest, lowest, new_high, new_low): records so far within each phase."""
+    x = obs.withColumn("phase", F.pmod("t", F.lit(period)).cast("int"))
+    w = Window.partitionBy("channel", "phase").orderBy("t")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_h", F.max("y").over(before)).withColumn("_l", F.min("y").over(before))
+    return x.select(
+        "channel", "phase", "t", "y", F.greatest("y", "_h").alias("highest"), F.least("y", "_l").alias("lowest"), F.coalesce(F.col("y") > F.col("_h"), F.lit(True)).alias("new_high"), F.coalesce(F.col("y") < F.col("_l"), F.lit(True)).alias("new_low")
+    )

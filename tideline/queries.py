@@ -671,6 +671,28 @@ def coverage_pivot(spark, sf_dir):
     return x.select("origin", "channel", F.round("`0.9`", 4).alias("0.9"))
 
 
+@query(f"""WITH {PSEUDO}, s AS (SELECT channel, round(mu + s, 3) AS threshold FROM base), r AS (SELECT channel, t, threshold, {gev_sf_sql('threshold')} AS risk FROM pseudo JOIN s USING (channel))
+ SELECT channel, t, threshold, round(avg(risk), 6) AS mean, round(quantile_cont(risk, 0.025), 6) AS lower, round(quantile_cont(risk, 0.975), 6) AS upper, 'upper' AS tail FROM r GROUP BY 1, 2, 3""")
+def risk_probabilities(spark, sf_dir):
+    spec = channels(spark, sf_dir).groupBy("channel").agg(F.round(F.avg("y") + F.stddev_pop("y"), 3).alias("threshold"))
+    return rounded(summaries.risk_table(pseudo(spark, sf_dir), spec), "mean", "lower", "upper")
+
+
+@query(f"""WITH {OBS}, h AS (SELECT channel, CAST(t % 7 AS INTEGER) AS phase, t, y, max(y) OVER w AS h, min(y) OVER w AS l FROM obs WINDOW w AS (PARTITION BY channel, t % 7 ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT channel, phase, t, round(y, 6) AS y, round(greatest(y, h), 6) AS highest, round(least(y, l), 6) AS lowest, coalesce(y > h, true) AS new_high, coalesce(y < l, true) AS new_low FROM h""")
+def phase_records(spark, sf_dir):
+    return rounded(summaries.records(channels(spark, sf_dir), 7), "y", "highest", "lowest")
+
+
+@query(f"""WITH {OBS}, m AS (SELECT channel, max(t) AS last, count(*) / 60.0 + 0.01 AS a, sum(t) / CAST(60 AS DOUBLE) AS b, sum(t * t) / CAST(60 AS DOUBLE) + 0.01 AS d, sum(y) / 60.0 AS u, sum(y * t) / 60.0 AS v, round(avg(y) + stddev_pop(y), 3) AS threshold FROM obs GROUP BY 1),
+ f AS (SELECT channel, last + k AS t, threshold, (d * u - b * v) / (a * d - b * b) + (a * v - b * u) / (a * d - b * b) * (last + k) AS mean FROM m, (SELECT unnest(range(1, 15)) AS k))
+ SELECT channel, CAST(t AS INTEGER) AS t, round(mean, 6) AS mean, round(sqrt(60.0), 6) AS sd, threshold, round({cdf0_sql('((mean - threshold) / sqrt(60.0))')}, 6) AS risk FROM f""")
+def linear_benchmark(spark, sf_dir):
+    obs = channels(spark, sf_dir)
+    spec = obs.groupBy("channel").agg(F.round(F.avg("y") + F.stddev_pop("y"), 3).alias("threshold"))
+    return rounded(experiments.linear_benchmark(obs, 14, 60.0, plans.Normal(0.0, 10.0), spec), "mean", "sd", "risk")
+
+
 # ---- the flagship
 
 
