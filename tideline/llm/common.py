@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if known.isDefined():
         return known.get().rstrip("/")
     own = tempfile.mkdtemp(prefix="tideline-")
+    atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -44,6 +48,30 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a settled table that nothing will read again."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bit_map(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A map of fixed size with a bit for each value of a long column, for scans to skip most other rows.
+    Bits are set in the tasks; at most bits / 32 words come to the driver.  ``bits``: a power of two."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = ids.select(F.shiftright(at, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+    return out
+
+
+def marked(at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which places, as ``pmod(xxhash64(value), bits)``, are set."""
+    return (words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once a row and use it any number of times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

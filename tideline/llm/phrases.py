@@ -7,16 +7,16 @@ Which windows of ``WINDOW`` words also start earlier in the corpus?
    windows mostly share one, so a corpus has few anchors.  Anchors that stand
    only once can't lie in a repeated window and are dropped.
 2. Around the others, the stretch of words whose windows share the anchor is cut
-   out.  Equal stretches collapse before anything is sent on: the first keeps its
-   place and the rest are wholly repeated.
+   out.  Equal stretches collapse: the first keeps its place and its words, and the
+   rest are wholly repeated.
 3. Distinct stretches go to shards by their anchor.  A shard confirms which windows
    recur and where each is first, compiles the anchors of confirmed windows into
    an Aho-Corasick automaton, and streams its stretches through it: at every
    occurrence found, the windows around it are compared word by word.
 
-Anchors with more than ``HOT`` places are cut into single windows that go to
-shards by the window's own words, so no shard grows with one common phrase; and a
-shard has about ``SHARD_WINDOWS`` windows whatever the input.  A document passes
+Anchors with more than ``HOT`` distinct stretches are cut into single windows that
+collapse in the same way and go to shards by the window's own words, so no shard
+grows with one common phrase; and a shard has about ``SHARD_WINDOWS`` windows whatever the input.  A document passes
 only the automata that may hold phrases of it: streaming each text through
 every shard would cost the square of the input.
 
@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.llm.common import settle
+from tideline.llm.common import release, settle
 
 WINDOW, PHRASE = 20, 8
-#: Places of an anchor beyond which its windows are dealt out one by one.
+#: Distinct stretches of an anchor beyond which its windows are dealt out one by one.
 HOT = 1000
 SHARD_WINDOWS = 200_000
+#: Stretches a task remembers having given the words of.
+MAX_TOLD = 300_000
 WORDS = "space"
 _NONE = np.uint64(2**64 - 1)
 
@@ -98,56 +100,54 @@ def anchor_only(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, w in tokens.slices(batch, "text", WORDS, limit=8 << 20):
+            for _, w in tokens.slices(batch, "text", WORDS):
                 h, n = np.unique(anchors(w, width, phrase)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([tokens.long_column(h), pa.array(n, pa.int64())], ["anchor", "n"])
 
     return docs.select("text").mapInArrow(run, "anchor long, n long")
 
 
-def stretches(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """(route, print, doc_id, at, windows, offset, words): stretches around anchors that stand more than
-    once; a hot anchor's windows one by one.  ``offset``: the anchor's place in the words."""
-    repeated = anchor_only(docs, width, phrase).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    places = anchor_places(docs, width, phrase).join(repeated, "anchor").select("doc_id", "at", (F.col("n") > hot).alias("hot"))
-    marked = places.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("at"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hot"))
-    joined = docs.select("doc_id", "text").join(marked, "doc_id")
+def stretches(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(route, print, doc_id, at, windows, offset, words): the stretches around anchors that stand more
+    than once.  ``offset``: the anchor's place in the words.  A task gives the words of equal
+    stretches once, with the first of them; rows come to it in the order of doc_id."""
+    repeated = anchor_only(docs, width, phrase).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    repeated = settle(repeated, "anchors")  # read by a join of its own, so that hot anchors can be split
+    places = anchor_places(docs, width, phrase).join(repeated, "anchor")
+    marked = places.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    joined = docs.select("doc_id", "text").join(marked, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["route", "print", "doc_id", "at", "windows", "offset", "words"]
+        told: set[int] = set()
         for batch in batches:
             for rows, w in tokens.slices(batch, "text", WORDS):
                 begin, n, h, place = anchors(w, width, phrase)
-                if not len(begin):
-                    continue
                 row = np.searchsorted(w.first, begin, side="right") - 1
-                local = begin - w.first[row]
-                take = {}
-                for c in ("cool", "hot"):
-                    lists = rows.column(rows.schema.get_field_index(c))
-                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                    of = np.repeat(np.arange(w.n_rows), lists.value_lengths().to_numpy())
-                    take[c] = np.isin(row * (1 << 40) + local, of * (1 << 40) + flat)
-                # a hot run is cut into single windows
-                runs = [(begin[take["cool"]], n[take["cool"]], place[take["cool"]], h[take["cool"]])]
-                if take["hot"].any():
-                    b, k = begin[take["hot"]], n[take["hot"]]
-                    each = np.repeat(b, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    g, _ = w.grams(width)
-                    runs.append((each, np.ones(len(each), np.int64), np.repeat(place[take["hot"]], k), g[each]))
-                for b, k, p, route in runs:
-                    size = k + width - 1
-                    print_ = _sequence_prints(w, b, size)
-                    r = np.searchsorted(w.first, b, side="right") - 1
-                    words = [w.bytes_of(i, i + m).decode("utf-8", "surrogatepass") for i, m in zip(b.tolist(), size.tolist())]
-                    ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays(
-                        [tokens.long_column(route), tokens.long_column(print_), ids, pa.array(b - w.first[r], pa.int32()), pa.array(k, pa.int32()), pa.array(p - b, pa.int32()), pa.array(words, pa.string())], names
-                    )
+                lists = rows.column(rows.schema.get_field_index("places"))
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                wanted = np.repeat(w.first[:-1], lists.value_lengths().to_numpy()) + flat
+                use = np.isin(begin, wanted)
+                yield _cut(rows, w, begin[use], n[use], h[use], place[use] - begin[use], row[use], told, width)
 
     return joined.mapInArrow(run, "route long, print long, doc_id long, at int, windows int, offset int, words string")
 
 
+def _cut(rows: pa.RecordBatch, w: tokens.Words, begin: np.ndarray, n: np.ndarray, route: np.ndarray, offset: np.ndarray, row: np.ndarray, told: set[int], width: int) -> pa.RecordBatch:
+    if len(told) > MAX_TOLD:
+        told.clear()  # words may be given twice, never left out
+    size = n + width - 1
+    prints = _sequence_prints(w, begin, size)
+    words = []
+    for p, i, m in zip(prints.tolist(), begin.tolist(), size.tolist()):
+        words.append(None if p in told else w.bytes_of(i, i + m).decode("utf-8", "surrogatepass"))
+        told.add(p)
+    ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(row))
+    return pa.RecordBatch.from_arrays(
+        [tokens.long_column(route), tokens.long_column(prints), ids, pa.array(begin - w.first[row], pa.int32()), pa.array(n, pa.int32()), pa.array(offset, pa.int32()), pa.array(words, pa.string())],
+        ["route", "print", "doc_id", "at", "windows", "offset", "words"],
+    )
+
+
 def _sequence_prints(w: tokens.Words, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of words b to b + size - 1 for each entry."""
     up, down = tokens.powers(0xB492B66FBE98F273, len(w.hash) + 1)
@@ -199,28 +199,63 @@ def locate(shard: pa.Table, width: int = WINDOW, phrase: int = PHRASE) -> tuple[
     return x[:, 0], x[:, 1], x[:, 2]
 
 
+def collapse(every: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Settled: the rows of stretches with their first place and how they stand: ``first`` (the stretch at its
+    first place, with its words, how often it stands and how many stretches its anchor has), and ``later``
+    (doc_id, from, to) of the others.  Deletes ``every``."""
+    alike = ["route", "print", "windows"]
+    place = F.struct(F.col("doc_id").alias("doc_id"), F.col("at").alias("at"))
+    copies = F.sum("copies") if "copies" in every.columns else F.count(F.lit(1))
+    firsts = settle(every.groupBy(*alike).agg(F.min(place).alias("p"), copies.alias("copies"), F.count(F.lit(1)).alias("rows")), "firsts")
+    anchors_ = firsts.groupBy("route").agg(F.count(F.lit(1)).alias("stretches"))
+    # an anchor with one stretch at one place has nothing to compare
+    firsts = settle(firsts.join(anchors_, "route").where("stretches > 1 OR rows > 1"), "firsts")
+    here = (F.col("doc_id") == F.col("p.doc_id")) & (F.col("at") == F.col("p.at"))
+    mine = every.drop("copies").join(firsts, alike).withColumn("here", here).where("NOT here OR stretches > 1")
+    mine = settle(mine.select("route", "doc_id", "at", "windows", F.when(F.col("here"), F.col("offset")).alias("offset"), "copies", "stretches", "here", F.when(F.col("here"), F.col("words")).alias("words")), "placed")
+    release(every)
+    later = mine.where("NOT here").select("doc_id", F.col("at").alias("from"), (F.col("at") + F.col("windows") + width - 1).alias("to"))
+    return mine.where("here").drop("here"), later
+
+
+def single_windows(distinct: DataFrame, width: int) -> DataFrame:
+    """Stretches cut into their windows, each routed by its own words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, w in tokens.slices(batch, "words", WORDS):
+                n, offset, at, ids, copies = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("windows", "offset", "at", "doc_id", "copies"))
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.repeat(w.first[:-1], n) + k
+                g, _ = w.grams(width)
+                again = lambda x: np.repeat(x, n)
+                words = [w.bytes_of(i, i + width).decode("utf-8", "surrogatepass") for i in begin.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [tokens.long_column(g[begin]), tokens.long_column(tokens.mix(g[begin])), pa.array(again(ids)), pa.array(again(at) + k, pa.int32()), pa.array(np.ones(len(k), np.int32)), pa.array(again(offset) - k, pa.int32()), pa.array(again(copies)), pa.array(words, pa.string())],
+                    ["route", "print", "doc_id", "at", "windows", "offset", "copies", "words"],
+                )
+
+    return distinct.select("doc_id", "at", "windows", "offset", "copies", "words").mapInArrow(run, "route long, print long, doc_id long, at int, windows int, offset int, copies long, words string")
+
+
 def repeated_ranges(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
     """(doc_id, from, to): word ranges under windows that also start earlier (they may overlap)."""
-    every = settle(stretches(docs, width, phrase, hot), "stretches")
-    place = F.struct(F.col("doc_id").alias("doc_id"), F.col("at").alias("at"))
-    alike = ["route", "print", "windows"]
-    distinct = every.groupBy(*alike).agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"))
-    firsts = settle(distinct, "firsts")
-    # equal stretches after the first are repeated as a whole
-    later = every.select(*alike, "doc_id", "at").join(firsts.where("copies > 1"), alike)
-    later = later.where((F.col("doc_id") != F.col("p.doc_id")) | (F.col("at") != F.col("p.at")))
-    later = later.select("doc_id", F.col("at").alias("from"), (F.col("at") + F.col("windows") + width - 1).alias("to"))
-    total = firsts.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    distinct, later = collapse(settle(stretches(docs, width, phrase), "stretches"), width)
+    names = ["route", "doc_id", "at", "windows", "offset", "copies", "words"]
+    every, hot_ones = distinct.where(F.col("stretches") <= hot).select(*names), distinct.where(F.col("stretches") > hot)
+    total = distinct.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    if not hot_ones.isEmpty():
+        single, more = collapse(settle(single_windows(hot_ones, width), "singles"), width)
+        every, later = every.union(single.select(*names)), later.union(more)
     shards = max(1, -(-int(total) // SHARD_WINDOWS))
-    one = firsts.select(*alike, F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "copies")
-    one = every.join(one, [*alike, "doc_id", "at"]).select(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"), "doc_id", "at", "windows", "offset", "copies", "words")
+    every = every.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
 
     def run(part: pa.Table) -> pa.Table:
         row, lo, hi = locate(part, width, phrase)
         base = part.column("at").to_numpy()[row]
         return pa.table({"doc_id": part.column("doc_id").take(pa.array(row)), "from": pa.array(base + lo, pa.int32()), "to": pa.array(base + hi, pa.int32())})
 
-    return later.union(one.groupBy("shard").applyInArrow(run, "doc_id long, from int, to int"))
+    return later.union(every.groupBy("shard").applyInArrow(run, "doc_id long, from int, to int"))
 
 
 def remove(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, text_out: bool = False) -> DataFrame:
