@@ -10,13 +10,11 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts of the same words collapse first, so copies are one node.  Signatures are
 cut into bands; texts that share a band are candidates: all pairs in a bucket of
-at most ``SMALL`` texts, else each text with the ``HUBS`` texts of the bucket that
-share most bands with others.  Similarities are then computed exactly, and classes
-are the connected components of pairs at ``threshold`` or more.
-
-Large buckets are thus linear, and the middle of a group of copies, from which all
-its members stem, is the text that shares most bands.  Texts that a hub rejects
-go to a further round among themselves, ``ROUNDS`` at most.
+at most ``SMALL`` texts, else each text with ``HUBS`` hubs: of so many parts of the
+bucket by hash, the texts that share most bands with others.  Large buckets are thus
+linear; the text from which a group of copies stems, and those nearest to it, share
+most bands.  Similarities are then computed on whole shingle sets (of 32-bit
+hashes), and classes are the connected components of pairs at ``threshold`` or more.
 
 Defined cases: a text of 1 to 4 words is one shingle; a null or wordless text is in
 a class of its own; equal rows share a class; a null doc_id is left out; an empty
@@ -34,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.llm.common import hidden, settle
+from tideline.llm.common import bit_map, hidden, marked, settle
 from tideline.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 16 bands of 4 coordinates: a pair at 0.8 shares one with a chance of 0.9998.
 BANDS, ROWS = 16, 4
-SMALL, HUBS, ROUNDS = 16, 4, 3
+SMALL, HUBS = 16, 4
+#: Bits of the map by which a scan skips texts without candidates (4 MB).
+MAP_BITS = 1 << 25
 WORDS = "space"
 #: Height of the lowest region of ranks; each next one is as high as all below it.
 _LOWEST = 2.0**-8
@@ -186,29 +186,35 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHING
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, p1 long, p2 long, n long, bands array<bigint>")
 
 
-def candidates(members: DataFrame, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts (node, key) that share a bucket: at most
-    max(small, hubs) for each place in a bucket."""
+def buckets(members: DataFrame) -> DataFrame:
+    """(key, node, m) of the (node, key) that share a key with others, with the bucket's size."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    x = members.join(sizes, "key")
-    # how many places of others a text meets: the middle of a group meets most
-    shared = x.groupBy("node").agg(F.sum("m").alias("met"))
-    few = x.where(F.col("m") <= small).select("key", "node")
+    return members.join(sizes, "key")
+
+
+def candidates(shared: DataFrame, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts in a bucket of (key, node, m): at most
+    max(small, hubs) for each place in a bucket."""
+    few = shared.where(F.col("m") <= small).select("key", "node")
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-    many = x.where(F.col("m") > small).select("key", "node")
-    part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-    tops = many.join(shared, "node").groupBy("key", part.alias("part")).agg(F.max(F.struct("met", -F.col("node"))).alias("top"))
-    tops = tops.select("key", (-F.col("top.col2")).alias("hub"))
-    star = many.join(tops, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    many = shared.where(F.col("m") > small).select("key", "node")
+    # how many places of others a text meets: the middle of a group meets most
+    met = shared.groupBy("node").agg(F.sum("m").alias("met"))
+    part = F.pmod(F.xxhash64("node", "key"), F.lit(hubs))  # other parts, so other hubs, in each bucket
+    tops = many.join(met, "node").groupBy("key", part.alias("part")).agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("rev"))).alias("top"))
+    star = many.join(tops.select("key", (-F.col("top.rev")).alias("hub")), "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return pairs.union(star).distinct()
 
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(node, elems): a text's shingles; the n-th copy of one is an element of its own, so that
-    the Jaccard similarity of these sets is the weighted one."""
+def shingle_sets(docs: DataFrame, needed: DataFrame, k: int = SHINGLE, bits: int = MAP_BITS) -> DataFrame:
+    """(node, elems) of the needed nodes, and of a few others that a map of fixed size lets through: a text's
+    shingles; the n-th copy of one is an element of its own, so that the Jaccard similarity of these sets is
+    the weighted one.  Texts aren't shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(needed, "node", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked(batch.column(2).to_numpy(), shared.value)))
             for part, w in tokens.slices(batch, "text", WORDS):
                 row, h = shingles(w, k)
                 if len(row):
@@ -217,9 +223,10 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     nth = np.arange(len(row)) - np.repeat(at, np.diff(np.r_[at, len(row)]))
                     h = np.where(nth > 0, tokens.mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
                 ends = np.searchsorted(row, np.arange(w.n_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), tokens.long_column(h))], ["node", "elems"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["node", "elems"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, elems array<bigint>")
+    at = F.pmod(F.xxhash64("node"), F.lit(bits)).alias("at")
+    return docs.select("node", "text", at).mapInArrow(run, "node long, elems array<int>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,22 +244,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     the same words, and the other texts found similar."""
     sketches = settle(sketch(docs, bands, rows, k), "sketch")
     texts = settle(sketches.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "texts")
-    members = texts.select("node", F.explode("bands").alias("key"))
-    pairs = settle(candidates(members), "pairs")
+    shared = settle(buckets(texts.select("node", F.explode("bands").alias("key"))), "buckets")
+    pairs = settle(candidates(shared), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     source = docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
-    sets = settle(shingle_sets(source.join(needed, "node"), k).groupBy("node").agg(F.max("elems").alias("elems")), "sets")
-    links = settle(similar(pairs, sets, threshold), "links")
-    alone = lambda l: members.join(l.select(F.col("a").alias("node")).union(l.select("b")).distinct(), "node", "left_anti")
-    tried = pairs
-    for _ in range(ROUNDS - 1):
-        # in large buckets, texts that no hub accepted meet new hubs
-        large = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SMALL).select("key")
-        more = candidates(alone(links).join(large, "key")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = settle(more, "pairs")
-        if more.isEmpty():
-            break
-        tried, links = tried.select("a", "b").union(more), links.union(settle(similar(more, sets, threshold), "links"))
+    sets = settle(shingle_sets(source, needed, k), "sets")
+    # equal rows give a pair more than once
+    links = settle(similar(pairs, sets, threshold).dropDuplicates(["a", "b"]), "links")
     label = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     found = texts.select("p1", "p2", "node", "n_copies").join(label, "node", "left").join(degree, "node", "left")
