@@ -348,6 +348,58 @@ def test_minhash_classes(spark, docs):
     assert minhash.classes(empty(spark)).count() == 0 and minhash.keep_one(empty(spark)).count() == 0
 
 
+def classes_of(texts, threshold=0.8):
+    """Brute force: the smallest id of each component of similar texts."""
+    sets, up = {d: sets_of(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if b < a and jaccard(sets[a], sets[b]) >= threshold:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in texts}
+
+
+def test_minhash_loses_no_link_of_large_buckets(spark):
+    """Chains whose far ends aren't similar to any hub, and families below the threshold, with every bucket held for large."""
+    r = random.Random(17)
+    texts = {}
+    for c in range(4):
+        w = [f"c{c}w{i}" for i in range(150)]
+        for i in range(25):
+            texts[len(texts)] = " ".join(w)
+            for _ in range(3 if i % 5 else 9):  # three changed words stay above the threshold, nine break the chain
+                w[r.randrange(150)] = f"n{r.random()}"
+    base = [f"t{i}" for i in range(120)]
+    for i in range(40):
+        texts[len(texts)] = " ".join(base + [f"o{i}x{j}" for j in range(r.choice([4, 16, 30]))])
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts.items()], SCHEMA)
+    want = classes_of(texts)
+    got = minhash.classes(df, bands=40, rows=2, small=1, hubs=1).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == want and 10 < len(set(want.values())) < len(texts)
+
+
+def test_across_finds_every_pair_between_classes(spark):
+    r = random.Random(4)
+    sets = {i: set(r.sample(range(40), r.randint(3, 12))) for i in range(60)}
+    for i in range(60, 150):
+        s = set(sets[r.randrange(i)])
+        s.symmetric_difference_update(r.sample(range(40), r.randint(0, 2)))
+        sets[i] = s or {1}
+    labels = {i: r.choice([0, 0, 0, 1, i]) for i in sets}
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, elems array<int>")
+    members = spark.createDataFrame(list(labels.items()), "node long, label long")
+    got = minhash.similar(minhash.across(members, table.union(table)), table)
+    near = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    want = {(a, b) for a in sets for b in sets if a < b and labels[a] != labels[b] and near(a, b)}
+    assert {(x["a"], x["b"]) for x in got.collect()} == want and len(want) > 20
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     r = random.Random(2)
     k = 256

@@ -10,11 +10,13 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts of the same words collapse first, so copies are one node.  Signatures are
 cut into bands; texts that share a band are candidates: all pairs in a bucket of
-at most ``SMALL`` texts, else each text with ``HUBS`` hubs: of so many parts of the
-bucket by hash, the texts that share most bands with others.  Large buckets are thus
-linear; the text from which a group of copies stems, and those nearest to it, share
-most bands.  Similarities are then computed on whole shingle sets (of 32-bit
-hashes), and classes are the connected components of pairs at ``threshold`` or more.
+at most ``SMALL`` texts, else first each text with ``HUBS`` hubs: of so many parts of the
+bucket by hash, the texts that share most bands with others.  Similarities are
+computed on whole shingle sets (of 32-bit hashes), and classes are the connected
+components of pairs at ``threshold`` or more.  Hubs join most of a large bucket to one
+class.  Where members of different classes are left in one, an exact
+prefix-filtered join finds every similar pair across classes, so no class is
+split that any shared band could join; pairs inside a class aren't listed.
 
 Defined cases: a text of 1 to 4 words is one shingle; a null or wordless text is in
 a class of its own; equal rows share a class; a null doc_id is left out; an empty
@@ -194,7 +196,7 @@ def buckets(members: DataFrame) -> DataFrame:
 
 def candidates(shared: DataFrame, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
     """Distinct pairs (a, b), a < b, of texts in a bucket of (key, node, m): at most
-    max(small, hubs) for each place in a bucket."""
+    max(small, hubs) for each place in a bucket.  What a large bucket has beyond its hubs is left to ``across``."""
     few = shared.where(F.col("m") <= small).select("key", "node")
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
     many = shared.where(F.col("m") > small).select("key", "node")
@@ -239,24 +241,50 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return two.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links) of every row: the class's smallest doc_id, the rows with
-    the same words, and the other texts found similar."""
+def mixed(shared: DataFrame, label: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, label): the members of large buckets that hold more than one class."""
+    many = shared.where(F.col("m") > small).select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return many.join(several, "key", "left_semi").select("node", "label").distinct()
+
+
+def across(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that hold every pair of (node, label) of different labels at the threshold or more.
+
+    A set's elements are ordered by the number of classes that have them.  Two sets at the threshold share
+    one of their first ``n - ceil(threshold * n) + 1`` elements, and an element of one class joins nothing.
+    One side leaves out the class that has an element most often, so a large class never meets itself."""
+    whole = members.join(sets.dropDuplicates(["node"]), "node").withColumn("n", F.size("elems"))
+    elems = whole.select("node", "label", "n", F.explode("elems").alias("e"))
+    by_class = elems.groupBy("e", "label").agg(F.count(F.lit(1)).alias("c"))
+    heard = by_class.groupBy("e").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "label"))["label"].alias("top"))
+    ranked = elems.join(heard, "e").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("classes", "e", "top"))).alias("s"))
+    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
+    prefix = settle(ranked.select("node", "label", "n", F.explode(first).alias("s")).where("s.classes > 1").select("node", "label", "n", "s.e", "s.top"), "prefix")
+    few = prefix.where("label <> top").select("e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+    met = few.join(prefix, "e").where((F.col("lx") != F.col("label")) & (F.least("nx", "n") >= threshold * F.greatest("nx", "n") - 1e-9))
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
+    """(doc_id, class_id, n_copies) of every row: the class's smallest doc_id, and the rows with the same words."""
     sketches = settle(sketch(docs, bands, rows, k), "sketch")
     texts = settle(sketches.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "texts")
     shared = settle(buckets(texts.select("node", F.explode("bands").alias("key"))), "buckets")
-    pairs = settle(candidates(shared), "pairs")
+    pairs = settle(candidates(shared, small, hubs), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     source = docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
     sets = settle(shingle_sets(source, needed, k), "sets")
-    # equal rows give a pair more than once
-    links = settle(similar(pairs, sets, threshold).dropDuplicates(["a", "b"]), "links")
+    links = settle(similar(pairs, sets, threshold).select("a", "b"), "links")
     label = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    found = texts.select("p1", "p2", "node", "n_copies").join(label, "node", "left").join(degree, "node", "left")
-    found = found.select("p1", "p2", F.coalesce("label", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    wordless = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return sketches.where("n > 0").select("doc_id", "p1", "p2").join(found, ["p1", "p2"]).select("doc_id", "class_id", "n_copies", "n_links").unionByName(wordless)
+    rest = settle(mixed(shared, label, small), "mixed")
+    if not rest.isEmpty():
+        more = settle(similar(settle(across(rest, sets, threshold), "across"), sets, threshold).select("a", "b"), "links")
+        label = components(links.union(more))
+    found = texts.select("p1", "p2", "node", "n_copies").join(label, "node", "left")
+    found = found.select("p1", "p2", F.coalesce("label", "node").alias("class_id"), "n_copies")
+    wordless = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return sketches.where("n > 0").select("doc_id", "p1", "p2").join(found, ["p1", "p2"]).select("doc_id", "class_id", "n_copies").unionByName(wordless)
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
