@@ -252,7 +252,8 @@ def across(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     """Distinct pairs (a, b), a < b, that hold every pair of (node, label) of different labels at the threshold or more.
 
     A set's elements are ordered by the number of classes that have them.  Two sets at the threshold share
-    one of their first ``n - ceil(threshold * n) + 1`` elements, and an element of one class joins nothing.
+    one of their first ``n - ceil(threshold * n) + 1`` elements, and what follows the first one they share must
+    be enough for the overlap needed (length and positional bounds).  An element of one class joins nothing.
     One side leaves out the class that has an element most often, so a large class never meets itself."""
     whole = members.join(sets.dropDuplicates(["node"]), "node").withColumn("n", F.size("elems"))
     elems = whole.select("node", "label", "n", F.explode("elems").alias("e"))
@@ -260,9 +261,11 @@ def across(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     heard = by_class.groupBy("e").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "label"))["label"].alias("top"))
     ranked = elems.join(heard, "e").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("classes", "e", "top"))).alias("s"))
     first = F.slice("s", F.lit(1), F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
-    prefix = settle(ranked.select("node", "label", "n", F.explode(first).alias("s")).where("s.classes > 1").select("node", "label", "n", "s.e", "s.top"), "prefix")
-    few = prefix.where("label <> top").select("e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    met = few.join(prefix, "e").where((F.col("lx") != F.col("label")) & (F.least("nx", "n") >= threshold * F.greatest("nx", "n") - 1e-9))
+    prefix = ranked.select("node", "label", "n", F.posexplode(first).alias("i", "s")).where("s.classes > 1")
+    prefix = settle(prefix.select("node", "label", "n", (F.col("n") - F.col("i")).alias("left"), "s.e", "s.top"), "prefix")
+    few = prefix.where("label <> top").select("e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("left").alias("leftx"))
+    enough = F.least("leftx", "left") >= (F.col("nx") + F.col("n")) * (threshold / (1 + threshold)) - 1e-9
+    met = few.join(prefix, "e").where((F.col("lx") != F.col("label")) & enough)
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
