@@ -124,13 +124,20 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 def _with_distances(x: DataFrame, refs: DataFrame, lang: str) -> DataFrame:
     as_double = lambda c: F.transform(c, lambda v: v.cast("double"))
-    # refs has MAX_LANGUAGES + 1 rows at most, of some 800 bytes; the one for all documents has the key 1
-    tagged = refs.select(F.when(F.col("_l").isNull(), 1).alias("_one"), "_l", "_rk", "_rc")
-    by_lang = F.broadcast(tagged.where("_l IS NOT NULL").drop("_one"))
-    pooled = F.broadcast(tagged.where("_one = 1").select("_one", F.col("_rk").alias("_pk"), F.col("_rc").alias("_pc")))
-    x = x.join(by_lang, F.col(lang) == F.col("_l"), "left").withColumn("_one", F.lit(1)).join(pooled, "_one", "left")
+    # refs has MAX_LANGUAGES + 1 rows at most, of some 800 bytes; one of them, the sums of all documents, becomes constants
+    every = refs.where("_l IS NULL").first()
+    whole = lambda c: F.array(*(F.lit(v).cast("long") for v in every[c])) if every else F.lit(None).cast("array<bigint>")
+    x = x.join(F.broadcast(refs.where("_l IS NOT NULL")), F.col(lang) == F.col("_l"), "left")
     near = lambda mine, ref, all_: distance(as_double(F.col(mine)), as_double(F.coalesce(ref, all_)))
-    x = x.withColumn("class_distance", F.when(F.col("_chars") >= MIN_CHARS, near("_kinds", F.col("_rk"), F.col("_pk"))))
-    x = x.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, near("_common", F.col("_rc"), F.col("_pc"))))
+    x = x.withColumn("class_distance", F.when(F.col("_chars") >= MIN_CHARS, near("_kinds", F.col("_rk"), whole("_rk"))))
+    x = x.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, near("_common", F.col("_rc"), whole("_rc"))))
     fits = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return x.withColumn("kept", ~F.col("base_failed") & fits)
+
+
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that pass every rule, with their own columns."""
+    x, names = hidden(docs)
+    # the row number keeps the filter above the counts; pushed below them it would cut a text into words once for each use
+    judged = judge(x, names[text], names[lang]).select(*names.values(), "kept", F.monotonically_increasing_id().alias("_row"))
+    return judged.where("kept AND _row >= 0").select(*shown(names))
