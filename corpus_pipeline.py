@@ -16,7 +16,7 @@ from tideline.llm.common import shared_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
