@@ -292,6 +292,15 @@ def test_quality(spark, docs):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_keep(spark, docs):
+    rows, df = docs
+    odd = df.withColumn("kept", F.lit("x")).withColumn("_row", F.lit(-1))  # names that the operator itself uses
+    kept = quality.keep(odd)
+    want = Counter(x["doc_id"] for x in quality.judge(df).collect() if x["kept"])
+    assert kept.columns == odd.columns and Counter(x["doc_id"] for x in kept.collect()) == want and 0 < len(want) < len(rows)
+    assert quality.keep(empty(spark)).count() == 0
+
+
 def test_divergence(spark):
     p, q = [1.0, 3.0, 0.0], [2.0, 1.0, 1.0]
     a, b = np.array(p) / 4, np.array(q) / 4
