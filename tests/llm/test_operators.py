@@ -357,6 +357,20 @@ def test_minhash_classes(spark, docs):
     assert minhash.classes(empty(spark)).count() == 0 and minhash.keep_one(empty(spark)).count() == 0
 
 
+def test_minhash_null_and_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(None, text("a"), "en", "s", 1), (None, text("b"), "en", "s", 1), (7, text("c"), "en", "s", 1), (7, text("d"), "en", "s", 1), (None, text("c") + " x", "en", "s", 1), (None, text("a"), "en", "t", 2)]
+    rows += [(None, None, "en", "s", 1), (None, None, "en", "t", 1), (7, None, "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = minhash.classes(df).collect()
+    assert Counter(x["doc_id"] for x in got) == Counter(x[0] for x in rows)
+    assert len({x["class_key"] for x in got if x["class_id"] == 7}) == 3  # c with its near copy, d, the wordless row
+    kept = Counter(map(tuple, minhash.keep_one(df.union(df)).collect()))
+    # of the two copies of "a" without an id either may stay
+    assert Counter(x[1] for x in kept.elements()) == {text("a"): 1, text("b"): 1, text("c"): 1, text("d"): 1, None: 3}
+    assert set(kept) <= set(rows) and max(kept.values()) == 1
+
+
 def classes_of(texts, threshold=0.8):
     """Brute force: the smallest id of each component of similar texts."""
     sets, up = {d: sets_of(t) for d, t in texts.items()}, {d: d for d in texts}
@@ -594,3 +608,10 @@ def test_decontaminate(spark, docs):
     clean = decontaminate.clean(df, it)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d in want if not want[d][1]) and clean.columns == df.columns
     assert decontaminate.find(df, it.limit(0)).where("contaminated").count() == 0 and decontaminate.find(empty(spark), it).count() == 0
+
+
+def test_decontaminate_repeated_ids(spark):
+    item = " ".join(f"b{i}" for i in range(12))
+    rows = [(1, f"x {item} y", "en", "s", 1), (1, "a clean text", "en", "s", 1), (None, item, "en", "s", 1), (None, "another clean text", "en", "s", 1), (None, None, "en", "s", 1)]
+    clean = decontaminate.clean(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(map(tuple, clean.collect())) == Counter([rows[1], rows[3], rows[4]])

@@ -19,8 +19,9 @@ prefix-filtered join finds every similar pair across classes, so no class is
 split that any shared band could join; pairs inside a class aren't listed.
 
 Defined cases: a text of 1 to 4 words is one shingle; a null or wordless text is in
-a class of its own; equal rows share a class; a null doc_id is left out; an empty
-table gives an empty result.
+a class of its own; equal rows share a class; a row without doc_id is a document as
+any other, and rows of one doc_id with different texts are different documents; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
@@ -161,8 +162,13 @@ def signatures(n_rows: int, row: np.ndarray, elem: np.ndarray, weight: np.ndarra
         row, elem, weight = row[keep], elem[keep], weight[keep]
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A hash of a row's id and text, both of which may be null."""
+    return F.xxhash64(F.col(doc_id), F.col(doc_id).isNull(), F.col(text), F.col(text).isNull())
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, p1, p2, n, bands): two hashes of the text's words, its shingles, its band keys."""
+    """(doc_id, r, p1, p2, n, bands): a hash of id and text, two of the text's words, its words, its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +187,11 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHING
                 np.add.at(p2, w.row, tokens.mix((w.hash ^ np.uint64(0xD6E8FEB86659FD93)) + place * np.uint64(0xC2B2AE3D27D4EB4F)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(w.n_rows + 1, dtype=np.int32) * bands), tokens.long_column(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), tokens.long_column(p1), tokens.long_column(p2), pa.array(w.counts, pa.int64()), lists],
-                    ["doc_id", "p1", "p2", "n", "bands"],
+                    [*(part.column(part.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "r")), tokens.long_column(p1), tokens.long_column(p2), pa.array(w.counts, pa.int64()), lists],
+                    ["doc_id", "r", "p1", "p2", "n", "bands"],
                 )
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, p1 long, p2 long, n long, bands array<bigint>")
+    return docs.select("doc_id", "text", row_key("doc_id", "text").alias("r")).mapInArrow(run, "doc_id long, r long, p1 long, p2 long, n long, bands array<bigint>")
 
 
 def buckets(members: DataFrame) -> DataFrame:
@@ -203,8 +209,8 @@ def candidates(shared: DataFrame, small: int = SMALL, hubs: int = HUBS) -> DataF
     # how many places of others a text meets: the middle of a group meets most
     met = shared.groupBy("node").agg(F.sum("m").alias("met"))
     part = F.pmod(F.xxhash64("node", "key"), F.lit(hubs))  # other parts, so other hubs, in each bucket
-    tops = many.join(met, "node").groupBy("key", part.alias("part")).agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("rev"))).alias("top"))
-    star = many.join(tops.select("key", (-F.col("top.rev")).alias("hub")), "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    tops = many.join(met, "node").groupBy("key", part.alias("part")).agg(F.max(F.struct(F.col("met"), F.bitwise_not("node").alias("rev"))).alias("top"))
+    star = many.join(tops.select("key", F.bitwise_not("top.rev").alias("hub")), "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return pairs.union(star).distinct()
 
 
@@ -269,31 +275,43 @@ def across(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
-    """(doc_id, class_id, n_copies) of every row: the class's smallest doc_id, and the rows with the same words."""
+def _labelled(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
+    """(doc_id, r, n, class_id, class_key, n_copies) of every row; a node is the least row key of a text's copies."""
     sketches = settle(sketch(docs, bands, rows, k), "sketch")
-    texts = settle(sketches.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("first")  # null ids last
+    texts = settle(sketches.where("n > 0").groupBy("p1", "p2").agg(F.min("r").alias("node"), first, F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "texts")
     shared = settle(buckets(texts.select("node", F.explode("bands").alias("key"))), "buckets")
     pairs = settle(candidates(shared, small, hubs), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    source = docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL")
-    sets = settle(shingle_sets(source, needed, k), "sets")
+    source = docs.select(row_key("doc_id", "text").alias("node"), "text")
+    sets = settle(shingle_sets(source, needed, k).dropDuplicates(["node"]), "sets")
     links = settle(similar(pairs, sets, threshold).select("a", "b"), "links")
     label = components(links)
     rest = settle(mixed(shared, label, small), "mixed")
     if not rest.isEmpty():
         more = settle(similar(settle(across(rest, sets, threshold), "across"), sets, threshold).select("a", "b"), "links")
         label = components(links.union(more))
-    found = texts.select("p1", "p2", "node", "n_copies").join(label, "node", "left")
-    found = found.select("p1", "p2", F.coalesce("label", "node").alias("class_id"), "n_copies")
-    wordless = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
-    return sketches.where("n > 0").select("doc_id", "p1", "p2").join(found, ["p1", "p2"]).select("doc_id", "class_id", "n_copies").unionByName(wordless)
+    found = texts.select("p1", "p2", "node", "n_copies", "first").join(label, "node", "left")
+    found = settle(found.select("p1", "p2", F.coalesce("label", "node").alias("label"), "n_copies", "first"), "found")
+    heads = found.groupBy("label").agg(F.min("first").alias("first"))
+    found = found.drop("first").join(heads, "label").select("p1", "p2", "n_copies", F.col("first.doc_id").alias("class_id"), F.col("first.r").alias("class_key"))
+    worded = sketches.where("n > 0").select("doc_id", "r", "n", "p1", "p2").join(found, ["p1", "p2"]).drop("p1", "p2")
+    wordless = sketches.where("n = 0").select("doc_id", "r", "n", F.col("doc_id").alias("class_id"), F.col("r").alias("class_key"), F.lit(1).cast("long").alias("n_copies"))
+    return worded.unionByName(wordless)
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, n_copies, class_key) of every row: the class's smallest doc_id, the rows with the same
+    words, and the key of the class's first row, which tells classes apart where ids are null or repeat."""
+    return _labelled(docs, **how).select("doc_id", "class_id", "n_copies", "class_key")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One row of each class: that with the class's smallest doc_id; of equal rows, one."""
-    keep = classes(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
+    """One row of each class: that with the class's smallest doc_id, a null one last; of equal rows, one."""
+    keep = _labelled(docs, **how).where("r = class_key").select(F.col("r").alias("_keep"), (F.col("n") == 0).alias("_wordless")).distinct()
     x, own = hidden(docs)
-    key, rest = own["doc_id"], [h for c, h in own.items() if c != "doc_id"]
-    x = x.join(keep, F.col(key) == F.col("_keep")).groupBy(key).agg(F.min(F.struct(*rest, F.lit(0).alias("_"))).alias("_r"))
-    return x.select(*(F.col(h if c == "doc_id" else f"_r.{h}").alias(c) for c, h in own.items()))
+    rest = list(own.values())
+    x = x.withColumn("_key", row_key(own["doc_id"], own["text"])).join(keep, F.col("_key") == F.col("_keep"))
+    # wordless rows of one id and text are one document only where all columns are equal
+    x = x.groupBy("_key", F.when(F.col("_wordless"), F.struct(*rest)).alias("_row")).agg(F.min(F.struct(*rest)).alias("_r"))
+    return x.select(*(F.col(f"_r.{h}").alias(c) for c, h in own.items()))
