@@ -171,6 +171,31 @@ def test_lm_score(spark, docs):
     assert lm_score.cross_entropy_difference(df, empty(spark)).count() == len(rows)
 
 
+def test_lm_score_keeps_every_word(spark):
+    """More words than any fixed vocabulary had: documents that differ in rare words only differ in their scores."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 50, i * 50 + 50)), "en", "s", 1) for i in range(40)]
+    rows += [(100, "the rareone thing", "en", "s", 1), (101, "the raretwo thing", "en", "s", 1), (None, "the rareone thing", "en", "s", 1), (None, None, "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    good, mu = {100, *range(0, 40, 2)}, lm_score.MU
+    got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(g,) for g in good], "doc_id long")).collect()
+    seqs = [(d, [None, *(t or "").split()]) for d, t, *_ in rows]
+    counts = {m: Counter(p for d, s in seqs if m == "b" or d in good for p in zip(s, s[1:])) for m in "tb"}
+    total, words = sum(counts["t"].values()), len({w for _, s in seqs for w in s[1:]})
+
+    def loss(m, s):
+        c, f = counts[m], total / sum(counts[m].values())
+        one, frm = Counter(), Counter()
+        for (v, w), n in c.items():
+            one[w] += n * f
+            frm[v] += n * f
+        return np.mean([-np.log2((c[v, w] * f + mu * (one[w] + 1) / (total + words)) / (frm[v] + mu)) for v, w in zip(s, s[1:])])
+
+    want = sorted((str(d), len(s) - 1, *((None, None) if len(s) == 1 else (round(loss("t", s), 6), round(loss("b", s), 6)))) for d, s in seqs)
+    assert sorted((str(x[0]), x[1], *(None if v is None else round(v, 6) for v in x[2:4])) for x in got) == want and words > 2000
+    by = {x["doc_id"]: x["difference"] for x in got}
+    assert by[100] < by[101]
+
+
 # 3
 
 
