@@ -578,6 +578,20 @@ def test_toxicity(spark):
     assert none.where("score = 0").count() == len(rows) and toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_finds_each_passage_of_the_same_words(spark):
+    bad = [f"zzqx{i}" for i in range(6)]
+    n = 400
+    text = ["c"] * n
+    for at in (100, 300):
+        text[at : at + 6] = bad
+    text[200:206] = [bad[0]] * 6  # one word said again and again is no passage
+    model = {"share": 0.1, "weights": (np.zeros(0, np.uint64), np.zeros(0), toxicity.beginnings(tokens.Words(np.frombuffer(b"zzqx", np.uint8), np.array([0, 4]), "alnum")), np.array([3.0])), "lambda": 0.8, "k": 0.2, "a": -3.0, "b": 2.0}
+    df = spark.createDataFrame([(1, " ".join(text), "en", "s", 1), (2, " ".join(text[:200] + ["c"] * 200), "en", "s", 1)], SCHEMA)
+    got = {x["doc_id"]: x for x in toxicity.score(df, model).collect()}
+    assert [(p["start"], p["end"]) for p in got[1]["passages"]] == [(100, 106), (300, 306)]
+    assert [(p["start"], p["end"]) for p in got[2]["passages"]] == [(100, 106)] and got[1]["score"] > got[2]["score"]
+
+
 def test_maximal_segments():
     r = random.Random(1)
 

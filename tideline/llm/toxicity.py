@@ -5,7 +5,7 @@ two Dirichlet priors: a word's share of toxic documents leans on that of words
 with the same first letters, and theirs on the share overall, so a word never
 seen still has the weight of its kind.  A linear scan (Ruzzo and Tompa's) finds
 every maximal passage of positive score, where a word without weight costs
-``DRIFT``.  By extreme-value theory the best passage of a clean text of n words
+``DRIFT`` and a weighty word counts once within ``REACH`` words.  By extreme-value theory the best passage of a clean text of n words
 has score S or more with expectation E = K n exp(-lambda S); -log E of the best
 and of each further significant passage add up to a document's evidence, and a
 logistic curve of its root gives the chance of label 1.
@@ -40,6 +40,8 @@ MAX_LABELLED, MAX_WEIGHTS = 200_000, 100_000
 ALPHA, BETA = 4.0, 4.0
 #: Cost of a word without weight, and bytes of a word's beginning.
 DRIFT, BEGINNING = 0.5, 4
+#: A word's repeat counts again if it stands more than so many words on.
+REACH = 50
 #: A further passage counts with E below this.
 SIGNIFICANT = 0.05
 WORDS = "alnum"
@@ -116,7 +118,7 @@ def weights(counts: DataFrame, base: dict[str, float]) -> dict[str, tuple[np.nda
 
 
 def word_scores(w: tokens.Words, model: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Each word's weight less the drift; zero for a weighty word's repeats."""
+    """Each word's weight less the drift; zero for a weighty word that counted at most ``REACH`` words before."""
     known, weight, kinds, kind_weight = model
     out = np.zeros(len(w.hash))
     if len(kinds) and len(out):
@@ -126,12 +128,15 @@ def word_scores(w: tokens.Words, model: tuple[np.ndarray, ...]) -> np.ndarray:
     if len(known) and len(out):
         at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
         out = np.where(known[at] == w.hash, weight[at], out)
-    # a word says it once: its repeats in a document neither add nor cost
+    # a word says it once a passage: its repeats nearby neither add nor cost, further on it counts again
     heavy = np.flatnonzero(out > DRIFT)
-    _, first = np.unique(w.hash[heavy] + tokens.mix(w.row[heavy].astype(np.uint64)), return_index=True)
-    again = np.ones(len(heavy), bool)
-    again[first] = False
-    out[heavy[again]] = DRIFT
+    key = w.hash[heavy] + tokens.mix(w.row[heavy].astype(np.uint64))
+    last: dict[int, int] = {}  # where each word of each row last counted
+    for at, k in zip(heavy.tolist(), key.tolist()):
+        if k not in last or at - last[k] > REACH:
+            last[k] = at
+        else:
+            out[at] = DRIFT
     return out - DRIFT
 
 
