@@ -503,6 +503,37 @@ def test_phrases(spark, docs, hot):
     assert phrases.remove(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_phrases_with_repeated_rows_and_ids(spark, docs, hot):
+    """Equal rows, unlike texts under one id, null ids, a long text and clashing columns."""
+    rows, df = docs
+    long = " ".join(f"l{i % 977}x{i % 13}" for i in range(20_000))
+    more = [(3, rows[12][1], "en", "s", 1), (3, rows[14][1] + " z", "en", "s", 1), (None, rows[9][1], "en", "s", 1), (None, rows[9][1], "en", "s", 1), (None, None, "en", "s", 1), (900, long, "en", "s", 1), (901, long[500:], "en", "s", 1)]
+    every = df.union(df).union(spark.createDataFrame(more, SCHEMA)).withColumns({"id": F.lit(1), "tie": F.lit("x"), "words": F.lit(None)})
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrases.remove(every, hot=hot).collect())
+    hashes = {r["text"]: r["h"] for r in every.select("text", F.xxhash64("text").bitwiseOR(F.lit(1)).alias("h")).collect()}
+    plain = rows + rows + more
+    order = sorted(((phrases.LAST if r[0] is None else r[0]), hashes[r[1]], n) for n, r in enumerate(plain))
+    want = Counter()
+    for i, r in brute_removed([(i, plain[n][1]) for i, (_, _, n) in enumerate(order)], 20).items():
+        want[plain[order[i][2]][0], *r] += 1
+    assert got == want
+    texts = phrases.remove(every, text_out=True).where("doc_id = 901").first()
+    assert hashlib.sha256(texts["kept_text"].encode()).hexdigest() == texts["kept_sha256"]
+
+
+def test_automaton_decides():
+    """A phrase that isn't compiled isn't found."""
+    row = lambda p, at, t: {"route": 1, "print": p, "fid": at, "ftie": 0, "fat": 0, "windows": 3, "offset": 2, "copies": 1, "words": t}
+    a, b = "a b c d e f g h", "a b c d e f g x"
+    shard = [phrases.Stretch(row(i, i, t), 6, 3) for i, t in enumerate((a, a, b))]
+    confirmed = phrases.confirm(shard)
+    assert set(confirmed) == {"c d e"} and len(confirmed["c d e"]) == 3
+    found = [[j for j, _ in phrases.occurrences(s, phrases.compiled(confirmed), confirmed, 6, 3)] for s in shard]
+    assert found == [[0, 1, 2], [0, 1, 2], [0, 1]]
+    assert phrases.occurrences(shard[0], phrases.compiled([]), confirmed, 6, 3) == []
+
+
 # 8
 
 

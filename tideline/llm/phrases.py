@@ -7,37 +7,41 @@ Which windows of ``WINDOW`` words also start earlier in the corpus?
    windows mostly share one, so a corpus has few anchors.  Anchors that stand
    only once can't lie in a repeated window and are dropped.
 2. Around the others, the stretch of words whose windows share the anchor is cut
-   out.  Equal stretches collapse: the first keeps its place and its words, and the
-   rest are wholly repeated.
-3. Distinct stretches go to shards by their anchor.  A shard confirms which windows
-   recur and where each is first, compiles the anchors of confirmed windows into
-   an Aho-Corasick automaton, and streams its stretches through it: at every
-   occurrence found, the windows around it are compared word by word.
+   out.  Equal stretches collapse to one text with its first place and its count.
+3. Stretch texts go to shards by their anchor.  A shard confirms which windows
+   recur and where each is first (``confirm``), compiles the phrases of confirmed
+   windows into an Aho-Corasick automaton (``compiled``), and streams every text
+   through it (``occurrences``): only where the automaton reports a phrase are the
+   windows around it compared with the confirmed ones, word by word.
+4. Every place of a stretch, the first and all later ones, gets what was found in
+   its text, by a join.
 
 Anchors with more than ``HOT`` distinct stretches are cut into single windows that
 collapse in the same way and go to shards by the window's own words, so no shard
 grows with one common phrase; and a shard has about ``SHARD_WINDOWS`` windows whatever the input.  A document passes
-only the automata that may hold phrases of it: streaming each text through
-every shard would cost the square of the input.
-
-Defined cases: a null or wordless text has no words and an empty result; equal
-rows under one doc_id count as repeats of each other in no set order; a null
-doc_id has nothing removed; an empty table gives an empty result.
+only the automata that may hold phrases of it, and equal stretches pass once:
+streaming each text through every shard would cost the square of the input.
+
+Defined cases: a null or wordless text has no words and an empty result; of equal
+rows all but one lose every word that a window covers; different texts under one
+doc_id are documents of their own, in the order of a hash; a null doc_id stands
+after all others; an empty table gives an empty result; extra columns are ignored;
+a text of any length is cut whole, in one slice.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.llm.common import release, settle
+from tideline.llm.common import settle
 
 WINDOW, PHRASE = 20, 8
 #: Distinct stretches of an anchor beyond which its windows are dealt out one by one.
@@ -47,6 +51,10 @@ SHARD_WINDOWS = 200_000
 MAX_TOLD = 300_000
 WORDS = "space"
 _NONE = np.uint64(2**64 - 1)
+#: Stands for a null doc_id.
+LAST = 2**63 - 1
+#: Bits of the map of repeated doc_ids.
+TIE_BITS = 1 << 16
 
 
 def anchors(w: tokens.Words, width: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,18 +89,43 @@ def _next_equal(x: np.ndarray, least: np.ndarray, at: np.ndarray, reach: int) ->
     return place
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, id, tie, text), and whether any doc_id repeats.  (id, tie) orders documents and tells them apart: ``tie``
+    is a hash of the text where the id may be one of several rows', else 0.  It is set by a map of fixed size; an id that
+    the map takes for repeated only costs bytes."""
+    x = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
+    at = F.pmod(F.xxhash64("id"), F.lit(TIE_BITS))
+    repeated = x.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # at most TIE_BITS / 32 rows
+    words = repeated.select(F.shiftright(at, 5).cast("int").alias("w"), _bit(at).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    if not words:
+        return x.withColumn("tie", F.lit(0).cast("long")), False
+    bits = [0] * (TIE_BITS // 32)
+    for r in words:
+        bits[r["w"]] = r["b"]
+    marked = F.get(F.array(*(F.lit(b).cast("long") for b in bits)), F.shiftright(at, 5).cast("int")).bitwiseAND(_bit(at)) != 0
+    return x.withColumn("tie", F.when(marked, F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))), True
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
+
+
+def _ids(rows: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
+    return [rows.column(rows.schema.get_field_index(c)).take(pa.array(row)) for c in ("id", "tie")]
+
+
 def anchor_places(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(anchor, doc_id, at, windows): a row for each run of windows with one anchor."""
+    """(anchor, id, tie, at): a row for each run of windows with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, w in tokens.slices(batch, "text", WORDS):
                 begin, n, h, _ = anchors(w, width, phrase)
                 row = np.searchsorted(w.first, begin, side="right") - 1
-                ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([tokens.long_column(h), ids, pa.array(begin - w.first[row], pa.int32())], ["anchor", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([tokens.long_column(h), *_ids(rows, row), pa.array(begin - w.first[row], pa.int32())], ["anchor", "id", "tie", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, at int")
+    return docs.select("id", "tie", "text").mapInArrow(run, "anchor long, id long, tie long, at int")
 
 
 def anchor_only(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -108,14 +141,13 @@ def anchor_only(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> D
 
 
 def stretches(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(route, print, doc_id, at, windows, offset, words): the stretches around anchors that stand more
-    than once.  ``offset``: the anchor's place in the words.  A task gives the words of equal
-    stretches once, with the first of them; rows come to it in the order of doc_id."""
+    """(route, print, id, tie, at, windows, offset, words) of ``keyed`` documents: the stretches around anchors that
+    stand more than once.  ``offset``: the anchor's place in the words.  A task gives the words of equal stretches once."""
     repeated = anchor_only(docs, width, phrase).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     repeated = settle(repeated, "anchors")  # read by a join of its own, so that hot anchors can be split
     places = anchor_places(docs, width, phrase).join(repeated, "anchor")
-    marked = places.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    joined = docs.select("doc_id", "text").join(marked, "doc_id").sortWithinPartitions("doc_id")
+    marked = places.groupBy("id", "tie").agg(F.collect_set("at").alias("places"))
+    joined = docs.select("id", "tie", "text").join(marked, ["id", "tie"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -129,7 +161,7 @@ def stretches(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE) -> Dat
                 use = np.isin(begin, wanted)
                 yield _cut(rows, w, begin[use], n[use], h[use], place[use] - begin[use], row[use], told, width)
 
-    return joined.mapInArrow(run, "route long, print long, doc_id long, at int, windows int, offset int, words string")
+    return joined.mapInArrow(run, "route long, print long, id long, tie long, at int, windows int, offset int, words string")
 
 
 def _cut(rows: pa.RecordBatch, w: tokens.Words, begin: np.ndarray, n: np.ndarray, route: np.ndarray, offset: np.ndarray, row: np.ndarray, told: set[int], width: int) -> pa.RecordBatch:
@@ -141,10 +173,9 @@ def _cut(rows: pa.RecordBatch, w: tokens.Words, begin: np.ndarray, n: np.ndarray
     for p, i, m in zip(prints.tolist(), begin.tolist(), size.tolist()):
         words.append(None if p in told else w.bytes_of(i, i + m).decode("utf-8", "surrogatepass"))
         told.add(p)
-    ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(row))
     return pa.RecordBatch.from_arrays(
-        [tokens.long_column(route), tokens.long_column(prints), ids, pa.array(begin - w.first[row], pa.int32()), pa.array(n, pa.int32()), pa.array(offset, pa.int32()), pa.array(words, pa.string())],
-        ["route", "print", "doc_id", "at", "windows", "offset", "words"],
+        [tokens.long_column(route), tokens.long_column(prints), *_ids(rows, row), pa.array(begin - w.first[row], pa.int32()), pa.array(n, pa.int32()), pa.array(offset, pa.int32()), pa.array(words, pa.string())],
+        ["route", "print", "id", "tie", "at", "windows", "offset", "words"],
     )
 
 
@@ -155,117 +186,160 @@ def _sequence_prints(w: tokens.Words, b: np.ndarray, size: np.ndarray) -> np.nda
     return tokens.mix((total[b + size] - total[b]) * down[b] + size.astype(np.uint64))
 
 
-def locate(shard: pa.Table, width: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, to): the windows of each distinct stretch that also start earlier, as word ranges."""
-    ids, at, n = (shard.column(c).to_numpy() for c in ("doc_id", "at", "windows"))
-    offset = shard.column("offset").to_numpy()
-    often = shard.column("copies").to_numpy()
-    texts = [x.split(" ") for x in shard.column("words").to_pylist()]
-    first: dict[tuple, tuple[int, int, int]] = {}  # a window's words: its first place, and how often it was seen
-    for i, t in enumerate(texts):
-        d, a, c = int(ids[i]), int(at[i]), int(often[i])
-        for j in range(int(n[i])):
-            key = " ".join(t[j : j + width])
-            old = first.get(key)
-            here = (d, a + j)
-            first[key] = (*here, c) if old is None else (*min(here, old[:2]), old[2] + c)
-    confirmed = {k: v for k, v in first.items() if v[2] > 1}
-    del first
-    # the phrases: anchors of confirmed windows, as text between blanks so that words match whole
+#: The stretch texts of a shard: place of the first, its windows, the anchor's place, how often it stands.
+TEXT = ["route", "print", "fid", "ftie", "fat", "windows", "offset", "copies", "words"]
+#: What was found in a text: words lo to hi - 1; ``own``: at its first place, else at all later ones.
+FOUND = "route long, print long, fid long, ftie long, fat int, lo int, hi int, own boolean"
+Place = tuple[int, int, int]
+
+
+class Stretch:
+    """One stretch text of a shard."""
+
+    def __init__(self, row: dict, width: int, phrase: int):
+        self.key = (row["route"], row["print"])
+        self.place: Place = (row["fid"], row["ftie"], row["fat"])
+        self.copies = row["copies"]
+        words = row["words"].split(" ")
+        self.windows = [" ".join(words[j : j + width]) for j in range(row["windows"])]
+        self.anchor = " ".join(words[row["offset"] : row["offset"] + phrase])
+        # between blanks, so that phrases match whole words
+        self.text = f" {row['words']} "
+
+
+def confirm(shard: list[Stretch]) -> dict[str, dict[str, Place]]:
+    """By phrase, the windows that recur in the corpus with the first place of each."""
+    first: dict[str, tuple[Place, int]] = {}
+    for s in shard:
+        d, t, at = s.place
+        for j, w in enumerate(s.windows):
+            here, old = (d, t, at + j), first.get(w)
+            first[w] = (here, s.copies) if old is None else (min(here, old[0]), old[1] + s.copies)
+    out: dict[str, dict[str, Place]] = {}
+    for s in shard:
+        for w in s.windows:
+            place, n = first[w]
+            if n > 1:
+                out.setdefault(s.anchor, {})[w] = place
+    return out
+
+
+def compiled(phrases: Iterable[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for i, t in enumerate(texts):
-        o = int(offset[i])
-        if any(" ".join(t[j : j + width]) in confirmed for j in range(int(n[i]))):
-            p = " " + " ".join(t[o : o + phrase]) + " "
-            automaton.add_word(p, len(p))
-    out: list[tuple[int, int, int]] = []
+    for p in phrases:
+        automaton.add_word(f" {p} ", p)
     if len(automaton):
         automaton.make_automaton()
-        for i, t in enumerate(texts):
-            d, a = int(ids[i]), int(at[i])
-            text = " " + " ".join(t) + " "
-            # word number of each blank that a phrase may begin with
-            found = {text.count(" ", 0, end - size + 1) for end, size in automaton.iter(text)}
-            if int(offset[i]) not in found:
-                continue
-            for j in range(int(n[i])):
-                got = confirmed.get(" ".join(t[j : j + width]))
-                if got is not None and got[:2] != (d, a + j):
-                    if out and out[-1][0] == i and out[-1][2] >= j:
-                        out[-1] = (i, out[-1][1], j + width)
-                    else:
-                        out.append((i, j, j + width))
-    x = np.array(out, np.int64).reshape(-1, 3)
-    return x[:, 0], x[:, 1], x[:, 2]
-
-
-def collapse(every: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Settled: the rows of stretches with their first place and how they stand: ``first`` (the stretch at its
-    first place, with its words, how often it stands and how many stretches its anchor has), and ``later``
-    (doc_id, from, to) of the others.  Deletes ``every``."""
-    alike = ["route", "print", "windows"]
-    place = F.struct(F.col("doc_id").alias("doc_id"), F.col("at").alias("at"))
-    copies = F.sum("copies") if "copies" in every.columns else F.count(F.lit(1))
-    firsts = settle(every.groupBy(*alike).agg(F.min(place).alias("p"), copies.alias("copies"), F.count(F.lit(1)).alias("rows")), "firsts")
-    anchors_ = firsts.groupBy("route").agg(F.count(F.lit(1)).alias("stretches"))
-    # an anchor with one stretch at one place has nothing to compare
-    firsts = settle(firsts.join(anchors_, "route").where("stretches > 1 OR rows > 1"), "firsts")
-    here = (F.col("doc_id") == F.col("p.doc_id")) & (F.col("at") == F.col("p.at"))
-    mine = every.drop("copies").join(firsts, alike).withColumn("here", here).where("NOT here OR stretches > 1")
-    mine = settle(mine.select("route", "doc_id", "at", "windows", F.when(F.col("here"), F.col("offset")).alias("offset"), "copies", "stretches", "here", F.when(F.col("here"), F.col("words")).alias("words")), "placed")
-    release(every)
-    later = mine.where("NOT here").select("doc_id", F.col("at").alias("from"), (F.col("at") + F.col("windows") + width - 1).alias("to"))
-    return mine.where("here").drop("here"), later
-
-
-def single_windows(distinct: DataFrame, width: int) -> DataFrame:
-    """Stretches cut into their windows, each routed by its own words."""
+    return automaton
+
+
+def occurrences(s: Stretch, automaton: ahocorasick.Automaton, confirmed: dict[str, dict[str, Place]], width: int, phrase: int) -> list[tuple[int, Place]]:
+    """The windows of a text that the automaton finds, with the first place of each."""
+    out: dict[int, Place] = {}
+    for end, p in automaton.iter(s.text) if len(automaton) else ():
+        at = s.text.count(" ", 0, end - len(p) - 1)  # the word that the phrase begins with
+        for j in range(max(0, at - (width - phrase)), min(len(s.windows) - 1, at) + 1):
+            place = confirmed[p].get(s.windows[j])
+            if place is not None:
+                out[j] = place
+    return sorted(out.items())
+
+
+def _ranges(starts: Iterable[int], width: int) -> list[list[int]]:
+    out: list[list[int]] = []
+    for j in starts:
+        if out and out[-1][1] >= j:
+            out[-1][1] = j + width
+        else:
+            out.append([j, j + width])
+    return out
+
+
+def locate(shard: pa.Table, width: int = WINDOW, phrase: int = PHRASE) -> pa.Table:
+    """What the automaton of a shard finds in its texts (FOUND)."""
+    texts = {}
+    for batch in shard.select(TEXT).to_batches(max_chunksize=4096):
+        for row in batch.to_pylist():
+            if (row["route"], row["print"]) not in texts:  # several tasks may have given the words
+                texts[row["route"], row["print"]] = Stretch(row, width, phrase)
+    confirmed = confirm(list(texts.values()))
+    automaton = compiled(confirmed)
+    out = []
+    for s in texts.values():
+        got = occurrences(s, automaton, confirmed, width, phrase)
+        d, t, at = s.place
+        for own, starts in ((True, [j for j, p in got if p != (d, t, at + j)]), (False, [j for j, _ in got] if s.copies > 1 else [])):
+            out += [(*s.key, *s.place, lo, hi, own) for lo, hi in _ranges(starts, width)]
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
+
+
+def single_windows(texts: DataFrame, width: int) -> DataFrame:
+    """Stretch texts cut into their windows, each routed by its own words; ``of``, ``of_print``, ``k``: where it comes from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, w in tokens.slices(batch, "words", WORDS):
-                n, offset, at, ids, copies = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("windows", "offset", "at", "doc_id", "copies"))
+                n, offset, at = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("windows", "offset", "fat"))
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 begin = np.repeat(w.first[:-1], n) + k
                 g, _ = w.grams(width)
-                again = lambda x: np.repeat(x, n)
+                row = np.repeat(np.arange(len(n)), n)
+                of, of_print, fid, ftie, copies = (rows.column(rows.schema.get_field_index(c)).take(pa.array(row)) for c in ("route", "print", "fid", "ftie", "copies"))
                 words = [w.bytes_of(i, i + width).decode("utf-8", "surrogatepass") for i in begin.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [tokens.long_column(g[begin]), tokens.long_column(tokens.mix(g[begin])), pa.array(again(ids)), pa.array(again(at) + k, pa.int32()), pa.array(np.ones(len(k), np.int32)), pa.array(again(offset) - k, pa.int32()), pa.array(again(copies)), pa.array(words, pa.string())],
-                    ["route", "print", "doc_id", "at", "windows", "offset", "copies", "words"],
+                    [tokens.long_column(g[begin]), tokens.long_column(tokens.mix(g[begin])), fid, ftie, pa.array(at[row] + k, pa.int32()), pa.array(offset[row] - k, pa.int32()), copies, pa.array(words, pa.string()), of, of_print, pa.array(k, pa.int32())],
+                    ["route", "print", "fid", "ftie", "fat", "offset", "copies", "words", "of", "of_print", "k"],
                 )
 
-    return distinct.select("doc_id", "at", "windows", "offset", "copies", "words").mapInArrow(run, "route long, print long, doc_id long, at int, windows int, offset int, copies long, words string")
+    return texts.select(*TEXT).mapInArrow(run, "route long, print long, fid long, ftie long, fat int, offset int, copies long, words string, of long, of_print long, k int")
 
 
-def repeated_ranges(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """(doc_id, from, to): word ranges under windows that also start earlier (they may overlap)."""
-    distinct, later = collapse(settle(stretches(docs, width, phrase), "stretches"), width)
-    names = ["route", "doc_id", "at", "windows", "offset", "copies", "words"]
-    every, hot_ones = distinct.where(F.col("stretches") <= hot).select(*names), distinct.where(F.col("stretches") > hot)
-    total = distinct.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    if not hot_ones.isEmpty():
-        single, more = collapse(settle(single_windows(hot_ones, width), "singles"), width)
-        every, later = every.union(single.select(*names)), later.union(more)
-    shards = max(1, -(-int(total) // SHARD_WINDOWS))
-    every = every.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+def located(texts: DataFrame, windows: int, width: int, phrase: int) -> DataFrame:
+    """What is found in stretch texts (FOUND); ``windows``: how many they have."""
+    shards = max(1, -(-int(windows) // SHARD_WINDOWS))
+    return texts.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInArrow(lambda part: locate(part, width, phrase), FOUND)
+
 
-    def run(part: pa.Table) -> pa.Table:
-        row, lo, hi = locate(part, width, phrase)
-        base = part.column("at").to_numpy()[row]
-        return pa.table({"doc_id": part.column("doc_id").take(pa.array(row)), "from": pa.array(base + lo, pa.int32()), "to": pa.array(base + hi, pa.int32())})
+def by_single_windows(texts: DataFrame, width: int, phrase: int) -> DataFrame:
+    """``located``, of texts whose anchors have too many others to be compared in one shard."""
+    singles = settle(single_windows(texts.dropDuplicates(["route", "print"]), width), "singles")
+    place = F.min(F.struct("fid", "ftie", "fat")).alias("p")
+    alike = singles.groupBy("route", "print").agg(place, F.sum("copies").alias("copies"), F.first("offset").alias("offset"), F.first("words").alias("words")).where("copies > 1")
+    alike = alike.select("route", "print", "p.*", F.lit(1).alias("windows"), "offset", "copies", "words")
+    found = located(alike, alike.count(), width, phrase).where("NOT own").select("route", "print", *(F.col(c).alias(f"_{c}") for c in ("fid", "ftie", "fat")))
+    x = singles.drop("words", "offset").join(found, ["route", "print"])
+    first = (F.col("fid") == F.col("_fid")) & (F.col("ftie") == F.col("_ftie")) & (F.col("fat") == F.col("_fat"))
+    x = x.withColumn("own", F.explode(F.array_compact(F.array(F.when(~first, F.lit(True)), F.when(F.col("copies") > 1, F.lit(False))))))
+    return x.select(F.col("of").alias("route"), F.col("of_print").alias("print"), "fid", "ftie", (F.col("fat") - F.col("k")).alias("fat"), F.col("k").alias("lo"), (F.col("k") + width).alias("hi"), "own")
 
-    return later.union(every.groupBy("shard").applyInArrow(run, "doc_id long, from int, to int"))
+
+def repeated_ranges(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
+    """(id, tie, from, to) of ``keyed`` documents: word ranges under windows that also start earlier (they may overlap)."""
+    every = settle(stretches(docs, width, phrase), "stretches")
+    place = F.min(F.struct(F.col("id").alias("fid"), F.col("tie").alias("ftie"), F.col("at").alias("fat"))).alias("p")
+    firsts = settle(every.groupBy("route", "print").agg(place, F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows")), "firsts")
+    anchors_ = firsts.groupBy("route").agg(F.count(F.lit(1)).alias("stretches"))
+    # an anchor with one stretch at one place has nothing to compare
+    firsts = settle(firsts.join(anchors_, "route").where("stretches > 1 OR copies > 1").select("route", "print", "p.*", "copies", "windows", "stretches"), "firsts")
+    texts = every.where("words IS NOT NULL").select("route", "print", "offset", "words").join(firsts, ["route", "print"])
+    total, most = firsts.agg(F.sum("windows"), F.max("stretches")).first()
+    found = located(texts.where(F.col("stretches") <= hot).select(*TEXT), total or 0, width, phrase)
+    if (most or 0) > hot:
+        found = found.union(by_single_windows(texts.where(F.col("stretches") > hot).select(*TEXT), width, phrase))
+    x = every.select("route", "print", "id", "tie", "at").join(found, ["route", "print"])
+    here = (F.col("id") == F.col("fid")) & (F.col("tie") == F.col("ftie")) & (F.col("at") == F.col("fat"))
+    return x.where(here == F.col("own")).select("id", "tie", (F.col("at") + F.col("lo")).alias("from"), (F.col("at") + F.col("hi")).alias("to"))
 
 
 def remove(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, text_out: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row: without the words under
     windows that also start earlier, judged on the input."""
-    key = docs.select("doc_id", "text")
-    ranges = repeated_ranges(key.where("doc_id IS NOT NULL"), width, phrase, hot)
-    cut = ranges.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("from", "to")).alias("cut"))
-    joined = key.join(cut, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "cut")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_out
+    key, repeats = keyed(docs)
+    cut = repeated_ranges(key, width, phrase, hot).groupBy("id", "tie").agg(F.collect_set(F.struct("from", "to")).alias("cut"))
+    joined = key.join(cut, ["id", "tie"], "left").select("doc_id", "id", "tie", "text", "cut")
+    schema = "doc_id long, id long, tie long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +367,16 @@ def remove(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int
                     if text_out:
                         texts.append(t.decode("utf-8", "surrogatepass"))
                 c = np.r_[0, np.cumsum(~stay)]
-                cols = [rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(w.counts, pa.int64()), pa.array(c[w.first[1:]] - c[w.first[:-1]], pa.int64()), pa.array(kept, pa.string())]
+                cols = [*(rows.column(rows.schema.get_field_index(k)).cast(pa.int64()) for k in ("doc_id", "id", "tie")), pa.array(w.counts, pa.int64()), pa.array(c[w.first[1:]] - c[w.first[:-1]], pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * text_out, [x.split()[0] for x in schema.split(", ")])
 
-    return joined.mapInArrow(run, schema)
+    out, names = joined.mapInArrow(run, schema), ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * text_out]
+    if not repeats:
+        return out.select(*names)
+    # of equal rows the first loses what it would lose alone, the others all that windows cover
+    out = settle(out.withColumn("_n", F.monotonically_increasing_id()), "removed")
+    again = (F.col("tie") != 0) & (F.col("n_words") >= width)
+    first = out.where(again).groupBy("id", "tie").agg(F.min("_n").alias("_n")).select("_n", F.lit(True).alias("_first"))
+    out = out.join(first, "_n", "left").withColumn("_again", again & F.col("_first").isNull())
+    lost = {"n_removed": F.col("n_words"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept_text": F.lit("")}
+    return out.select(*(F.when(F.col("_again"), lost[c]).otherwise(F.col(c)).alias(c) if c in lost else F.col(c) for c in names))
