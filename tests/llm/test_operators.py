@@ -246,12 +246,21 @@ def test_mixing_with_sources_that_fill_up(spark):
         sizes[s] += len(t.split())
     got = mixing.mix(df).collect()
     want = fill(sizes)
-    assert len(got) >= 60 and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+    assert len(got) == 62 and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
     for s in sizes:
         assert sum(r["taken"] for r in got if r["source"] == s) == pytest.approx(want[s], abs=6)
     assert mixing.apply(df).count() == sum(r["taken"] // r["size"] for r in got)
 
 
+def test_mixing_keeps_every_row(spark):
+    rows = [(None, None, "en", "a", 1)] * 3 + [(None, "", "en", "a", 0)] * 2 + [(4, "w w w", "en", "b", 3)] * 2 + [(4, "w w", "en", "b", 3), (5, "w " * 30_000, "en", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit("x"), "taken": F.lit(None), "_n": F.lit(1)})
+    got = mixing.mix(df).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter({(None, 0): 5, (4, 3): 2, (4, 2): 1, (5, 30_000): 1})
+    out = mixing.apply(df)
+    assert out.columns == df.columns and out.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
+
+
 # 4
 
 

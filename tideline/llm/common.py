@@ -44,7 +44,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

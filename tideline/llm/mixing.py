@@ -10,10 +10,13 @@ Both running sums are taken in two steps, over buckets first (of the shuffle
 hash, of the virtual time) and then inside a bucket, so no source and no queue
 sits in one task; the buckets of one source are a bounded number of rows.
 
-Defined cases: a null text has size 0, and documents of size 0 are never taken;
-sources sort by code point with null last; equal rows share one shuffle place
-and are told apart by their row order there, which changes no total; an empty
-table gives an empty mix; extra columns stay.
+Sizes are counted once, into a table with a number for each row.
+
+Defined cases: every row has its row in the mix, also equal ones, those without
+doc_id and those of one doc_id; a null text has size 0, and documents of size 0 are
+never taken; sources sort by code point with null last; equal rows share one shuffle
+place and stand there in any order, which changes no total; an empty table gives an
+empty mix; extra columns stay; the sources are one small table, a row each.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, hidden, shown, spread
+from tideline.llm.common import WORD, hidden, settle, shown, spread
 
 #: The weights of the sources in their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -71,11 +74,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rounds: int = ROU
     """(doc_id, source, size, source_size, target, taken, place, print) of every row; ``print``, a hash
     of the text, tells equal doc_ids apart."""
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), spread(F.col("doc_id"), seed).alias("place"), F.xxhash64("text").alias("print"))
+    rows = settle(rows.withColumn("_n", F.monotonically_increasing_id()), "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, rounds).withColumn("_s", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     rows = rows.join(per_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_bucket", F.floor(F.col("place") / 2.0**60 * buckets))
     # group by a hash of the source: window keys must not be null-sensitive, and a hash is shorter
-    rows = _running(rows, ["_s"], "_bucket", ["place", "doc_id", "size", "print"], "size", "_cum")
+    rows = _running(rows, ["_s"], "_bucket", ["place", "doc_id", "size", "print", "_n"], "size", "_cum")
     copies = F.when((F.col("size") > 0) & (F.col("target") > 0), F.ceil(F.col("target") / F.col("source_size")).cast("int")).otherwise(0)
     queue = rows.select(
         "*", F.explode_outer(F.when(copies > 0, F.sequence(F.lit(1), F.least(copies, F.lit(rounds))))).alias("_round")
@@ -83,19 +87,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rounds: int = ROU
     # what isn't taken stands before the queue, spread over as many slices
     queue = queue.withColumn("_slice", F.coalesce(F.floor(F.col("_finish") * buckets / rounds), -1 - F.col("_bucket")))
     queue = queue.withColumn("_use", F.when(F.col("_round").isNotNull(), F.col("size")).otherwise(0).cast("long"))
-    queue = _running(queue, [], "_slice", ["_finish", "place", "doc_id", "print", "_cum"], "_use", "_used")
+    queue = _running(queue, [], "_slice", ["_finish", "place", "doc_id", "print", "_n"], "_use", "_used")
     taken = F.sum(F.when(F.col("_used") <= F.col("budget"), F.col("_use")).otherwise(0))
-    return queue.groupBy("doc_id", "source", "place", "print", "size", "source_size", "target", "_cum").agg(taken.alias("taken")).drop("_cum")
+    one = lambda c: F.first(c).alias(c)
+    return queue.groupBy("_n").agg(*map(one, ("doc_id", "source", "place", "print", "size", "source_size", "target")), taken.alias("taken")).drop("_n")
 
 
 def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each as often as its words are taken whole."""
     plan = mix(docs, weights, rounds, seed).where("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), F.col("source").alias("_s")).agg(F.sum("taken").alias("_t"), F.max("size").alias("_n"))
-    # rows that are equal share their plan evenly: each gets the mean, the first ones the rest
     x, own = hidden(docs)
     doc_id, source = own["doc_id"], own["source"]
     x = x.withColumn("_print", F.xxhash64(F.col(own["text"])))
     x = x.join(plan, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p")) & F.col(source).eqNullSafe(F.col("_s")))
+    # equal rows share their plan evenly: each gets the mean, the first ones the rest
     equal = Window.partitionBy("_print", doc_id, source)
     x = x.withColumn("_k", F.row_number().over(equal.orderBy("_t")) - 1).withColumn("_m", F.count(F.lit(1)).over(equal))
     whole = F.floor(F.col("_t") / F.col("_n"))

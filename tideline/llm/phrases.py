@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.llm.common import settle
+from tideline.llm.common import release, settle
 
 WINDOW, PHRASE = 20, 8
 #: Distinct stretches of an anchor beyond which its windows are dealt out one by one.
@@ -319,18 +319,23 @@ def repeated_ranges(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE,
     """(id, tie, from, to) of ``keyed`` documents: word ranges under windows that also start earlier (they may overlap)."""
     every = settle(stretches(docs, width, phrase), "stretches")
     place = F.min(F.struct(F.col("id").alias("fid"), F.col("tie").alias("ftie"), F.col("at").alias("fat"))).alias("p")
-    firsts = settle(every.groupBy("route", "print").agg(place, F.count(F.lit(1)).alias("copies"), F.max("windows").alias("windows")), "firsts")
-    anchors_ = firsts.groupBy("route").agg(F.count(F.lit(1)).alias("stretches"))
+    alike = settle(every.groupBy("route", "print").agg(place, F.count(F.lit(1)).alias("copies")), "alike")
+    anchors_ = alike.groupBy("route").agg(F.count(F.lit(1)).alias("stretches"))
     # an anchor with one stretch at one place has nothing to compare
-    firsts = settle(firsts.join(anchors_, "route").where("stretches > 1 OR copies > 1").select("route", "print", "p.*", "copies", "windows", "stretches"), "firsts")
-    texts = every.where("words IS NOT NULL").select("route", "print", "offset", "words").join(firsts, ["route", "print"])
-    total, most = firsts.agg(F.sum("windows"), F.max("stretches")).first()
+    firsts = settle(alike.join(anchors_, "route").where("stretches > 1 OR copies > 1").select("route", "print", "p.*", "copies", "stretches"), "firsts")
+    release(alike)
+    placed = settle(every.join(firsts, ["route", "print"]).where("copies > 1 OR words IS NOT NULL"), "placed")
+    release(every)
+    texts = placed.where("words IS NOT NULL")
+    total, most = texts.agg(F.sum("windows"), F.max("stretches")).first()
     found = located(texts.where(F.col("stretches") <= hot).select(*TEXT), total or 0, width, phrase)
     if (most or 0) > hot:
         found = found.union(by_single_windows(texts.where(F.col("stretches") > hot).select(*TEXT), width, phrase))
-    x = every.select("route", "print", "id", "tie", "at").join(found, ["route", "print"])
-    here = (F.col("id") == F.col("fid")) & (F.col("tie") == F.col("ftie")) & (F.col("at") == F.col("fat"))
-    return x.where(here == F.col("own")).select("id", "tie", (F.col("at") + F.col("lo")).alias("from"), (F.col("at") + F.col("hi")).alias("to"))
+    found = settle(found, "found")
+    own = found.where("own").select(F.col("fid").alias("id"), F.col("ftie").alias("tie"), (F.col("fat") + F.col("lo")).alias("from"), (F.col("fat") + F.col("hi")).alias("to"))
+    later = placed.where("copies > 1 AND NOT (id = fid AND tie = ftie AND at = fat)").select("route", "print", "id", "tie", "at")
+    later = later.join(found.where("NOT own").select("route", "print", "lo", "hi"), ["route", "print"])
+    return own.union(later.select("id", "tie", (F.col("at") + F.col("lo")).alias("from"), (F.col("at") + F.col("hi")).alias("to")))
 
 
 def remove(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, text_out: bool = False) -> DataFrame:
