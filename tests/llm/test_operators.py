@@ -118,57 +118,41 @@ def test_bloom_has_no_false_negatives(spark):
 # 2
 
 
-def brute_lm(rows, good, size, mu):
-    words = {d: SPACE.findall(lower(t or "")) for d, t, *_ in rows}
-    count = Counter(x for w in words.values() for x in w)
-    return words, count
-
-
-def test_lm_score(spark, docs):
+def brute_lm(rows, good, mu, kept):
+    """Sorted (doc_id, n_tokens, target loss, background loss), by the formula of the docstring."""
+    seqs = [(d, [None, *SPACE.findall(lower(t or ""))]) for d, t, *_ in rows]
+    every = Counter(p for _, s in seqs for p in zip(s, s[1:]))
+    target = Counter(p for d, s in seqs if d in good for p in zip(s, s[1:]))
+    n, words = sum(every.values()), len({w for _, w in every})
+    use = {p for p, c in every.items() if c >= max(2, n / kept)}
+    total = sum(target.values()) or n
+    loss = []
+    for c in (target, every):
+        f = total / sum(c.values()) if c else 0.0
+        one, mass = Counter(), Counter()
+        for (v, w), k in c.items():
+            one[w] += k * f
+            mass[v] += k * f if (v, w) in use else 0
+        z = (total if c else 0) + words
+        loss.append(lambda v, w, c=c, f=f, one=one, mass=mass, z=z: -np.log2((c[v, w] * f * ((v, w) in use) + mu * (one[w] + 1) / z) / (mass[v] + mu)))
+    mean = lambda s, f: round(float(np.mean([f(v, w) for v, w in zip(s, s[1:])])), 6) if len(s) > 1 else None
+    return sorted(((d, len(s) - 1, *(mean(s, f) for f in loss)) for d, s in seqs), key=str), words
+
+
+@pytest.mark.parametrize("kept", [20, 1 << 20])
+def test_lm_score(spark, docs, kept):
     rows, df = docs
-    good = [d for d, *_ in rows if d % 3 == 0]
-    size, mu = 12, 5.0
-    known = lm_score.vocabulary(df, size)
-    names = {}
-    for d, t, *_ in rows:
-        for x in SPACE.findall(lower(t or "")):
-            w = tokens.Words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]), "lower")
-            names[x] = int(w.hash[0])
-    ids = {x: (int(np.searchsorted(known, np.uint64(h))) if h in set(known.tolist()) else size) for x, h in names.items()}
-    counts = Counter(x for _, t, *_ in rows for x in SPACE.findall(lower(t or "")))
-    least = min(counts[x] for x in ids if ids[x] < size)
-    assert sum(v > least for v in counts.values()) <= size  # the most frequent words
-    big = {"t": Counter(), "b": Counter()}
-    seqs = {}
-    for d, t, *_ in rows:
-        s = [size + 1] + [ids[x] for x in SPACE.findall(lower(t or ""))]
-        seqs[d] = s
-        for p in zip(s, s[1:]):
-            big["b"][p] += 1
-            if d in good:
-                big["t"][p] += 1
-    total = sum(big["t"].values())
-    loss = {}
-    for m, c in big.items():
-        f = total / sum(c.values())
-        one = Counter()
-        frm = Counter()
-        for (v, w), n in c.items():
-            one[w] += n * f
-            frm[v] += n * f
-        z = sum(one[w] + 1 for w in range(size + 1))
-        loss[m] = lambda v, w, c=c, f=f, one=one, frm=frm, z=z: -np.log2((c[v, w] * f + mu * (one[w] + 1) / z) / (frm[v] + mu))
-    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(df, spark.createDataFrame([(g,) for g in good + good], "doc_id long"), size, mu).collect()}
-    assert len(got) == len(rows)
-    for d, s in seqs.items():
-        assert got[d]["n_tokens"] == len(s) - 1
-        if len(s) == 1:
-            assert got[d]["difference"] is None
-        else:
-            t, b = (np.mean([loss[m](v, w) for v, w in zip(s, s[1:])]) for m in "tb")
-            assert got[d]["target_loss"] == pytest.approx(t, abs=1e-4) and got[d]["difference"] == pytest.approx(t - b, abs=2e-4)
-    assert lm_score.cross_entropy_difference(empty(spark), df).count() == 0
-    assert lm_score.cross_entropy_difference(df, empty(spark)).count() == len(rows)
+    more = [(None, rows[5][1], "en", "s", 1), (None, None, "en", "s", 1), *rows[20:30], (7, rows[40][1], "en", "s", 1), (901, "zz " * 20_000, "en", "s", 1)]
+    rows, df = rows + more, df.union(spark.createDataFrame(more, SCHEMA)).withColumns({"row": F.lit("x"), "t": F.lit(None)})
+    good = {d for d, *_ in rows if d is not None and d % 3 == 0}
+    labels = spark.createDataFrame([(g,) for g in [*good, *good, None, 12345]], "doc_id long")
+    got = lm_score.cross_entropy_difference(df, labels, 5.0, kept).collect()
+    shown = sorted(((r["doc_id"], r["n_tokens"], *(None if v is None else round(v, 6) for v in r[2:4])) for r in got), key=str)
+    assert shown == brute_lm(rows, good, 5.0, kept)[0]
+    assert all(r["difference"] == (None if r[2] is None else pytest.approx(r[2] - r[3])) for r in got)
+    if kept > 20:
+        assert lm_score.cross_entropy_difference(empty(spark), df).count() == 0
+        assert lm_score.cross_entropy_difference(df, empty(spark)).count() == len(rows)
 
 
 def test_lm_score_keeps_every_word(spark):
@@ -176,22 +160,10 @@ def test_lm_score_keeps_every_word(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i * 50, i * 50 + 50)), "en", "s", 1) for i in range(40)]
     rows += [(100, "the rareone thing", "en", "s", 1), (101, "the raretwo thing", "en", "s", 1), (None, "the rareone thing", "en", "s", 1), (None, None, "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    good, mu = {100, *range(0, 40, 2)}, lm_score.MU
+    good = {100, *range(0, 40, 2)}
     got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(g,) for g in good], "doc_id long")).collect()
-    seqs = [(d, [None, *(t or "").split()]) for d, t, *_ in rows]
-    counts = {m: Counter(p for d, s in seqs if m == "b" or d in good for p in zip(s, s[1:])) for m in "tb"}
-    total, words = sum(counts["t"].values()), len({w for _, s in seqs for w in s[1:]})
-
-    def loss(m, s):
-        c, f = counts[m], total / sum(counts[m].values())
-        one, frm = Counter(), Counter()
-        for (v, w), n in c.items():
-            one[w] += n * f
-            frm[v] += n * f
-        return np.mean([-np.log2((c[v, w] * f + mu * (one[w] + 1) / (total + words)) / (frm[v] + mu)) for v, w in zip(s, s[1:])])
-
-    want = sorted((str(d), len(s) - 1, *((None, None) if len(s) == 1 else (round(loss("t", s), 6), round(loss("b", s), 6)))) for d, s in seqs)
-    assert sorted((str(x[0]), x[1], *(None if v is None else round(v, 6) for v in x[2:4])) for x in got) == want and words > 2000
+    want, words = brute_lm(rows, good, lm_score.MU, lm_score.KEPT)
+    assert sorted(((x[0], x[1], *(None if v is None else round(v, 6) for v in x[2:4])) for x in got), key=str) == want and words > 2000
     by = {x["doc_id"]: x["difference"] for x in got}
     assert by[100] < by[101]
 
