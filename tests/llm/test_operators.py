@@ -409,7 +409,7 @@ def test_minhash_loses_no_link_of_large_buckets(spark):
         texts[len(texts)] = " ".join(base + [f"o{i}x{j}" for j in range(r.choice([4, 16, 30]))])
     df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts.items()], SCHEMA)
     want = classes_of(texts)
-    got = minhash.classes(df, bands=40, rows=2, small=1, hubs=1).collect()
+    got = minhash.classes(df, bands=40, rows=2, small=1).collect()
     assert {x["doc_id"]: x["class_id"] for x in got} == want and 10 < len(set(want.values())) < len(texts)
 
 

@@ -9,12 +9,13 @@ the signature, and the earliest dart of a coordinate is its value.  Two document
 agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts of the same words collapse first, so copies are one node.  Signatures are
-cut into bands; texts that share a band are candidates: all pairs in a bucket of
-at most ``SMALL`` texts, else first each text with ``HUBS`` hubs: of so many parts of the
-bucket by hash, the texts that share most bands with others.  Similarities are
-computed on whole shingle sets (of 32-bit hashes), and classes are the connected
-components of pairs at ``threshold`` or more.  Hubs join most of a large bucket to one
-class.  Where members of different classes are left in one, an exact
+cut into bands; texts that share a band are candidates.  In buckets of more than
+``SMALL`` texts each text is first held against two hubs: of the texts that share
+most bands with others, one a bucket, the best of all its buckets and that of one
+bucket by hash.  Then come all pairs of small buckets that aren't in one class yet.
+Similarities are computed on whole shingle sets (of 64-bit hashes), and classes are
+the connected components of pairs at ``threshold`` or more.  Hubs join most of a large
+bucket to one class.  Where members of different classes are left in one, an exact
 prefix-filtered join finds every similar pair across classes, so no class is
 split that any shared band could join; pairs inside a class aren't listed.
 
@@ -41,7 +42,7 @@ from tideline.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: 16 bands of 4 coordinates: a pair at 0.8 shares one with a chance of 0.9998.
 BANDS, ROWS = 16, 4
-SMALL, HUBS = 16, 4
+SMALL = 16
 #: Bits of the map by which a scan skips texts without candidates (4 MB).
 MAP_BITS = 1 << 25
 WORDS = "space"
@@ -200,18 +201,28 @@ def buckets(members: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
-def candidates(shared: DataFrame, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts in a bucket of (key, node, m): at most
-    max(small, hubs) for each place in a bucket.  What a large bucket has beyond its hubs is left to ``across``."""
-    few = shared.where(F.col("m") <= small).select("key", "node")
-    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
+def hub_pairs(shared: DataFrame, small: int = SMALL) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts in large buckets of (key, node, m) with their hubs: at most two a text."""
     many = shared.where(F.col("m") > small).select("key", "node")
     # how many places of others a text meets: the middle of a group meets most
     met = shared.groupBy("node").agg(F.sum("m").alias("met"))
-    part = F.pmod(F.xxhash64("node", "key"), F.lit(hubs))  # other parts, so other hubs, in each bucket
-    tops = many.join(met, "node").groupBy("key", part.alias("part")).agg(F.max(F.struct(F.col("met"), F.bitwise_not("node").alias("rev"))).alias("top"))
-    star = many.join(tops.select("key", F.bitwise_not("top.rev").alias("hub")), "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.union(star).distinct()
+    top = many.join(met, "node").groupBy("key").agg(F.max(F.struct(F.col("met"), F.bitwise_not("node").alias("rev"))).alias("top"))
+    own = many.join(top, "key").groupBy("node").agg(F.max("top").alias("best"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "top")).alias("other"))
+    hub = F.explode(F.array(F.bitwise_not("best.rev"), F.bitwise_not("other.top.rev")))
+    return own.select("node", hub.alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def small_pairs(shared: DataFrame, small: int = SMALL) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts that share a bucket of (key, node, m) of at most ``small`` texts."""
+    few = shared.where(F.col("m") <= small).select("key", "node")
+    return few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
+
+
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one class of (node, label) yet."""
+    of = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+    x = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return x.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, needed: DataFrame, k: int = SHINGLE, bits: int = MAP_BITS) -> DataFrame:
@@ -231,10 +242,10 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, k: int = SHINGLE, bits: int
                     nth = np.arange(len(row)) - np.repeat(at, np.diff(np.r_[at, len(row)]))
                     h = np.where(nth > 0, tokens.mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
                 ends = np.searchsorted(row, np.arange(w.n_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["node", "elems"])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), tokens.long_column(h))], ["node", "elems"])
 
     at = F.pmod(F.xxhash64("node"), F.lit(bits)).alias("at")
-    return docs.select("node", "text", at).mapInArrow(run, "node long, elems array<int>")
+    return docs.select("node", "text", at).mapInArrow(run, "node long, elems array<bigint>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,17 +286,17 @@ def across(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def _labelled(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, small: int = SMALL, hubs: int = HUBS) -> DataFrame:
+def _labelled(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, small: int = SMALL) -> DataFrame:
     """(doc_id, r, n, class_id, class_key, n_copies) of every row; a node is the least row key of a text's copies."""
     sketches = settle(sketch(docs, bands, rows, k), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("first")  # null ids last
     texts = settle(sketches.where("n > 0").groupBy("p1", "p2").agg(F.min("r").alias("node"), first, F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "texts")
     shared = settle(buckets(texts.select("node", F.explode("bands").alias("key"))), "buckets")
-    pairs = settle(candidates(shared, small, hubs), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     source = docs.select(row_key("doc_id", "text").alias("node"), "text")
-    sets = settle(shingle_sets(source, needed, k).dropDuplicates(["node"]), "sets")
-    links = settle(similar(pairs, sets, threshold).select("a", "b"), "links")
+    sets = settle(shingle_sets(source, shared.select("node").distinct(), k).dropDuplicates(["node"]), "sets")
+    links = settle(similar(settle(hub_pairs(shared, small), "hubs"), sets, threshold).select("a", "b"), "links")
+    label = components(links)
+    links = settle(links.union(similar(apart(small_pairs(shared, small), label), sets, threshold).select("a", "b")), "links")
     label = components(links)
     rest = settle(mixed(shared, label, small), "mixed")
     if not rest.isEmpty():
