@@ -255,6 +255,55 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def common_run(a, b):
+    """The length of the longest common subsequence."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        old = 0
+        for j, y in enumerate(b):
+            old, best[j + 1] = best[j + 1], old + 1 if x == y else max(best[j], best[j + 1])
+    return best[-1]
+
+
+def test_license_scan_finds_every_place(spark):
+    """Licenses twice, two in one text, with foreign words inside and edited, against the longest common subsequence."""
+    r = random.Random(12)
+    words = {k: ALNUM.findall(lower(t)) for k, t in license_scan.TEMPLATES.items()}
+    filler = [f"w{i}" for i in range(300)] + "the of software version rights license work this to in".split()
+    fill = lambda n: [r.choice(filler) for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        t, places = fill(r.randint(0, 60)), []
+        for name in r.sample(["mit", "gpl-3.0", "isc", "bsd-3-clause", "mpl-2.0"], r.randint(0, 2)):
+            for _ in range(r.choice([1, 1, 2])):
+                w = list(words[name])
+                for _ in range(r.randint(0, 3)):
+                    w[r.randrange(1, len(w) - 1)] = f"x{r.randrange(99)}"
+                if r.random() < 0.3:
+                    k = r.randrange(9, len(w) - 9)
+                    w[k:k] = [r.choice(filler[:300]) for _ in range(100)]
+                places.append((name, len(t), len(t) + len(w), common_run(words[name], w) / len(words[name])))
+                t += w + [r.choice(filler[:300]) for _ in range(r.randint(40, 90))]
+        rows.append((i, " ".join(t)))
+        want[i] = places
+    rows += [(None, license_scan.TEMPLATES["mit"]), (None, None), (70, license_scan.TEMPLATES["mit"]), (70, license_scan.TEMPLATES["mit"]), (71, "this work is under a 4 0"), (72, " ".join(fill(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1))
+    out = license_scan.scan(df).collect()
+    assert Counter(x["doc_id"] for x in out) == Counter(d for d, _ in rows)
+    got = {x["doc_id"]: x for x in out if x["doc_id"] is not None}
+    for d, places in want.items():
+        near = lambda f, x: f["license"] == x[0] and abs(f["start"] - x[1]) <= 5 and abs(f["end"] - x[2]) <= 5 and x[3] - 0.13 <= f["coverage"] <= x[3] + 0.06
+        assert all(any(near(f, x) for x in places) for f in got[d]["found"])
+        # patience may miss a little of the longest: what is edited most may stay below the threshold
+        assert all(any(near(f, x) for f in got[d]["found"]) for x in places if x[3] >= 0.93)
+        assert (got[d]["license"] is None) == (not got[d]["found"])
+    assert sorted(str(x["license"]) for x in out if x["doc_id"] is None) == ["None", "mit"] and got[70]["license"] == "mit"
+    assert got[71]["license"] is None and got[71]["coverage"] is None and got[72]["license"] is None
+    cut = " ".join(words["mit"][:30] + ["foreign"] * 200 + words["mit"][30:])
+    x = license_scan.scan(spark.createDataFrame([(1, cut)], "doc_id long, text string")).first()
+    assert x["license"] == "mit" and x["coverage"] == 1.0
+
+
 def test_patience():
     r = random.Random(5)
     for _ in range(200):

@@ -2,19 +2,28 @@
 
 A template's words are aligned with a text in order: words that stand exactly once
 in both are anchors, the longest increasing run of them is kept, matches grow to
-both sides of each anchor, and the gaps between are aligned the same way.  The
-coverage is the share of the template's words that are aligned.
-
-A text is aligned only near the template's telling words (those that are not in
-``PLAIN``): clusters of them no further apart than the template is long, widened by
-that length.  Without a telling word the coverage can't reach the threshold,
-as no template has more plain words than ``1 - threshold`` allows for.
-
-The templates are a fixed small list; a text is scanned whole, in one pass.
-
-Defined cases: a null or wordless text has no license; of equal coverages the
-longer template wins, then the first in the list; equal rows stay; an empty table
-gives an empty result.
+both sides of each anchor, and the gaps between are aligned the same way; a small gap
+without an anchor by its longest common subsequence.  The coverage is the share of the template's words that are aligned.
+
+A text's words that the template doesn't have match nothing and are left out first.
+A license may stand more than once: the template's word that is rarest in the text
+divides it, so that the word is unique in each piece (from the place before to the
+place after), and each piece is aligned.  What is found is taken out, and the rest is
+searched again, by the next rarest word where one finds nothing, until all the
+telling words (those not in ``PLAIN``) have been tried.  A license with all its words
+takes at most ``SPREAD`` times the template's length, foreign words included; up to a
+tenth of its words (or two) that stand off by half that length are strays and don't count.
+
+No alignment covers more than the words that text and template share, so where these
+are too few none is made.  The templates are a fixed small list; a text is scanned
+whole, in one pass.
+
+Defined cases: a null or wordless text has no license; where several templates fit
+one place the one with most aligned words counts, then the better coverage, then the
+first in the list; a document's license is the one with most aligned words, then that
+with the better coverage, then the first place; equal rows and rows of one doc_id or
+none stay, each with its own result; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +57,10 @@ TEMPLATES = {
 PLAIN = set("a an and any any are as at be by for form free from if in is it later not of on one or other that the this to under use used was with without work you file copy".split()) | set("0123456789")
 
 THRESHOLD = 0.8
+#: A license takes at most so many times its template's length.
+SPREAD = 6
+#: Gaps without anchors of at most so many word pairs are aligned by the longest common subsequence.
+SMALL_GAP = 1024
 WORDS = "alnum"
 
 
@@ -108,61 +121,118 @@ def align(template: list[int], text: list[int]) -> list[tuple[int, int]]:
             at, to = hi, hj
         if kept:
             gaps.append((at, b, to, d))
+        elif (b - a) * (d - c) <= SMALL_GAP:
+            out += longest(template, text, a, b, c, d)
     return sorted(out)
 
 
+def longest(template: list[int], text: list[int], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """The longest common run, not necessarily without gaps, of template[a:b] and text[c:d], of a bounded size."""
+    best = np.zeros((b - a + 1, d - c + 1), np.int32)
+    for i in range(b - a - 1, -1, -1):
+        for j in range(d - c - 1, -1, -1):
+            best[i, j] = best[i + 1, j + 1] + 1 if template[a + i] == text[c + j] else max(best[i + 1, j], best[i, j + 1])
+    out, i, j = [], 0, 0
+    while i < b - a and j < d - c:
+        if template[a + i] == text[c + j]:
+            out.append((a + i, c + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def unstray(matches: list[tuple[int, int]], at: list[int], n: int) -> list[tuple[int, int]]:
+    """The matches of a template of n words without few words at either end that stand far from the rest."""
+    few = max(2, n // 10)
+    gaps = [i for i in range(1, len(matches)) if at[matches[i][1]] - at[matches[i - 1][1]] > max(n / 2, 3)]
+    lo = max([i for i in gaps if i <= few], default=0)
+    hi = min([i for i in gaps if i >= len(matches) - few and i > lo], default=len(matches))
+    return matches[lo:hi]
+
+
 class Scanner:
     """The templates ready for use in a task."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.words = {k: words_of(t).hash.tolist() for k, t in templates.items()}
-        plain = set(words_of(" ".join(sorted(PLAIN))).hash.tolist())
-        self.telling = {k: set(x) - plain for k, x in self.words.items()}
-        self.every = np.sort(np.array(sorted(set().union(*self.telling.values()) if templates else set()), np.uint64))
-
-    def best(self, text: np.ndarray, at: np.ndarray) -> tuple[str, float, int, int] | None:
-        """(license, coverage, first word, word after the last) over all templates; ``at``: telling words."""
-        out = None
-        there = text[at].tolist()
-        for name, template in self.words.items():
-            mine = [p for p, x in zip(at.tolist(), there) if x in self.telling[name]]
-            n = len(template)
-            i = 0
-            while i < len(mine):
-                j = i
-                while j + 1 < len(mine) and mine[j + 1] - mine[j] <= n:
-                    j += 1
-                lo, hi = max(0, mine[i] - n), min(len(text), mine[j] + n + 1)
-                got = align(template, text[lo:hi].tolist())
-                if got and (out is None or (len(got) / n, n) > (out[1], out[4])):
-                    out = (name, len(got) / n, lo + got[0][1], lo + got[-1][1] + 1, n)
-                i = j + 1
-        return out and out[:4]
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, coverage, start, end) of every row: the best template with at least the
-    threshold's coverage and its place in words; else nulls, and the coverage that was reached."""
+    def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD, spread: int = SPREAD):
+        self.threshold, self.spread, self.names = threshold, spread, list(templates)
+        words = [words_of(t).hash for t in templates.values()]
+        self.every, flat = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_inverse=True)
+        ends = np.cumsum([0, *map(len, words)])
+        self.words = [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
+        self.times = np.array([np.bincount(w, minlength=len(self.every)) for w in self.words]).reshape(len(words), -1)
+        plain = np.isin(self.every, words_of(" ".join(sorted(PLAIN))).hash)
+        # a text without telling words can't reach the threshold where a template's share of plain words is below it
+        self.telling = [{x for x in w if not plain[x]} if sum(plain[w]) < threshold * len(w) else set(w) for w in self.words]
+        self.marks = np.isin(np.arange(len(self.every)), sorted(set().union(*self.telling)))
+
+    def places(self, k: int, at: list[int], words: list[int]) -> list[tuple[int, float, int, int]]:
+        """(aligned words, coverage, first word, word after the last) of each place of a template, in a text's words ``words`` at ``at``."""
+        template, telling, out = self.words[k], self.telling[k], []
+        n, own = len(template), set(self.words[k])
+        left = [(p, w) for p, w in zip(at, words) if w in own]
+        need, tried = Counter(template), set()
+        while True:
+            have = Counter(w for _, w in left)
+            rest = [w for w in have if w in telling and w not in tried]
+            if not rest or (have & need).total() < self.threshold * n:
+                return out
+            rare = min(rest, key=lambda w: (have[w], template.index(w)))
+            marks = [i for i, (_, w) in enumerate(left) if w == rare]
+            used: set[int] = set()
+            for before, i, after in zip([-1, *marks], marks, [*marks[1:], len(left)]):
+                for reach in (1.5 * n, 3 * n, self.spread * n):  # the closest words first
+                    near = [j for j in range(before + 1, after) if j not in used and abs(left[j][0] - left[i][0]) <= reach]
+                    got = unstray(align(template, [left[j][1] for j in near]), [left[j][0] for j in near], n)
+                    if len(got) >= self.threshold * n:
+                        first, last = left[near[got[0][1]]][0], left[near[got[-1][1]]][0]
+                        if last - first < self.spread * n:
+                            used |= {near[j] for _, j in got}
+                            out.append((len(got), len(got) / n, first, last + 1))
+                            break
+            left = [x for i, x in enumerate(left) if i not in used]
+            tried = set() if used else tried | {rare}
+
+    def found(self, at: np.ndarray, words: np.ndarray) -> list[tuple[str, float, int, int, int]]:
+        """(license, coverage, start, end, aligned words) of all templates in a text, by their place."""
+        share = np.minimum(self.times, np.bincount(words, minlength=len(self.every))).sum(axis=1)
+        all_: list[tuple] = []
+        for k in np.flatnonzero(share >= self.threshold * self.times.sum(axis=1)).tolist():
+            all_ += [(-m, -c, k, a, b) for m, c, a, b in self.places(k, at.tolist(), words.tolist())]
+        out: list[tuple] = []
+        for m, c, k, a, b in sorted(all_):
+            if all(b <= x[2] or a >= x[3] for x in out):
+                out.append((self.names[k], -c, a, b, -m))
+        return sorted(out, key=lambda x: x[2])
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, spread: int = SPREAD) -> DataFrame:
+    """(doc_id, license, coverage, start, end, found) of every row: the license with most aligned words, its
+    coverage and place in words, else nulls; ``found``: all licenses of the text, by their place."""
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(templates)
+        s = Scanner(templates, threshold, spread)
+        one = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for rows, w in tokens.slices(batch, "text", WORDS):
-                out: list[tuple] = [(None, 0.0, None, None)] * w.n_rows
+                every: list[list[tuple]] = [[] for _ in range(w.n_rows)]
                 if len(s.every) and len(w.hash):
                     at = np.minimum(np.searchsorted(s.every, w.hash), len(s.every) - 1)
                     hit = np.flatnonzero(s.every[at] == w.hash)
                     where = np.searchsorted(hit, w.first)
-                    for i in np.flatnonzero(np.diff(where)).tolist():
-                        a, b = int(w.first[i]), int(w.first[i + 1])
-                        got = s.best(w.hash[a:b], hit[where[i] : where[i + 1]] - a)
-                        if got:
-                            out[i] = got if got[1] >= threshold else (None, got[1], None, None)
-                cols = list(zip(*out)) if out else [()] * 4
+                    told = np.searchsorted(hit[s.marks[at[hit]]], w.first)
+                    for i in np.flatnonzero(np.diff(told)).tolist():
+                        h = hit[where[i] : where[i + 1]]
+                        every[i] = s.found(h - w.first[i], at[h])
+                best = [max(x, key=lambda f: (f[4], f[1], -f[2]))[:4] if x else (None,) * 4 for x in every]
+                cols = list(zip(*best)) if best else [()] * 4
+                lists = [[dict(zip(("license", "coverage", "start", "end"), f)) for f in x] for x in every]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
-                    ["doc_id", "license", "coverage", "start", "end"],
+                    [rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(lists, pa.list_(one))],
+                    ["doc_id", "license", "coverage", "start", "end", "found"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, coverage double, start int, end int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, coverage double, start int, end int, found array<struct<license:string,coverage:double,start:int,end:int>>")
