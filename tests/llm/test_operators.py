@@ -292,7 +292,7 @@ def test_license_scan_finds_every_place(spark):
     assert Counter(x["doc_id"] for x in out) == Counter(d for d, _ in rows)
     got = {x["doc_id"]: x for x in out if x["doc_id"] is not None}
     for d, places in want.items():
-        near = lambda f, x: f["license"] == x[0] and abs(f["start"] - x[1]) <= 5 and abs(f["end"] - x[2]) <= 5 and x[3] - 0.13 <= f["coverage"] <= x[3] + 0.06
+        near = lambda f, x: f["license"] == x[0] and abs(f["start"] - x[1]) <= 12 and abs(f["end"] - x[2]) <= 12 and x[3] - 0.15 <= f["coverage"] <= x[3] + 0.06
         assert all(any(near(f, x) for x in places) for f in got[d]["found"])
         # patience may miss a little of the longest: what is edited most may stay below the threshold
         assert all(any(near(f, x) for f in got[d]["found"]) for x in places if x[3] >= 0.93)
@@ -587,7 +587,7 @@ def test_sharding(spark, docs):
 
 def test_slot_maps_grow(spark):
     sizes = spark.range(1000).select(F.col("id").cast("int").alias("vslot"), (F.xxhash64("id") % 50 + 60).alias("bytes"), F.lit(1).cast("long").alias("rows"))
-    old = sharding.first_map(sizes, 8)
+    old = sharding.first_map(sizes, 8, 1000)
     new = sharding.grow(old, 10)
     a, b = ({r["slot"]: r for r in x.collect()} for x in (old, new))
     assert {r["version"] for r in a.values()} == {0} and {r["version"] for r in b.values()} == {1}
@@ -600,6 +600,34 @@ def test_slot_maps_grow(spark):
     assert {s: r["shard"] for s, r in a.items()} == {r["slot"]: r["shard"] for r in sharding.grow(old, 8).collect()}
 
 
+def test_stored_maps(spark, docs, tmp_path):
+    """New data go where their slots live; growing and rebalancing move few slots; each edit is a version."""
+    rows, df = docs
+    path = str(tmp_path / "map")
+    where = lambda x: {r["vslot"]: r["shard"] for r in x.collect()}
+    one = where(sharding.shard(df, 5, 64, path))
+    more = spark.createDataFrame([(1000 + i, "new " * (i % 50), "en", "s", 1) for i in range(300)] + [(None, f"null {i}", "en", "s", 1) for i in range(40)], SCHEMA)
+    every = df.union(more)
+    two = sharding.shard(every, 5, 64, path)
+    assert all(where(two)[v] == s for v, s in one.items()) and {r["version"] for r in sharding.latest(spark, path).collect()} == {0}
+    for s in range(5):
+        assert sorted(r["slot"] for r in two.where(F.col("shard") == s).collect()) == list(range(two.where(F.col("shard") == s).count()))
+    assert two.where("doc_id IS NULL").select("vslot").distinct().count() > 20
+    old = where(two)
+    three = where(sharding.shard(every, 6, 64, path))
+    assert all(three[v] in (s, 5) for v, s in old.items()) and 5 in three.values()
+    assert {r["version"] for r in sharding.latest(spark, path).collect()} == {1}
+    now = sharding.measured(sharding.latest(spark, path), sharding.slot_sizes(sharding.records(every, 64)))
+    sharding.store(sharding.rebalance(now, 6), path)
+    end = {r["slot"]: r for r in sharding.latest(spark, path).collect()}
+    assert len(end) == 64 and {r["version"] for r in end.values()} == {2}
+    loads = lambda m: [sum(r["bytes"] for r in m if r["shard"] == s) for s in range(6)]
+    before = now.collect()
+    assert max(loads(end.values())) <= max(loads(before)) and sum(end[r["slot"]]["shard"] != r["shard"] for r in before) < 32
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        sharding.store(sharding.latest(spark, path), path)
+
+
 # 9
 
 

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, license_scan, lm_score, minhash, mixing, phrases, quality, sharding, toxicity, url_filter
-from tideline.llm.common import table
+from tideline.llm.common import spread, table
 
 #: The rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: The list of the URL query: all URLs of hosts with this label.
-LISTED = "spam-farm."
+#: The list of the URL query: all URLs of hosts with this label, and of the others one in so many by a hash.
+LISTED, ONE_IN = "spam-farm.", 50
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.select("url").where(url_filter.host(F.col("url")).startswith(LISTED))
+    listed = pages.select("url").where(url_filter.host(F.col("url")).startswith(LISTED) | (F.pmod(spread(F.col("url")), F.lit(ONE_IN)) == 0))
     return url_filter.judge(pages.select("page_id", "url"), listed, URL_RULES).drop("url")
 
 
@@ -75,6 +75,10 @@ QUERIES = {
     )
 }
 
+def _spread_sql(key: str, seed: int = 0) -> str:
+    return f"CAST('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '') || '/{seed}'), 1, 15) AS BIGINT)"
+
+
 _CANON = r"""
  parts AS (
   SELECT page_id, url,
@@ -86,8 +90,8 @@ _CANON = r"""
   SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '(/index\.html?|\.html?|/+)$', '')
    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&'), ''), '') END AS key
   FROM parts),
- listed AS (SELECT DISTINCT key FROM canon WHERE host LIKE 'spam-farm.%' AND key IS NOT NULL),
-"""
+ listed AS (SELECT DISTINCT key FROM canon WHERE (host LIKE 'spam-farm.%' OR SPREAD % ONE_IN = 0) AND key IS NOT NULL),
+""".replace("SPREAD", _spread_sql("url")).replace("ONE_IN", str(ONE_IN))
 
 ORACLE_SQL = {
     "op1_url_filters": "WITH" + _CANON + r"""
@@ -155,10 +159,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 ORACLE_SQL["op5_quality_rules"] = _quality_sql()
 
 
-def _spread_sql(key: str, seed: int = 0) -> str:
-    return f"CAST('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '') || '/{seed}'), 1, 15) AS BIGINT)"
-
-
 ORACLE_SQL["op3_mixing"] = f"""
 WITH r AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_SPACED}')), 0) AS BIGINT) AS size, {_spread_sql('doc_id')} AS place FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
@@ -185,7 +185,7 @@ _BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..
 _CRC = f"xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), CAST(xor(c, b) & 255 AS BIGINT) + 1)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
 
 ORACLE_SQL["op8_sharding"] = f"""
-WITH RECURSIVE d AS (SELECT doc_id, CAST({_CRC} AS BIGINT) AS text_crc32, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, CAST({_spread_sql('doc_id')} % {sharding.SLOTS} AS INTEGER) AS vslot FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, CAST({_CRC} AS BIGINT) AS text_crc32, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, CAST({_spread_sql("coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))")} % {sharding.SLOTS} AS INTEGER) AS vslot FROM documents),
  s AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, vslot DESC, n DESC) AS k FROM (SELECT vslot, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM d GROUP BY 1)),
  p AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(40), lambda x: CAST(0 AS BIGINT)) AS loads, -1 AS vslot, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS shard
   UNION ALL SELECT s.k, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + s.bytes ELSE v END), s.vslot, s.n, list_position(loads, list_min(loads)) - 1 FROM p JOIN s ON s.k = p.k + 1),

@@ -3,9 +3,10 @@
 Listed URLs are brought to one canonical form and set 8 bits in one 256-bit
 block of a Bloom filter, held as a table of blocks (``block, w0..w3``).  A page
 meets its one block in an equi-join; only pages whose bits are all set go on to
-the exact join with the list, which removes false positives.  The table has at
-most ``n_blocks`` rows of 40 bytes whatever the length of the list, so it may be
-broadcast; a list too long for it costs more exact comparisons, not errors.
+the exact join with the list, which removes false positives.  The filter has 16 bits
+for each listed URL, up to ``MAX_BLOCKS`` blocks of 40 bytes, so it may be broadcast
+whatever the length of the list; beyond 16 million URLs more pages go on to the
+exact join, which is a shuffle join, and the result is the same.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits
 no rule and is never listed; nulls and repeats in the list are ignored; repeated
@@ -19,10 +20,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, UPPER, hidden, shown
+from tideline.llm.common import LOWER, UPPER, hidden, settle, shown
 
-#: 65,536 blocks of 256 bits (2 MB): 16 bits for each of a million URLs.
-N_BLOCKS = 1 << 16
+#: At least and at most so many blocks of 256 bits (0.25 and 32 MB of bits).
+MIN_BLOCKS, MAX_BLOCKS = 1 << 13, 1 << 20
 
 
 def host(url: Column) -> Column:
@@ -64,16 +65,23 @@ def _bits(key: Column, n_blocks: int) -> list[Column]:
     return [F.pmod(where, F.lit(n_blocks)).alias("block"), *(word(w).alias(f"m{w}") for w in range(4))]
 
 
-def bloom(keys: DataFrame, key: str, n_blocks: int = N_BLOCKS) -> DataFrame:
+def blocks_for(n: int) -> int:
+    """A power of two of blocks with 16 bits for each of n URLs, within the bounds."""
+    return min(MAX_BLOCKS, max(MIN_BLOCKS, 1 << max(0, n * 16 // 256).bit_length()))
+
+
+def bloom(keys: DataFrame, key: str, n_blocks: int = MIN_BLOCKS) -> DataFrame:
     """The filter as a table: at most ``n_blocks`` rows (block, w0, w1, w2, w3)."""
     return keys.where(F.col(key).isNotNull()).select(*_bits(F.col(key), n_blocks)).groupBy("block").agg(*(F.bit_or(f"m{w}").alias(f"w{w}") for w in range(4)))
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = (), url: str = "url", listed_url: str = "url", n_blocks: int = N_BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = (), url: str = "url", listed_url: str = "url", n_blocks: int | None = None) -> DataFrame:
     """Every page with host, path, rule, listed and verdict (``allow`` or ``block``):
     the longest rule's verdict, else ``block`` if the page's canonical URL is listed."""
     rules = list(rules)
     keys = listed.select(canonical(F.col(listed_url)).alias("_key")).where("_key IS NOT NULL").distinct()
+    keys = settle(keys, "listed")
+    n_blocks = n_blocks or blocks_for(keys.count())
     pages, names = hidden(pages)
     url, own = names[url], list(names.values())
     seen = pages.select(*own, host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), canonical(F.col(url)).alias("_key"))
