@@ -8,9 +8,9 @@ without an anchor by its longest common subsequence.  The coverage is the share
 A text's words that the template doesn't have match nothing and are left out first.
 A license may stand more than once: the template's word that is rarest in the text
 divides it, so that the word is unique in each piece (from the place before to the
-place after), and each piece is aligned.  What is found is taken out, and the rest is
-searched again, by the next rarest word where one finds nothing, until all the
-telling words (those not in ``PLAIN``) have been tried.  A license with all its words
+place after), and each piece is aligned, at first near the word only.  Where one word finds
+nothing the next rarest is tried, of all the telling words (those not in ``PLAIN``).
+What is found is taken out, and the rest is searched again.  A license with all its words
 takes at most ``SPREAD`` times the template's length, foreign words included; up to a
 tenth of its words (or two) that stand off by half that length are strays and don't count.
 
@@ -173,17 +173,17 @@ class Scanner:
         template, telling, out = self.words[k], self.telling[k], []
         n, own = len(template), set(self.words[k])
         left = [(p, w) for p, w in zip(at, words) if w in own]
-        need, tried = Counter(template), set()
+        need = Counter(template)
         while True:
             have = Counter(w for _, w in left)
-            rest = [w for w in have if w in telling and w not in tried]
-            if not rest or (have & need).total() < self.threshold * n:
+            if (have & need).total() < self.threshold * n:
                 return out
-            rare = min(rest, key=lambda w: (have[w], template.index(w)))
-            marks = [i for i, (_, w) in enumerate(left) if w == rare]
+            rare = sorted((w for w in have if w in telling), key=lambda w: (have[w], template.index(w)))
             used: set[int] = set()
-            for before, i, after in zip([-1, *marks], marks, [*marks[1:], len(left)]):
-                for reach in (1.5 * n, 3 * n, self.spread * n):  # the closest words first
+            # the closest words first
+            for reach, mark in ((r, w) for r in (1.5 * n, 3 * n, self.spread * n) for w in rare):
+                marks = [i for i, (_, w) in enumerate(left) if w == mark]
+                for before, i, after in zip([-1, *marks], marks, [*marks[1:], len(left)]):
                     near = [j for j in range(before + 1, after) if j not in used and abs(left[j][0] - left[i][0]) <= reach]
                     got = unstray(align(template, [left[j][1] for j in near]), [left[j][0] for j in near], n)
                     if len(got) >= self.threshold * n:
@@ -191,9 +191,11 @@ class Scanner:
                         if last - first < self.spread * n:
                             used |= {near[j] for _, j in got}
                             out.append((len(got), len(got) / n, first, last + 1))
-                            break
+                if used:
+                    break
+            if not used:
+                return out
             left = [x for i, x in enumerate(left) if i not in used]
-            tried = set() if used else tried | {rare}
 
     def found(self, at: np.ndarray, words: np.ndarray) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, start, end, aligned words) of all templates in a text, by their place."""
