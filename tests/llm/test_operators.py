@@ -292,7 +292,7 @@ def test_license_scan_finds_every_place(spark):
     assert Counter(x["doc_id"] for x in out) == Counter(d for d, _ in rows)
     got = {x["doc_id"]: x for x in out if x["doc_id"] is not None}
     for d, places in want.items():
-        near = lambda f, x: f["license"] == x[0] and abs(f["start"] - x[1]) <= 12 and abs(f["end"] - x[2]) <= 12 and x[3] - 0.15 <= f["coverage"] <= x[3] + 0.06
+        near = lambda f, x: f["license"] == x[0] and abs(f["start"] - x[1]) <= 12 and abs(f["end"] - x[2]) <= 12 and x[3] - 0.2 <= f["coverage"] <= x[3] + 0.06
         assert all(any(near(f, x) for x in places) for f in got[d]["found"])
         # patience may miss a little of the longest: what is edited most may stay below the threshold
         assert all(any(near(f, x) for f in got[d]["found"]) for x in places if x[3] >= 0.93)
@@ -356,6 +356,22 @@ def test_quality_keep(spark, docs):
     assert quality.keep(empty(spark)).count() == 0
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    """Lists of keywords go, prose of each language stays, also of more languages than are broadcast."""
+    r = random.Random(9)
+    common = {"en": quality.COMMON[:25], "de": quality.COMMON[48:70]}
+    word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9)))
+    prose = lambda c, n: " ".join(r.choice(c) if r.random() < 0.3 else word() + ("." if r.random() < 0.1 else "") for _ in range(n)).capitalize() + "."
+    rows = [(i, prose(common[lang], r.randint(120, 400)), lang, "s", 1) for i, lang in enumerate(["en", "de"] * 40)]
+    rows += [(200 + i, " ".join(word() for _ in range(200)).capitalize() + ".", lang, "s", 1) for i, lang in enumerate(["en", "de", None])]
+    rows += [(None, rows[0][1], "en", "s", 1), (400, prose(common["en"], 20_000), "en", "s", 1)]
+    rare = [(1000 + i, prose(common["en"], 110), f"x{i}", "s", 1) for i in range(12)]
+    kept = {x["doc_id"] for x in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect() if x["kept"]}
+    assert kept == {x[0] for x in rows} - {200, 201, 202}
+    got = [x for x in quality.judge(spark.createDataFrame(rows[:80] + [(500, " ".join(x[1] for x in rows[:80]) * 4, "en", "s", 1)] + rare, SCHEMA)).collect() if (x["doc_id"] or 0) >= 1000]
+    assert len(got) == 12 and all(x["class_distance"] < 1e-6 and x["word_distance"] < 1e-6 for x in got)  # the only text of its language
+
+
 def test_divergence(spark):
     p, q = [1.0, 3.0, 0.0], [2.0, 1.0, 1.0]
     a, b = np.array(p) / 4, np.array(q) / 4

@@ -3,15 +3,20 @@
 A document's character classes and common words are counted and held against
 references of its language by Jensen-Shannon distance (base 2, between 0 and 1).
 The references are the same counts over all documents of the language, and over
-all documents together for a language beyond ``MAX_LANGUAGES`` or a null one.
-A distance counts only from a minimum length on: short texts are too noisy.
+all documents together for a null one.  A distance counts only from a minimum length
+on: short texts are too noisy.  The word distance is judged against that of a text
+without any common word from the same reference: from ``MAX_WORD_SHARE`` of it on, a
+text has no more of its language's common words than a list of keywords has.
 
 One pass over the texts makes the references (a sum a language), a second one
-judges; nothing but the sums is shuffled.
+judges; nothing but the sums is shuffled.  References of languages with a thousandth
+of all characters or more (at most ``HOT`` of them) are broadcast; texts of other
+languages, if there are any, meet theirs in a shuffle join.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text
-under the minimum lengths has null distances and isn't rejected by them; repeated
-rows stay; an empty table gives an empty result; extra columns stay.
+under the minimum lengths has null distances and isn't rejected by them; rows without
+doc_id and repeated rows stay, each judged alike; an empty table gives an empty
+result; extra columns stay; a text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -32,11 +37,11 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Spark expressions of the counted classes; what is left over counts as lower-case letters and others.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"[0-9]", "mark": r"[.,;:!?'\"()-]"}
 
-#: At most so many languages get a reference of their own, those with most text first.
-MAX_LANGUAGES = 1000
+#: References of languages with a share of one in so many characters are broadcast.
+HOT = 1000
 MIN_CHARS, MIN_WORDS = 200, 100
-#: Distances above these reject a document.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.5
+#: Distances above these reject a document; that of words also from a share on of the distance of a text without common words.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_WORD_SHARE = 0.28, 0.5, 0.95
 WINDOW = 8
 
 
@@ -79,16 +84,17 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, kinds, common) with summed counts: at most MAX_LANGUAGES rows and one for all (null)."""
+    """(_l, _all, _rk, _rc, _rd): each language's summed kinds and common words, and the distance of a text without
+    common words; one row has the sums of all documents (``_all`` = 1)."""
     x = _counted(docs, text)
     n, m = 2 + len(CLASSES) + 1, len(COMMON) + 1
     sums = [F.sum(F.col("_kinds")[i]).alias(f"k{i}") for i in range(n)] + [F.sum(F.col("_common")[i]).cast("long").alias(f"c{i}") for i in range(m)]
     # of all documents: the rollup's total, from the same partial sums
     by = x.withColumn("_l", F.col(lang)).rollup("_l").agg(F.grouping("_l").alias("_all"), *sums)
-    # a row a language; written once, as the judging reads it twice
-    shape = settle(by.select("_l", "_all", F.array(*(f"k{i}" for i in range(n))).alias("_rk"), F.array(*(f"c{i}" for i in range(m))).alias("_rc")), "references")
-    own = shape.where("_all = 0 AND _l IS NOT NULL").orderBy(F.desc(F.aggregate("_rk", F.lit(0).cast("long"), lambda a, v: a + v)), "_l").limit(MAX_LANGUAGES)
-    return own.unionByName(shape.where("_all = 1").withColumn("_l", F.lit(None).cast("string"))).drop("_all")
+    # a row a language; written once, as the judging reads it more than once
+    shape = by.select("_l", "_all", F.array(*(f"k{i}" for i in range(n))).alias("_rk"), F.array(*(f"c{i}" for i in range(m))).alias("_rc"))
+    none = F.array(*[F.lit(0.0)] * (m - 1), F.lit(1.0))
+    return settle(shape.withColumn("_rd", distance(none, F.transform("_rc", lambda v: v.cast("double")))), "references")
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -124,14 +130,26 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
 def _with_distances(x: DataFrame, refs: DataFrame, lang: str) -> DataFrame:
     as_double = lambda c: F.transform(c, lambda v: v.cast("double"))
-    # refs has MAX_LANGUAGES + 1 rows at most, of some 800 bytes; one of them, the sums of all documents, becomes constants
-    every = refs.where("_l IS NULL").first()
-    whole = lambda c: F.array(*(F.lit(v).cast("long") for v in every[c])) if every else F.lit(None).cast("array<bigint>")
-    x = x.join(F.broadcast(refs.where("_l IS NOT NULL")), F.col(lang) == F.col("_l"), "left")
-    near = lambda mine, ref, all_: distance(as_double(F.col(mine)), as_double(F.coalesce(ref, all_)))
-    x = x.withColumn("class_distance", F.when(F.col("_chars") >= MIN_CHARS, near("_kinds", F.col("_rk"), whole("_rk"))))
-    x = x.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, near("_common", F.col("_rc"), whole("_rc"))))
-    fits = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    # one row, the sums of all documents, becomes constants
+    every = refs.where("_all = 1").first()
+    whole = {c: F.array(*(F.lit(v).cast("long") for v in every[c])) if every else F.lit(None).cast("array<bigint>") for c in ("_rk", "_rc")} | {"_rd": F.lit(every["_rd"] if every else None).cast("double")}
+    share = F.aggregate("_rk", F.lit(0).cast("long"), lambda a, v: a + v) * HOT >= (sum(every["_rk"]) if every else 0)
+    own = refs.where("_all = 0 AND _l IS NOT NULL").withColumn("_hot", share)
+    # of shares of 1 / HOT or more: at most HOT rows of some 800 bytes
+    x = x.join(F.broadcast(own.where("_hot").select("_l", *whole)), F.col(lang) == F.col("_l"), "left")
+    if own.where("NOT _hot").isEmpty():
+        ref = {c: F.coalesce(c, whole[c]) for c in whole}
+    else:
+        rest = own.where("NOT _hot").select(F.col("_l").alias("_l2"), *(F.col(c).alias(f"{c}2") for c in whole))
+        # a text that has its reference goes anywhere
+        key = F.when(F.col("_l").isNull() & F.col(lang).isNotNull(), F.col(lang)).otherwise(F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+        x = x.withColumn("_key", key).join(rest, F.col("_key") == F.col("_l2"), "left")
+        ref = {c: F.coalesce(c, f"{c}2", whole[c]) for c in whole}
+    near = lambda mine, r: distance(as_double(F.col(mine)), as_double(r))
+    x = x.withColumn("class_distance", F.when(F.col("_chars") >= MIN_CHARS, near("_kinds", ref["_rk"])))
+    x = x.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, near("_common", ref["_rc"])))
+    most = F.least(F.lit(MAX_WORD_DISTANCE), F.when(ref["_rd"] > 0, MAX_WORD_SHARE * ref["_rd"]))
+    fits = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= most)
     return x.withColumn("kept", ~F.col("base_failed") & fits)
 
 

@@ -151,9 +151,9 @@ WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coal
  rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 8)) AS r(p) GROUP BY 1),
  ref AS (SELECT lang, {sums('kinds', n_kinds)} AS rk, {sums('common', n_common)} AS rc FROM e WHERE lang IS NOT NULL GROUP BY 1),
  every AS (SELECT {sums('kinds', n_kinds)} AS pk, {sums('common', n_common)} AS pc FROM e),
- g AS (SELECT e.*, coalesce(rep.n, 0) AS n_repeat_words, coalesce(rk, pk) AS rk, coalesce(rc, pc) AS rc FROM e LEFT JOIN rep USING (doc_id) LEFT JOIN ref ON ref.lang = e.lang CROSS JOIN every),
- h AS (SELECT *, CASE WHEN length(t) >= {quality.MIN_CHARS} THEN {dist('kinds', 'rk', n_kinds)} END AS cd, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {dist('common', 'rc', n_common)} END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM g)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {quality.MAX_WORD_DISTANCE} AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM h"""
+ g AS (SELECT e.*, coalesce(rep.n, 0) AS n_repeat_words, coalesce(rk, pk) AS rk, coalesce(rc, pc) AS rc, list_transform(range(1, {n_common + 1}), lambda i: CASE WHEN i = {n_common} THEN 1 ELSE 0 END) AS bare FROM e LEFT JOIN rep USING (doc_id) LEFT JOIN ref ON ref.lang = e.lang CROSS JOIN every),
+ h AS (SELECT *, CASE WHEN length(t) >= {quality.MIN_CHARS} THEN {dist('kinds', 'rk', n_kinds)} END AS cd, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {dist('common', 'rc', n_common)} END AS wd, {dist('bare', 'rc', n_common)} AS rd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= least({quality.MAX_WORD_DISTANCE}, CASE WHEN rd > 0 THEN {quality.MAX_WORD_SHARE} * rd END) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM h"""
 
 
 ORACLE_SQL["op5_quality_rules"] = _quality_sql()

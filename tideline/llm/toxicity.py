@@ -3,9 +3,10 @@
 Every word has a log-odds weight between toxic and clean labelled documents, with
 two Dirichlet priors: a word's share of toxic documents leans on that of words
 with the same first letters, and theirs on the share overall, so a word never
-seen still has the weight of its kind.  A linear scan (Ruzzo and Tompa's) finds
-every maximal passage of positive score, where a word without weight costs
-``DRIFT`` and a weighty word counts once within ``REACH`` words.  By extreme-value theory the best passage of a clean text of n words
+seen still has the weight of its kind.  Weights stop at -``FLOOR``, so that one clean
+word doesn't end a passage.  A linear scan (Ruzzo and Tompa's) finds
+every maximal passage of positive score, where each word has its weight less
+``DRIFT``, and a word heavier than that counts once within ``REACH`` words.  By extreme-value theory the best passage of a clean text of n words
 has score S or more with expectation E = K n exp(-lambda S); -log E of the best
 and of each further significant passage add up to a document's evidence, and a
 logistic curve of its root gives the chance of label 1.
@@ -13,13 +14,16 @@ logistic curve of its root gives the chance of label 1.
 Weights are fitted in two halves of the training rows.  lambda, K and the curve
 come from training rows scored with the other half's weights; all documents are
 scored with both halves' weights together.  At most ``MAX_LABELLED`` labelled
-rows and ``MAX_WEIGHTS`` words and word beginnings are used, so the model that
-tasks receive is bounded; scoring covers every document and its whole text.
+rows are used, so the model that tasks receive, the words of these rows, is bounded;
+scoring covers every document and its whole text.  The driver gets the weights and
+sums, never rows of documents.
 
 Defined cases: a null or wordless text has no passages and the lowest score;
-repeated labels of a document count once, as toxic if one says so; null labels
-are ignored; without both labels every score is the share of label 1 (0 for no
-labels); equal rows stay; an empty table gives an empty result.
+repeated labels of a document count once, as toxic if one says so; null labels and
+labels without doc_id are ignored; all rows of a labelled doc_id are labelled; rows
+without doc_id aren't held out; without both labels every score is the share of label
+1 (0 for no labels); equal rows stay; an empty table gives an empty result; extra
+columns are ignored; a text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -33,19 +37,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
+from tideline.llm.common import settle
 
-#: Labelled rows a fit uses (the first by a hash of doc_id), and weights it keeps.
-MAX_LABELLED, MAX_WEIGHTS = 200_000, 100_000
+#: Labelled rows a fit uses (the first by a hash of doc_id).
+MAX_LABELLED = 200_000
 #: Pseudo-documents of the priors of a word and of a word beginning.
 ALPHA, BETA = 4.0, 4.0
-#: Cost of a word without weight, and bytes of a word's beginning.
-DRIFT, BEGINNING = 0.5, 4
+#: What is taken off each word's weight, the least weight (as -FLOOR), and bytes of a word's beginning.
+DRIFT, FLOOR, BEGINNING = 0.5, 1.0, 4
+#: A word whose weight is nearer than this to its kind's isn't listed.
+SAME = 0.3
 #: A word's repeat counts again if it stands more than so many words on.
 REACH = 50
 #: A further passage counts with E below this.
 SIGNIFICANT = 0.05
 WORDS = "alnum"
-_BIN, _BINS = 0.25, 60
+#: Scores are counted to multiples of _BIN, from _LEAST on.
+_BIN, _BINS, _LEAST = 0.25, 64, -1.5
 
 
 def remainder(doc_id: Column) -> Column:
@@ -106,11 +114,11 @@ def weights(counts: DataFrame, base: dict[str, float]) -> dict[str, tuple[np.nda
         at = math.log(share / (1 - share))
         kind = (F.col(f"kt{h}") + BETA * share) / (F.col(f"kn{h}") + BETA)
         word = (F.col(f"t{h}") + ALPHA * kind) / (F.col(f"n{h}") + ALPHA)
-        # words heard of weigh something else than their kind; the strongest evidence first
-        x = joined.where(F.col(f"n{h}") > 0).select("word", (odds(word) - at).alias("w"), (odds(kind) - at).alias("k"), F.col(f"n{h}").alias("n"))
-        x = x.where((F.col("w") > DRIFT) | (F.col("k") > DRIFT)).orderBy(F.desc(F.abs("w") * F.log1p("n")), "word").limit(MAX_WEIGHTS).toArrow()
-        y = kinds.where(F.col(f"kn{h}") > 0).select("beginning", (odds(kind) - at).alias("k"), F.col(f"kn{h}").alias("n"))
-        y = y.where(F.col("k") > DRIFT).orderBy(F.desc(F.col("k") * F.log1p("n")), "beginning").limit(MAX_WEIGHTS).toArrow()
+        # a word of its kind's weight needs no entry
+        floored = lambda r: F.greatest(odds(r) - at, F.lit(-FLOOR))
+        x = joined.where(F.col(f"n{h}") > 0).select("word", floored(word).alias("w"), floored(kind).alias("k"))
+        x = x.where(F.abs(F.col("w") - F.col("k")) > SAME).select("word", "w").toArrow()
+        y = kinds.where(F.col(f"kn{h}") > 0).select("beginning", floored(kind).alias("k")).toArrow()
         a, b = x.column("word").to_numpy().view(np.uint64), y.column("beginning").to_numpy()
         i, j = np.argsort(a), np.argsort(b)
         out[h] = (a[i], x.column("w").to_numpy()[i], b[j], y.column("k").to_numpy()[j])
@@ -160,7 +168,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def passages(train: DataFrame, model: dict[str, tuple[np.ndarray, ...]]) -> DataFrame:
     """(toxic, n, found, seen): passage scores of training rows under the other half's weights,
-    and how many of their words have each positive score."""
+    and how many of their words have each score."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +180,8 @@ def passages(train: DataFrame, model: dict[str, tuple[np.ndarray, ...]]) -> Data
                 for i in range(w.n_rows):
                     s = both[half[i]][w.first[i] : w.first[i + 1]]
                     found.append([x[2] for x in maximal_segments(s)])
-                    seen.append(np.bincount(np.minimum(s[s > 0] / _BIN, _BINS - 1).astype(int), minlength=_BINS).tolist())
+                    at = np.clip(np.rint((s - _LEAST) / _BIN), 0, _BINS - 1).astype(int)
+                    seen.append(np.bincount(at, minlength=_BINS).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(toxic, pa.int32()), pa.array(w.counts, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(seen, pa.list_(pa.int64()))], ["toxic", "n", "found", "seen"]
                 )
@@ -180,14 +189,13 @@ def passages(train: DataFrame, model: dict[str, tuple[np.ndarray, ...]]) -> Data
     return train.select("text", "toxic", "half").mapInArrow(run, "toxic int, n long, found array<double>, seen array<bigint>")
 
 
-def decay(seen: np.ndarray, n: float) -> float:
+def decay(seen: np.ndarray) -> float:
     """lambda: the mean of exp(lambda * score) over words of clean texts is one."""
-    at = (np.arange(len(seen)) + 0.5) * _BIN
-    p, rest = seen / max(n, 1.0), max(0.0, 1 - seen.sum() / max(n, 1.0))
+    at, p = np.arange(len(seen)) * _BIN + _LEAST, seen / max(seen.sum(), 1.0)
     lo, hi = 0.02, 3.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if (p * np.exp(mid * at)).sum() + rest * math.exp(-mid * DRIFT) > 1 else (mid, hi)
+        lo, hi = (lo, mid) if (p * np.exp(mid * at)).sum() > 1 else (mid, hi)
     return lo
 
 
@@ -200,6 +208,14 @@ def evidence(found: list[float], n: int, lam: float, k: float) -> float:
     return math.sqrt(max(0.0, x[0]) + x[1:][x[1:] > -math.log(SIGNIFICANT)].sum())
 
 
+def evidence_of(found: Column, n: Column, lam: float, k: float) -> Column:
+    """``evidence`` of a column."""
+    x = F.transform(found, lambda s: F.lit(lam) * s - F.log(F.greatest(F.lit(k) * n, F.lit(1e-12))))
+    most, least = F.array_max(x), F.lit(-math.log(SIGNIFICANT))
+    further = F.aggregate(F.filter(x, lambda v: v > least), F.lit(0.0), lambda a, v: a + v) - F.when(most > least, most).otherwise(0.0)
+    return F.when((F.size(found) > 0) & (n > 0), F.sqrt(F.greatest(most, F.lit(0.0)) + F.greatest(further, F.lit(0.0)))).otherwise(0.0)
+
+
 def curve(x: np.ndarray, ones: np.ndarray, all_: np.ndarray) -> tuple[float, float]:
     """a, b of 1 / (1 + exp(-a - b x)), by Newton's steps, with a weak prior that keeps b finite."""
     p = (ones.sum() + 0.5) / (all_.sum() + 1)
@@ -217,28 +233,27 @@ def curve(x: np.ndarray, ones: np.ndarray, all_: np.ndarray) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> dict:
-    """The whole model, bounded by MAX_WEIGHTS; from training rows only."""
+    """The whole model, bounded by the words of ``limit`` rows; from training rows only."""
     chosen = training(labels, limit)
     # at most ``limit`` rows of three numbers
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    train = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half"), "train")
     share = chosen.groupBy("half").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     t, n = {str(r["half"]): r["t"] for r in share}, {str(r["half"]): r["n"] for r in share}
     whole = (sum(t.values()), sum(n.values()))
     base = {h: t.get(h, 0) / n.get(h, 1) for h in ("0", "1")} | {"both": whole[0] / max(1, whole[1])}
     if not 0 < base["both"] < 1:
         return {"share": base["both"], "weights": None}
-    w = weights(document_counts(train), base)
-    rows = passages(train, w).groupBy("toxic", "n", "found").agg(*(F.sum(F.col("seen")[i]).alias(f"s{i}") for i in range(_BINS)), F.count(F.lit(1)).alias("rows")).toArrow()
-    # at most ``limit`` rows: passage scores and lengths of the training sample
-    toxic, length, times = (rows.column(c).to_numpy() for c in ("toxic", "n", "rows"))
-    found = rows.column("found").to_pylist()
-    clean = toxic == 0
-    seen = np.array([rows.column(f"s{i}").to_numpy()[clean].sum() for i in range(_BINS)], float)
-    lam = decay(seen, float((length * times)[clean].sum()))
-    best = np.array([max(f, default=0.0) for f in found])
-    k = float(times[clean].sum() / max(1e-9, (times * length * np.exp(-lam * best))[clean].sum()))
-    x = np.array([evidence(f, m, lam, k) for f, m in zip(found, length.tolist())])
-    a, b = curve(x, (times * (toxic == 1)).astype(float), times.astype(float))
+    w = weights(settle(document_counts(train), "counts"), base)
+    rows = settle(passages(train, {h: w[h] for h in ("0", "1")}), "passages")
+    clean = rows.where("toxic = 0")
+    seen = clean.agg(*(F.sum(F.col("seen")[i]).alias(f"s{i}") for i in range(_BINS))).first()
+    lam = decay(np.array([x or 0 for x in seen], float))
+    best = F.coalesce(F.array_max("found"), F.lit(0.0))
+    texts, mass = clean.agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-lam * best))).first()
+    k = float(texts / max(1e-9, mass or 0.0))
+    # to the hundredth: a few thousand rows at most
+    x = rows.groupBy(F.round(evidence_of(F.col("found"), F.col("n"), lam, k), 2).alias("x")).agg(F.sum((F.col("toxic") == 1).cast("int")).alias("ones"), F.count(F.lit(1)).alias("n")).toArrow()
+    a, b = curve(*(x.column(c).to_numpy().astype(float) for c in ("x", "ones", "n")))
     return {"share": base["both"], "weights": w["both"], "lambda": lam, "k": k, "a": a, "b": b}
 
 
