@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import copy
 import itertools
 import json
 from collections.abc import Callable, Iterable
+from dataclasses import fields, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,32 +13,63 @@ from pyspark.sql import functions as F
 
 from tideline.plans.model import GEV, DummySeasonal, Gaussian, HalfNormal, InverseGamma, LocalLinearTrend, Model, MultiSeriesModel, Normal, Pooling, Priors, SeasonalScale
 
+#: The configuration key of each normal prior's sd, by the prior's field.
+SD_KEYS = {f.name: "xi_sd" if f.name == "shape" else f"{f.name}_sd" for f in fields(Priors) if f.name != "variance"}
 # The keys a configuration may have, level by level.
 KEYS = {
     "": {"name", "description", "extends", "data", "model", "priors", "pooling", "profiles", "laplace", "forecast_years", "return_years", "risk_thresholds", "validation", "plot", "seed"},
     "data": {"source", "frequency", "series"},
     "model": {"period", "steps_per_year", "level", "slope", "seasonal", "seasonal_scale", "scale_prior_sd"},
-    "priors": {"initial_level_sd", "initial_slope_sd", "initial_seasonal_sd", "level_sd", "slope_sd", "seasonal_sd", "variance_shape", "variance_scale", "xi_sd"},
+    "priors": {*SD_KEYS.values(), "variance_shape", "variance_scale"},
 }
 PERIODS = {"seasonal": 4, "monthly": 12}
+#: What the last letter of a channel's name says of its observations; others are maxima.
+FAMILIES = {"m": lambda scale: Gaussian(scale), "n": lambda scale: GEV("lower", scale)}
+
+
+def leaves(config: dict) -> dict[tuple, object]:
+    """The values of a configuration by their paths; an empty level is a value."""
+    out, open_ = {}, [((), config)]
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict) and (value or not path):
+            open_ += [((*path, k), v) for k, v in value.items()]
+        else:
+            out[path] = value
+    return out
 
 
-def merge(base: dict, over: dict) -> dict:
-    """Values of ``over`` replace those of ``base``, level by level."""
-    out = copy.deepcopy(base)
-    for k, v in over.items():
-        out[k] = merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else copy.deepcopy(v)
+def overlay(*configs: dict) -> dict:
+    """One configuration: of the values at a path the last one counts."""
+    values: dict[tuple, object] = {}
+    for config in configs:
+        for path, value in leaves(config).items():
+            below = [p for p in values if p[: len(path)] == path]
+            if value == {} and below:
+                continue
+            for p in [*below, *(path[:k] for k in range(1, len(path)))]:
+                values.pop(p, None)
+            values[path] = value
+    out: dict = {}
+    for path, value in values.items():
+        level = out
+        for k in path[:-1]:
+            level = level.setdefault(k, {})
+        level[path[-1]] = json.loads(json.dumps(value))
     return out
 
 
-def read_config(path: str | Path, seen: tuple = ()) -> dict:
-    """A JSON configuration with what it extends; a circle raises ValueError."""
-    path = Path(path).resolve()
-    if path in seen:
-        raise ValueError(f"configurations extend each other in a circle: {path.name}")
-    own = json.loads(path.read_text())
-    parent = own.pop("extends", None)
-    return own if parent is None else merge(read_config(path.parent / parent, (*seen, path)), own)
+def read_config(path: str | Path) -> dict:
+    """A JSON configuration laid over those that it extends; a circle raises ValueError."""
+    chain: dict[Path, dict] = {}
+    at: Path | None = Path(path).resolve()
+    while at is not None:
+        if at in chain:
+            raise ValueError(f"configurations extend each other in a circle: {at.name}")
+        chain[at] = json.loads(at.read_text())
+        parent = chain[at].pop("extends", None)
+        at = None if parent is None else (at.parent / parent).resolve()
+    return overlay(*reversed(chain.values()))
 
 
 def validate(config: dict) -> dict:
@@ -51,22 +82,28 @@ def validate(config: dict) -> dict:
     return config
 
 
+def priors_of(config: dict) -> Priors:
+    given, default = config.get("priors", {}), Priors()
+    sds = {field: Normal(0.0, given[key]) for field, key in SD_KEYS.items() if key in given}
+    noise = {part: given.get(f"variance_{part}", getattr(default.variance, part)) for part in ("shape", "scale")}
+    return replace(default, variance=InverseGamma(**noise), **sds)
+
+
 def build_model(config: dict) -> MultiSeriesModel:
     """Channels ending in m are means (normal), in n minima (lower extremes), others maxima."""
-    m, p = config["model"], config.get("priors", {})
-    d = Priors()
-    sd = lambda k, v: Normal(0.0, p.get(k, v.sd))
-    priors = Priors(
-        sd("initial_level_sd", d.initial_level), sd("initial_slope_sd", d.initial_slope), sd("initial_seasonal_sd", d.initial_seasonal), sd("level_sd", d.level), sd("slope_sd", d.slope), sd("seasonal_sd", d.seasonal),
-        InverseGamma(p.get("variance_shape", 2.0), p.get("variance_scale", 2.0)), sd("xi_sd", d.shape),
-    )
-    scale = SeasonalScale(m["period"], m.get("scale_prior_sd", 0.3)) if m.get("seasonal_scale") else None
-    parts = (LocalLinearTrend(m.get("level", "dynamic"), m.get("slope", "dynamic")), DummySeasonal(m["period"], m.get("seasonal", "dynamic")))
-    observe = lambda c: Gaussian(scale) if c.endswith("m") else GEV("lower" if c.endswith("n") else "upper", scale)
-    channels = {c: Model(observe(c), parts, priors) for c in config["data"]["series"]}
-    pooled = [n for n in ("level", "slope", "seasonal") if m.get(n, "dynamic") == "dynamic"]
-    pool = Pooling(**{n: HalfNormal(getattr(priors, n).sd) for n in pooled}) if config.get("pooling") == "shared" and pooled else None
-    return MultiSeriesModel(channels, pool)
+    spec, priors = config["model"], priors_of(config)
+    modes = {group: spec.get(group, "dynamic") for group in ("level", "slope", "seasonal")}
+    trend, season = LocalLinearTrend(modes["level"], modes["slope"]), DummySeasonal(spec["period"], modes["seasonal"])
+    scale = None
+    if spec.get("seasonal_scale"):
+        scale = SeasonalScale(spec["period"], spec.get("scale_prior_sd", SeasonalScale.prior_sd))
+    channels = {}
+    for name in config["data"]["series"]:
+        family = FAMILIES.get(name[-1:], lambda s: GEV("upper", s))
+        channels[name] = Model(family(scale), (trend, season), priors)
+    shared = {group: HalfNormal(getattr(priors, group).sd) for group, mode in modes.items() if mode == "dynamic"}
+    wanted = config.get("pooling") == "shared" and bool(shared)
+    return MultiSeriesModel(channels, Pooling(**shared) if wanted else None)
 
 
 def sensitivity_grid(base: dict, variants: dict[str, dict]) -> dict[str, dict]:
@@ -75,7 +112,7 @@ def sensitivity_grid(base: dict, variants: dict[str, dict]) -> dict[str, dict]:
     for name, change in variants.items():
         if name in out or not name or "/" in name or "\\" in name:
             raise ValueError(f"a variant needs a plain name of its own: {name!r}")
-        out[name] = validate(merge(base, change))
+        out[name] = validate(overlay(base, change))
     return out
 
 

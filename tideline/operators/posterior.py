@@ -45,18 +45,6 @@ def moments(obs: DataFrame, features: int) -> DataFrame:
     return obs.groupBy("channel").agg(F.count("y").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.array(*(F.sum(a * F.col("y")) for a in x)).alias("xy"), F.array(*xx).alias("xx"))
 
 
-def _solve(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
-    """Gauss-Jordan elimination written out for a small symmetric positive matrix."""
-    n = len(a)
-    rows = [list(r) + list(s) for r, s in zip(a, b)]
-    for i in range(n):
-        rows[i] = [x / rows[i][i] for x in rows[i]]
-        for k in range(n):
-            if k != i:
-                rows[k] = [x - rows[k][i] * y for x, y in zip(rows[k], rows[i])]
-    return [r[n:] for r in rows]
-
-
 def static_regression(obs: DataFrame, features: int, prior: Normal, variance: float) -> DataFrame:
     """(channel, coefficient, mean, sd) of y = x . b under a known observation variance; x may hold
     a constant.  Up to three features are solved in an expression, step by step for more."""
@@ -107,19 +95,15 @@ def scale_grid(model: Model, points: int = 7, low: float = 0.05, high: float = 3
     return out
 
 
-def _points(spark: SparkSession, grid: list[dict]) -> DataFrame:
-    names = [n for n in grid[0] if n != "log_prior"]
-    rows = [(i, float(p["log_prior"]), {n: float(p[n]) for n in names}) for i, p in enumerate(grid)]
-    return spark.createDataFrame(rows, "point int, log_prior double, params map<string,double>")
-
-
 def grid_posterior(obs: DataFrame, model: Model, grid: list[dict], pooled: bool = False) -> DataFrame:
     """(channel, point, params, loglik, weight): the posterior of the scales on a grid, for every channel;
-    with ``pooled``, of scales that all channels share.
+    with ``pooled``, of amplitudes and a variance that are the same in all channels.
 
     Every (channel, point) is a row; the grid is a literal array that rows are exploded over."""
     if model.observation.family != "gaussian":
         raise NotImplementedError("a grid of scales takes normal observations; see gev_posterior")
+    if model.observation.scale is not None:
+        raise NotImplementedError("a grid of scales takes one observation variance, not a seasonal scale")
     plan = compile_model(model)
     if plan.features and "x" not in obs.columns:
         raise ValueError(f"the model needs features {plan.features} in a column x")

@@ -123,7 +123,7 @@ def loglik(path: Column) -> Column:
 
 
 def likelihood(plan: Plan, ys: Column, q: dict[str, Column], r: Callable[[Column], Column] | Column) -> Column:
-    """Log likelihood alone: the same fold without keeping the path."""
+    """Log likelihood alone, of the forward path, which isn't returned."""
     return loglik(forward(plan, ys, q, r))
 
 

@@ -105,6 +105,11 @@ def unmatched(pred: DataFrame, observed: DataFrame) -> DataFrame:
     return a.join(b, ["channel", "t"], "full").where("_p IS NULL OR _o IS NULL OR _bad").select("channel", "t")
 
 
+def of_phase(rows: DataFrame, period: int, only: int) -> DataFrame:
+    """The rows of one phase (a month, a season) of (t, ...)."""
+    return rows.where(F.pmod("t", F.lit(period)) == only)
+
+
 def threshold_counts(rows: DataFrame, observed: DataFrame, spec: DataFrame, tail: str = "upper") -> DataFrame:
     """(channel, threshold, observed, expected, p_at_least, p_at_most): strict exceedances in the data, the expected
     number (mean over draws of summed risks), and how predictive counts compare.

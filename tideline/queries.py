@@ -477,6 +477,16 @@ def threshold_counts(spark, sf_dir):
     return rounded(summaries.threshold_counts(rows, obs, spec), "expected", "p_at_least", "p_at_most")
 
 
+@query(f"""WITH {PSEUDO}, s AS (SELECT channel, round(mu + s, 3) AS threshold FROM base), seen AS (SELECT channel, threshold, count(*) FILTER (y > threshold) AS observed FROM obs JOIN s USING (channel) WHERE t % 7 = 3 GROUP BY 1, 2),
+ per AS (SELECT channel, threshold, draw, sum({gev_sf_sql('threshold')}) AS expected, count(*) FILTER (y > threshold) AS n FROM pseudo JOIN s USING (channel) WHERE t % 7 = 3 GROUP BY 1, 2, 3)
+ SELECT channel, threshold, max(observed) AS observed, round(avg(expected), 6) AS expected, round(avg(CASE WHEN n >= observed THEN 1.0 ELSE 0.0 END), 6) AS p_at_least, round(avg(CASE WHEN n <= observed THEN 1.0 ELSE 0.0 END), 6) AS p_at_most FROM per JOIN seen USING (channel, threshold) GROUP BY 1, 2""")
+def threshold_counts_of_phase(spark, sf_dir):
+    obs = channels(spark, sf_dir)
+    spec = obs.groupBy("channel").agg(F.round(F.avg("y") + F.stddev_pop("y"), 3).alias("threshold"))
+    rows = summaries.by_specification(pseudo(spark, sf_dir), spec, summaries.risk(F.col("threshold"), "upper"))
+    return rounded(summaries.threshold_counts(*(summaries.of_phase(x, 7, 3) for x in (rows, obs)), spec), "expected", "p_at_least", "p_at_most")
+
+
 @query(f"WITH {PSEUDO}, m AS (SELECT channel, t, avg(y) AS m FROM pseudo GROUP BY 1, 2) SELECT channel, round(avg(m - o.y), 6) AS mean_error FROM m JOIN obs o USING (channel, t) GROUP BY 1")
 def mean_error(spark, sf_dir):
     return rounded(summaries.mean_error(pseudo(spark, sf_dir), channels(spark, sf_dir)), "mean_error")
@@ -665,7 +675,7 @@ def rolling_origins(spark, sf_dir):
     return rounded(x, "coverage", "width")
 
 
-@query("SELECT * FROM (PIVOT (" + ORACLE_SQL["rolling_origins"] + ") ON level USING round(first(coverage * 100), 4) GROUP BY origin, channel)")
+@query('SELECT origin, channel, round(max(CASE WHEN level = 0.9 THEN coverage * 100 END), 4) AS "0.9" FROM (' + ORACLE_SQL["rolling_origins"] + ") GROUP BY origin, channel")
 def coverage_pivot(spark, sf_dir):
     x = summaries.coverage_pivot(rolling_origins(spark, sf_dir), (0.9,))
     return x.select("origin", "channel", F.round("`0.9`", 4).alias("0.9"))

@@ -18,10 +18,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
-
-
 def not_finite(x: Column) -> Column:
     return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
 
