@@ -39,21 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Folders of settled tables of this session, in the order of writing.
+SETTLED: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: it cuts the lineage,
     and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    SETTLED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a settled table that nothing will read again."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+        _delete(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables settled after the first ``since`` ones, once what was made of them is written."""
+    for folder in SETTLED[since:]:
+        _delete(spark, folder)
+    del SETTLED[since:]
 
 
 def bit_map(ids: DataFrame, column: str, bits: int) -> np.ndarray:
