@@ -1,9 +1,9 @@
 """Posteriors as Spark jobs.
 
 Instead of a Markov chain in one task, a posterior is computed where it can be
-spread: conjugate posteriors from sums; the scales of a dynamic model on a grid
-whose points are rows, each filtered by a fold; extreme-value parameters on a grid
-by a grouped sum of log densities.  Draws are then rows taken from those weights,
+spread: conjugate posteriors from sums; scales and shapes of a dynamic model by
+importance sampling whose points are rows, each filtered by a fold (``fit``), or on a
+given grid; constant extreme-value parameters on a grid by a grouped sum of log densities.  Draws are then rows taken from those weights,
 and state paths are drawn by smoothing the difference to a simulated series.  All
 noise is hashed from (seed, channel, draw, time), so reruns agree.
 """
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import gev, random
-from tideline.functions.scale import phase, seasonal_sigma
+from tideline.operators import importance
+from tideline.operators.importance import take
 from tideline.operators import state_space as ss
-from tideline.plans.model import Fixed, HalfNormal, InverseGamma, Model, Normal, Plan, compile_model
+from tideline.plans.model import Fixed, HalfNormal, InverseGamma, Model, Normal, Plan, Pooling, compile_model
 
 
 def capability(model: Model) -> dict[str, str]:
@@ -27,7 +28,7 @@ def capability(model: Model) -> dict[str, str]:
     family = model.observation.family
     if family not in ("gaussian", "gev"):
         raise NotImplementedError(f"observation family {family}")
-    return {"path": "fold" if family == "gaussian" else "fold around the mode", "scales": "grid", "shape": "grid" if family == "gev" else "none", "draws": "systematic resampling and a simulation smoother"}
+    return {"path": "fold" if family == "gaussian" else "fold around the mode", "scales": "importance sampling", "shape": "importance sampling" if family == "gev" else "none", "draws": "systematic resampling and a simulation smoother"}
 
 
 def static_level(obs: DataFrame, prior: Normal, variance: float) -> DataFrame:
@@ -123,28 +124,20 @@ def grid_posterior(obs: DataFrame, model: Model, grid: list[dict], pooled: bool
     return rows.select("channel", "point", "params", "loglik", (F.col("e") / F.sum("e").over(w)).alias("weight"))
 
 
-def take(weights: DataFrame, draws: int, chains: int = 4, offset: float = 0.5, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
-    """``draws`` rows of each key by systematic resampling: (keys, chain, draw, params ...)."""
-    w = Window.partitionBy(*keys).orderBy("point")
-    upto = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("weight").over(Window.partitionBy(*keys))
-    x = weights.withColumn("_hi", F.greatest(F.lit(0), F.least(F.lit(draws), F.ceil(upto / total * draws - offset)))).withColumn("_lo", F.lag("_hi", 1, 0).over(w))
-    x = x.where("_hi > _lo").withColumn("_d", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
-    return x.withColumn("draw", F.floor(F.col("_d") / chains).cast("int")).withColumn("chain", F.pmod("_d", F.lit(chains)).cast("int")).drop("_hi", "_lo", "_d", "weight")
-
-
 def path_draws(obs: DataFrame, taken: DataFrame, model: Model, seed: int = 1000) -> DataFrame:
     """(channel, chain, draw, params, states array<struct<t, m>>): a state path drawn for each parameter draw.
 
     A series is simulated from the model, and the smoothed difference to the data is
-    added to the simulated states, which is an exact draw."""
+    added to the simulated states, which is an exact draw of a normal model.  For extreme values
+    a column ``weight`` is added, by which paths have to be taken anew."""
     plan = compile_model(model)
     d, groups = len(plan.names), list(plan.noise)
     x = "x" if plan.features else None
-    rows = taken.join(ss.series(obs, ["channel"], x=x), "channel")
+    family = model.observation.family
+    value = lambda name: F.element_at("params", name)
+    rows = importance.observed(taken.join(ss.series(obs, ["channel"], x=x), "channel"), model, value)
     key = [F.col("channel"), F.col("chain"), F.col("draw")]
     amp = {g: F.element_at("params", g) for g in groups}
-    r = F.element_at("params", "variance")
     root = _root(plan.cov)
     noise = lambda t, i: random.gaussian(seed, *key, t, F.lit(i))
     first = F.array(*(F.lit(plan.mean[i]) + sum((noise(F.lit(-1), j) * root[i][j] for j in range(d) if root[i][j]), F.lit(0.0)) for i in range(d)))
@@ -162,18 +155,25 @@ def path_draws(obs: DataFrame, taken: DataFrame, model: Model, seed: int = 1000)
                         v = v + amp[g] * noise(t, 100 + k) * col[i]
                     k += 1
             move.append(v)
-        return ss.let(F.array(*move), lambda z: F.struct(z.alias("m"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), z.alias("m"), (ss.location_of(plan, z, y) + F.sqrt(r) * noise(t, 99)).alias("y")))).alias("out")))
+        return ss.let(F.array(*move), lambda z: F.struct(z.alias("m"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), z.alias("m"), (ss.location_of(plan, z, y) + F.sqrt(y["r"]) * noise(t, 99)).alias("y")))).alias("out")))
 
     start = F.struct(first.alias("m"), F.array().cast("array<struct<t:int,m:array<double>,y:double>>").alias("out"))
-    rows = rows.withColumn("sim", F.aggregate("ys", start, step)["out"])
-    fields = lambda y, s: F.struct(y["t"].alias("t"), (y["y"] - s["y"]).alias("y"), *([y["x"].alias("x")] if x else []))
-    rows = rows.withColumn("diff", F.zip_with("ys", "sim", fields))
+    rows = rows.withColumn("sim", F.aggregate("seen", start, step)["out"])
+    fields = lambda y, s: F.struct(y["t"].alias("t"), (y["y"] - s["y"]).alias("y"), y["r"].alias("r"), *([y["x"].alias("x")] if x else []))
+    rows = rows.withColumn("diff", F.zip_with("seen", "sim", fields))
     # the difference has mean zero at time zero
     centred = Plan(plan.names, plan.transition, plan.loading, plan.noise, plan.amplitude, plan.outputs, (0.0,) * d, plan.cov)
-    rows = rows.withColumn("path", ss.forward(centred, F.col("diff"), {g: a * a for g, a in amp.items()}, r))
+    rows = rows.withColumn("path", ss.forward(centred, F.col("diff"), {g: a * a for g, a in amp.items()}, lambda y: y["r"]))
     rows = rows.withColumn("smooth", ss.backward(centred, F.col("diff"), F.col("path")))
     states = F.zip_with("sim", "smooth", lambda a, b: F.struct(a["t"].alias("t"), F.zip_with(a["m"], b["m"], lambda u, v: u + v).alias("m")))
-    return rows.select("channel", "chain", "draw", "params", states.alias("states"))
+    rows = rows.withColumn("states", states)
+    if family == "gaussian":
+        return rows.select("channel", "chain", "draw", "params", "states")
+    location = F.zip_with("states", "ys", lambda s, y: ss.location_of(plan, s["m"], y))
+    rows = rows.withColumn("lw", importance.gain(model, F.col("ys"), F.col("seen"), location, F.col("sig"), value("xi")) - F.col("offset"))
+    w = Window.partitionBy("channel")
+    rows = rows.select("channel", "chain", "draw", "params", "states", F.when(F.isnan("lw"), importance.IMPOSSIBLE).otherwise(F.col("lw")).alias("lw"))
+    return rows.withColumn("weight", F.exp(F.col("lw") - F.max("lw").over(w))).drop("lw")
 
 
 def _root(cov: tuple[tuple[float, ...], ...]) -> list[list[float]]:
@@ -199,12 +199,32 @@ def outputs(draws: DataFrame, model: Model) -> DataFrame:
     return long.select("channel", "chain", "draw", F.col("s.t").alias("t"), F.explode(each).alias("o")).select("channel", "chain", "draw", "t", "o.*")
 
 
-def fit(obs: DataFrame, model: Model, draws: int = 1000, chains: int = 4, seed: int = 1000, points: int = 7, pooled: bool = False, variances: tuple[float, ...] | None = None) -> dict[str, DataFrame]:
-    """The whole way for normal observations: {posterior, draws, outputs}."""
+def fit(obs: DataFrame, model: Model, draws: int = 1000, chains: int = 4, seed: int = 1000, points: int = 400, pooling: Pooling | None = None, spare: int = 3) -> dict[str, DataFrame]:
+    """The whole way: {posterior, draws, outputs[, shared]}.  With ``pooling`` amplitudes are each channel's own,
+    under scales that all share (``shared``).  ``spare``: paths drawn for each one taken, for extreme values."""
     capability(model)
-    weights = grid_posterior(obs, model, scale_grid(model, points, variances=variances), pooled)
-    paths = path_draws(obs, take(weights, draws, chains), model, seed)
-    return {"posterior": weights, "draws": paths, "outputs": outputs(paths, model)}
+    importance.check(obs)
+    weights = importance.posterior(obs, model, points, seed=seed)
+    gev_family = model.observation.family == "gev"
+    many = draws * spare if gev_family else draws
+    shared = None
+    if pooling is None:
+        taken = take(weights, many, chains)
+    else:
+        shared, taken = importance.pooled(weights, model, pooling, many, chains, seed)
+    paths = path_draws(obs, taken, model, seed)
+    if gev_family:
+        numbered = paths.withColumn("point", F.col("draw") * chains + F.col("chain")).drop("chain", "draw")
+        paths = take(numbered, draws, chains).select("channel", "chain", "draw", "params", "states")
+    out = {"posterior": weights, "draws": paths, "outputs": outputs(paths, model)}
+    return out if shared is None else out | {"shared": shared}
+
+
+def sigma(draws: DataFrame, model: Model) -> DataFrame:
+    """(channel, chain, draw, t, sigma) of each draw at each time of its path."""
+    by_phase = importance.sigmas(model, lambda name: F.element_at("params", name))
+    x = draws.select("channel", "chain", "draw", by_phase.alias("sig"), F.explode(F.transform("states", lambda s: s["t"])).alias("t"))
+    return x.select("channel", "chain", "draw", "t", importance.sigma_at(model, F.col("sig"), F.col("t")).alias("sigma"))
 
 
 def gev_posterior(obs: DataFrame, tail: str, eta: list[float], log_sigma: list[float], xi: list[float], prior_eta: Normal = Normal(0.0, 10.0), variance: InverseGamma = InverseGamma(), shape: Normal = Normal(0.0, 0.3)) -> DataFrame:
@@ -247,12 +267,6 @@ def gev_path_mode(obs: DataFrame, model: Model, params: dict[str, float], rounds
     return rows.select("channel", F.zip_with("ys", "eta", lambda y, e: F.struct(y["t"].alias("t"), e.alias("eta"))).alias("path"))
 
 
-def phase_sigma(params: Column, t: Column, period: int) -> Column:
-    """sigma at t from params sigma and u1, u2 ... of a seasonal scale."""
-    weights = F.array(*(F.element_at(params, f"u{i + 1}") for i in range(period - 1)))
-    return seasonal_sigma(F.element_at(params, "sigma"), weights, phase(t, period), period)
-
-
 def combine(*fits: DataFrame) -> DataFrame:
     """Draws of separate runs with chains numbered on; all need the same columns and draws a chain."""
     out, chains, shape = None, 0, None

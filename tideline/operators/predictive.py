@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import gev, normal, random
+from tideline.operators import importance
 from tideline.operators import state_space as ss
 from tideline.plans.model import Fixed, Model, MultiSeriesModel, Plan, compile_model
 
@@ -85,10 +86,10 @@ def predict(draws: DataFrame, model: Model, n_obs: int, horizon: int, taken: Dat
     if future_x is not None:
         x = x.join(future_x, "channel")
     path = _walk(plan, F.col("m"), {g: F.element_at("params", g) for g in plan.noise}, whole("horizon", horizon), seed, [F.col("channel"), F.col("draw")], F.col("xs") if future_x is not None else None)
-    sigma = F.sqrt(F.element_at("params", "variance")) if model.observation.family == "gaussian" else F.element_at("params", "sigma")
+    sig = importance.sigmas(model, lambda name: F.element_at("params", name))
     xi = F.coalesce(F.element_at("params", "xi"), F.lit(0.0))
-    rows = x.select("channel", "draw", sigma.alias("sigma"), xi.alias("xi"), F.explode(path).alias("p"))
-    rows = rows.select("channel", "draw", (F.col("p.k") + n_obs - 1).cast("int").alias("t"), F.col("p.location").alias("location"), "sigma", "xi", F.col("p.m").alias("states"))
+    rows = x.select("channel", "draw", sig.alias("sig"), xi.alias("xi"), F.explode(path).alias("p")).withColumn("t", (F.col("p.k") + n_obs - 1).cast("int"))
+    rows = rows.select("channel", "draw", "t", F.col("p.location").alias("location"), importance.sigma_at(model, F.col("sig"), F.col("t")).alias("sigma"), "xi", F.col("p.m").alias("states"))
     return observe(rows, model.observation.family, model.observation.tail, seed, ["channel", "draw", "t"])
 
 
@@ -117,6 +118,8 @@ def prior_draws(spark: SparkSession, model: Model | MultiSeriesModel, draws: int
             params["variance"] = F.lit(v.value)
         else:
             params["variance"] = v.scale / _gamma(v.shape, seed, key("variance"))
+        if (seasonal := m.observation.scale) is not None:
+            params |= {f"u{i + 1}": random.gaussian(seed, *key(f"u{i + 1}")) * seasonal.prior_sd for i in range(seasonal.period - 1)}
         if m.observation.family == "gev":
             s = m.priors.shape
             params["xi"] = F.lit(s.value) if isinstance(s, Fixed) else s.mean + s.sd * random.gaussian(seed, *key("xi"))
@@ -150,8 +153,10 @@ def prior_predictive(spark: SparkSession, model: Model, steps: int, draws: int =
     plan = compile_model(model)
     x = prior_draws(spark, model, draws, seed)
     path = _walk(plan, F.col("state0"), {g: F.element_at("params", g) for g in plan.noise}, whole("steps", steps), seed, [F.col("channel"), F.col("draw")])
-    rows = x.select("channel", "draw", F.sqrt(F.element_at("params", "variance")).alias("sigma"), F.coalesce(F.element_at("params", "xi"), F.lit(0.0)).alias("xi"), F.explode(path).alias("p"))
-    rows = rows.select("channel", "draw", F.col("p.k").alias("t"), F.col("p.location").alias("location"), "sigma", "xi", F.col("p.m").alias("states"))
+    sig = importance.sigmas(model, lambda name: F.element_at("params", name))
+    rows = x.select("channel", "draw", sig.alias("sig"), F.coalesce(F.element_at("params", "xi"), F.lit(0.0)).alias("xi"), F.explode(path).alias("p"))
+    # phases start with the first step
+    rows = rows.select("channel", "draw", F.col("p.k").alias("t"), F.col("p.location").alias("location"), importance.sigma_at(model, F.col("sig"), F.col("p.k") - 1).alias("sigma"), "xi", F.col("p.m").alias("states"))
     return observe(rows, model.observation.family, model.observation.tail, seed, ["channel", "draw", "t"])
 
 

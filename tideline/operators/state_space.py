@@ -80,7 +80,6 @@ def forward(plan: Plan, ys: Column, q: dict[str, Column], r: Callable[[Column],
     """array<struct<t, m, p, am, ap, v, s>>: at each t the filtered state m, p, and what was predicted before
     seeing y: am, ap, the error v and its variance s.  ``q``: variances by noise group; ``r``: variance
     of the observation, or a function of the series' entry."""
-    d = len(plan.names)
     q = {g: c.cast("double") for g, c in q.items()}
     r_of = r if callable(r) and not isinstance(r, Column) else lambda y: r
     kind = "array<struct<t:int,m:array<double>,p:array<double>,am:array<double>,ap:array<double>,v:double,s:double>>"
@@ -88,33 +87,38 @@ def forward(plan: Plan, ys: Column, q: dict[str, Column], r: Callable[[Column],
         F.array(*map(F.lit, plan.mean)).alias("m"), F.array(*(F.lit(x) for row in plan.cov for x in row)).alias("p"), F.array().cast(kind).alias("out")
     )
 
-    def step(acc: Column, y: Column) -> Column:
-        am, ap = _predict(plan, q, acc["m"], acc["p"])
-
-        def seen(a: Column) -> Column:
-            h = _loading(plan, y)
-            m, p = a["am"], a["ap"]
-            ph = [_or0(_dot(h, [p[i * d + j] for j in range(d)])) for i in range(d)]
-            return let(
-                F.struct((y["y"] - _or0(_dot(h, [m[i] for i in range(d)]))).alias("v"), F.array(*ph).alias("ph")),
-                lambda b: let(
-                    _or0(_dot(h, [b["ph"][i] for i in range(d)])) + r_of(y),
-                    lambda s: let(
-                        F.struct(
-                            F.array(*(m[i] + b["ph"][i] * b["v"] / s for i in range(d))).alias("m"),
-                            F.array(*(p[i * d + j] - b["ph"][i] * b["ph"][j] / s for i in range(d) for j in range(d))).alias("p"),
-                        ),
-                        lambda z: F.struct(
-                            z["m"].alias("m"), z["p"].alias("p"),
-                            F.concat(acc["out"], F.array(F.struct(y["t"].cast("int").alias("t"), z["m"].alias("m"), z["p"].alias("p"), m.alias("am"), p.alias("ap"), b["v"].alias("v"), s.alias("s")))).alias("out"),
-                        ),
+    def kept(acc: Column, y: Column, a: Column, b: Column, s: Column, z: Column) -> Column:
+        row = F.struct(y["t"].cast("int").alias("t"), z["m"].alias("m"), z["p"].alias("p"), a["am"].alias("am"), a["ap"].alias("ap"), b["v"].alias("v"), s.alias("s"))
+        return F.struct(z["m"].alias("m"), z["p"].alias("p"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(ys, start, lambda acc, y: _advance(plan, q, r_of, acc, y, kept))["out"]
+
+
+def _advance(plan: Plan, q: dict[str, Column], r_of: Callable, acc: Column, y: Column, made: Callable) -> Column:
+    """One step of a filter: ``made`` is given the state before, the entry, what was predicted (am, ap), the error
+    (v, ph), its variance and the state after (m, p)."""
+    d = len(plan.names)
+    am, ap = _predict(plan, q, acc["m"], acc["p"])
+
+    def seen(a: Column) -> Column:
+        h = _loading(plan, y)
+        m, p = a["am"], a["ap"]
+        ph = [_or0(_dot(h, [p[i * d + j] for j in range(d)])) for i in range(d)]
+        return let(
+            F.struct((y["y"] - _or0(_dot(h, [m[i] for i in range(d)]))).alias("v"), F.array(*ph).alias("ph")),
+            lambda b: let(
+                _or0(_dot(h, [b["ph"][i] for i in range(d)])) + r_of(y),
+                lambda s: let(
+                    F.struct(
+                        F.array(*(m[i] + b["ph"][i] * b["v"] / s for i in range(d))).alias("m"),
+                        F.array(*(p[i * d + j] - b["ph"][i] * b["ph"][j] / s for i in range(d) for j in range(d))).alias("p"),
                     ),
+                    lambda z: made(acc, y, a, b, s, z),
                 ),
-            )
-
-        return let(F.struct(am.alias("am"), ap.alias("ap")), seen)
+            ),
+        )
 
-    return F.aggregate(ys, start, step)["out"]
+    return let(F.struct(am.alias("am"), ap.alias("ap")), seen)
 
 
 def loglik(path: Column) -> Column:
@@ -123,8 +127,16 @@ def loglik(path: Column) -> Column:
 
 
 def likelihood(plan: Plan, ys: Column, q: dict[str, Column], r: Callable[[Column], Column] | Column) -> Column:
-    """Log likelihood alone, of the forward path, which isn't returned."""
-    return loglik(forward(plan, ys, q, r))
+    """Log likelihood alone: the fold carries one state and a sum, so a long series costs its length."""
+    q = {g: c.cast("double") for g, c in q.items()}
+    r_of = r if callable(r) and not isinstance(r, Column) else lambda y: r
+    start = F.struct(F.array(*map(F.lit, plan.mean)).alias("m"), F.array(*(F.lit(x) for row in plan.cov for x in row)).alias("p"), F.lit(0.0).alias("sum"))
+
+    def summed(acc: Column, y: Column, a: Column, b: Column, s: Column, z: Column) -> Column:
+        term = 0.5 * (math.log(2 * math.pi) + F.log(s) + b["v"] * b["v"] / s)
+        return F.struct(z["m"].alias("m"), z["p"].alias("p"), (acc["sum"] - term).alias("sum"))
+
+    return F.aggregate(ys, start, lambda acc, y: _advance(plan, q, r_of, acc, y, summed))["sum"]
 
 
 def backward(plan: Plan, ys: Column, path: Column) -> Column:

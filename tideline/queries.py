@@ -366,29 +366,39 @@ def gev_grid_posterior(spark, sf_dir):
     return rounded(x.select("channel", "point", "weight"), "weight")
 
 
-def _fit(spark, sf_dir, pooled=False):
+def _fit(spark, sf_dir, pooling=None):
     model = plans.Model(components=(plans.LocalLinearTrend(),), priors=plans.Priors(initial_level=plans.Normal(50.0, 20.0), initial_slope=plans.Normal(0.0, 0.5), level=plans.Normal(0.0, 2.0), slope=plans.Normal(0.0, 0.2), variance=plans.InverseGamma(2.0, 60.0)))
-    return model, posterior.fit(channels(spark, sf_dir), model, draws=100, points=4, pooled=pooled)
+    return model, posterior.fit(channels(spark, sf_dir), model, pooling=pooling)
 
 
 @query()
 def posterior_fit(spark, sf_dir):
-    """A local linear trend: scales on a grid, then paths drawn by a simulation smoother."""
+    """A local linear trend: scales by importance sampling, then paths drawn by a simulation smoother."""
     _, fit = _fit(spark, sf_dir)
     return summaries.summarize(fit["outputs"], ["channel", "component", "t"], "value")
 
 
 @query()
 def posterior_fit_pooled(spark, sf_dir):
-    _, fit = _fit(spark, sf_dir, pooled=True)
-    return fit["posterior"].select("channel", "point", "loglik", "weight")
+    """Scales of level and slope that all channels share, summarized over draws with each channel's own amplitudes."""
+    _, fit = _fit(spark, sf_dir, plans.Pooling(level=plans.HalfNormal(2.0), slope=plans.HalfNormal(0.2)))
+    x = fit["draws"].select("channel", "chain", "draw", F.explode("params").alias("parameter", "value"))
+    return summaries.summarize(x, ["channel", "parameter"], "value")
+
+
+@query()
+def posterior_fit_gev(spark, sf_dir):
+    """Extreme values around a moving level, with scales by weekday."""
+    model = plans.Model(plans.GEV(scale=plans.SeasonalScale(7)), (plans.LocalLevel(),), plans.Priors(initial_level=plans.Normal(50.0, 20.0), level=plans.Normal(0.0, 2.0), variance=plans.InverseGamma(2.0, 60.0)))
+    fit = posterior.fit(channels(spark, sf_dir), model, draws=400, points=200)
+    return summaries.summarize(fit["outputs"], ["channel", "component", "t"], "value")
 
 
 @query()
 def forecast(spark, sf_dir):
     model, fit = _fit(spark, sf_dir)
     n = 30
-    taken = predictive.draw_index(spark, 200, 4, 25)
+    taken = predictive.draw_index(spark, 1000, 4, 250)
     pred = predictive.predict(fit["draws"], model, n, 14, taken)
     return summaries.summarize(pred, ["channel", "t"], "y")
 
