@@ -110,6 +110,25 @@ def test_shared_scales_keep_amplitudes_apart(spark):
     assert mean["a"] > 1.3 * mean["b"]
 
 
+def test_two_shared_scales_and_points_far_out(spark):
+    points = [(0.5, 0.1, 0.5), (2.0, 0.3, 0.5), (1e4, 0.2, 0.0), (0.1, 1e200, 0.0)]
+    own = spark.createDataFrame([(c, i, {"level": a, "slope": b, "variance": 1.0}, 0.0, w) for c in "ab" for i, (a, b, w) in enumerate(points)], "channel string, point int, params map<string,double>, loglik double, weight double")
+    m = plans.Model(priors=plans.Priors(level=plans.Normal(0, 1.0), slope=plans.Normal(0, 0.2)))
+    shared, taken = importance.pooled(own, m, plans.Pooling(level=plans.HalfNormal(1.0), slope=plans.HalfNormal(0.2)), 100)
+    got = shared.collect()
+    assert len(got) == 200 and all(0 <= r["weight"] <= 1 and all(t > 0 for t in r["tau"]) for r in got)
+
+    def density(tau):
+        each = sum(w * math.exp(-0.5 * (a * a * (1 / tau[0] ** 2 - 1) + b * b * (1 / tau[1] ** 2 - 25))) / (tau[0] * tau[1] / 0.2) for a, b, w in points if w)
+        return 2 * math.log(each) if each > 0 else -math.inf
+
+    exact = np.array([density(r["tau"]) for r in got])
+    assert np.allclose([r["weight"] for r in got], np.exp(exact - exact.max()), atol=1e-9)
+    rows = taken.select("channel", "chain", "draw", F.col("params")["level"].alias("a"), F.map_keys("params").alias("k")).collect()
+    assert len(rows) == 200 and {r["a"] for r in rows} == {0.5, 2.0}
+    assert set(rows[0]["k"]) == {"level", "slope", "variance", "tau.level", "tau.slope"}
+
+
 def test_series_that_cannot_be_fitted(spark):
     good = [1.0, 2.0, 3.0, 4.0]
     importance.check(observations(spark, {"a": good}))

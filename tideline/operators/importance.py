@@ -245,7 +245,7 @@ def pooled(own: DataFrame, model: Model, pooling: Pooling, draws: int, chains: i
         ratio = ratio - 0.5 * amp(g) * amp(g) * (1 / (tau * tau) - 1 / sd**2) - F.log(tau / sd)
     # the scales are a table of fixed size; each point meets all of them, as a likelihood needs
     cells = own.join(F.broadcast(grid.groupBy().agg(F.collect_list(F.struct("scale", "tau")).alias("s"))), how="left").withColumn("s", F.explode("s"))
-    cells = cells.select("channel", "point", "params", "weight", "s.*").withColumn("share", F.col("weight") * F.exp(ratio))
+    cells = cells.select("channel", "point", "params", "weight", "s.*").withColumn("share", F.when(F.col("weight") > 0, F.exp(F.log("weight") + ratio)).otherwise(0.0))
     each = cells.groupBy("channel", "scale").agg(F.sum("share").alias("likelihood"))
     shared = each.groupBy("scale").agg(F.sum(F.when(F.col("likelihood") > 0, F.log("likelihood")).otherwise(IMPOSSIBLE)).alias("lw")).join(grid, "scale")
     top = shared.agg(F.max("lw").alias("top"))
