@@ -1,12 +1,12 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, license_scan, lm_score, minhash, mixing, phrases, quality, sharding, toxicity, url_filter
-from tideline.llm.common import spread, table
+from tideline.llm import decontaminate, fingerprints, license_scan, lm_score, merkle, minhash, mixing, periodic, phrases, quality, sharding, toxicity, url_filter
+from tideline.llm.common import let, spread, table
 
 #: The rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -62,6 +62,46 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    x = merkle.manifest(table(spark, sf_dir, "documents"), other=tampered)
+    folded = merkle.fold(F.coalesce("other", "leaf"), F.col("proof"))
+    x = x.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof_text(F.col("proof"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return x.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents, in which those with h % 10 = 0 repeat with a period from a word on; h: the checksum of doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def changed(w: Column) -> Column:
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = F.pmod(g, n)
+        return let(
+            F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).alias("p")),
+            lambda x: F.array_join(F.transform(w, lambda word, i: F.when(i < x["a"], word).otherwise(F.get(w, (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int")))), " "),
+        )
+
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, let(words, lambda w: F.when(F.size(w) > 0, changed(w)))).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(_with_repeats(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    x = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return x.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +111,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_lm_scoring, op3_mixing, op4_license_scans, op5_quality_rules, op6_minhash_near_dedup, op7_substring_dedup, op8_sharding, op9_toxicity, op10_benchmark_decontamination, pipeline,
+        op1_url_filters, op2_lm_scoring, op3_mixing, op4_license_scans, op5_quality_rules, op6_minhash_near_dedup, op7_substring_dedup, op8_sharding, op9_toxicity, op10_benchmark_decontamination,
+        op11_merkle_manifest, op12_periodic_runs, op13_document_fingerprints, pipeline,
     )
 }
 
