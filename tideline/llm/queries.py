@@ -222,8 +222,12 @@ def _crc_table() -> list[int]:
     return out
 
 
-_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
-_CRC = f"xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), CAST(xor(c, b) & 255 AS BIGINT) + 1)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+def _crc_sql(text: str) -> str:
+    hexes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({hexes}, lambda c, b: xor(c >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), CAST(xor(c, b) & 255 AS BIGINT) + 1)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+_CRC = _crc_sql("coalesce(text, '')")
 
 ORACLE_SQL["op8_sharding"] = f"""
 WITH RECURSIVE d AS (SELECT doc_id, CAST({_CRC} AS BIGINT) AS text_crc32, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, CAST({_spread_sql("coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))")} % {sharding.SLOTS} AS INTEGER) AS vslot FROM documents),
@@ -232,3 +236,32 @@ WITH RECURSIVE d AS (SELECT doc_id, CAST({_CRC} AS BIGINT) AS text_crc32, CAST(c
   UNION ALL SELECT s.k, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + s.bytes ELSE v END), s.vslot, s.n, list_position(loads, list_min(loads)) - 1 FROM p JOIN s ON s.k = p.k + 1),
  m AS (SELECT vslot, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p WHERE vslot >= 0)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard, CAST(shard AS INTEGER) AS shard, CAST(before + row_number() OVER (PARTITION BY vslot ORDER BY doc_id) - 1 AS BIGINT) AS slot, vslot FROM d JOIN m USING (vslot)"""
+
+
+def _merkle_sql() -> str:
+    part = lambda f: f"coalesce(CAST(strlen(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    depth = " + ".join(f"CAST(count(*) > {3**k} AS INTEGER)" for k in range(20))
+    beside = lambda at: f"coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos {at} p.here), '')"
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('1' || source, '0') AS grp, {leaf("text")} AS h, CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 AND text IS NOT NULL THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
+ n AS (SELECT grp, {depth} AS depth FROM l GROUP BY 1),
+ t AS (SELECT grp, 0 AS level, pos, h FROM l UNION ALL SELECT t.grp, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t JOIN n ON t.grp = n.grp WHERE level < depth GROUP BY t.grp, level, pos // 3),
+ s AS (SELECT t.grp, t.h, row_number() OVER (ORDER BY t.grp) - 1 AS pos FROM t JOIN n ON t.grp = n.grp AND t.level = n.depth),
+ m AS (SELECT {depth} AS depth FROM s),
+ u AS (SELECT 0 AS level, pos, h FROM s UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u, m WHERE level < depth GROUP BY level, pos // 3),
+ a AS (SELECT l.doc_id, n.depth, l.pos, s.pos AS top, s.h AS subroot FROM l JOIN n USING (grp) JOIN s USING (grp)),
+ p AS (SELECT a.doc_id, l.grp, CAST(k AS INTEGER) AS level, CAST(k AS INTEGER) AS step, a.pos // CAST(3 ** k AS BIGINT) AS here FROM a JOIN l USING (doc_id), unnest(range(0, 20)) AS r(k) WHERE k < a.depth
+  UNION ALL SELECT a.doc_id, NULL, CAST(k AS INTEGER), CAST(a.depth + k AS INTEGER), a.top // CAST(3 ** k AS BIGINT) FROM a, m, unnest(range(0, 20)) AS r(k) WHERE k < m.depth),
+ b AS (SELECT grp, level, pos, h FROM t UNION ALL SELECT NULL, level, pos, h FROM u),
+ e AS (SELECT p.doc_id, p.step, {beside("<")} AS lft, {beside(">")} AS rgt FROM p JOIN b ON b.grp IS NOT DISTINCT FROM p.grp AND b.level = p.level AND b.pos // 3 = p.here // 3 GROUP BY 1, 2),
+ f AS (SELECT doc_id, 0 AS step, other AS h FROM l UNION ALL SELECT f.doc_id, f.step + 1, sha256(lft || h || rgt) FROM f JOIN e ON e.doc_id = f.doc_id AND e.step = f.step),
+ g AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM f GROUP BY 1),
+ q AS (SELECT doc_id, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS proof_sha256 FROM e GROUP BY 1),
+ x AS (SELECT u.h AS root FROM u, m WHERE u.level = m.depth)
+SELECT l.doc_id, l.h AS leaf, a.subroot, x.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, g.folded_root, g.folded_root = x.root AS verified
+FROM l JOIN a USING (doc_id) JOIN g USING (doc_id) LEFT JOIN q USING (doc_id), x"""
+
+
+ORACLE_SQL["op11_merkle_manifest"] = _merkle_sql()
