@@ -1,8 +1,10 @@
 """The ten operators against plain Python on small tables."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -716,6 +718,121 @@ def test_maximal_segments():
         assert [x[:2] for x in got] == [x[:2] for x in brute(s, 0, len(s))]
 
 
+def test_segments_take_time_by_length():
+    """The drift makes every new segment start lower than all before it: walking back over them all would be quadratic."""
+    took = []
+    for n in (125_000, 1_000_000):
+        s = np.random.default_rng(2).choice([-0.5, -0.4, 0.45], n)
+        start = time.process_time()
+        found = toxicity.maximal_segments(s)
+        took.append(time.process_time() - start)
+    assert len(found) > 100_000 and took[1] < 24 * max(took[0], 0.05)
+
+
+def brute_toxicity(rows, labels):
+    """Scores by the docstring's formulas, in plain Python: weights of words and beginnings from the training rows' halves,
+    passages, their calibration and the curve."""
+    crc = lambda d: zlib.crc32(str(d).encode()) % 3
+    toxic = {}
+    for d, t in labels:
+        if d is not None and t is not None:
+            toxic[d] = max(toxic.get(d, 0), t)
+    train = [(ALNUM.findall(lower(t or "")), toxic[d], int(crc(d) == 2)) for d, t, *_ in rows if d in toxic and crc(d) != 1]
+    share = {h: [t for d, t in toxic.items() if crc(d) != 1 and (h == "both" or int(crc(d) == 2) == h)] for h in (0, 1, "both")}
+    share = {h: sum(x) / len(x) for h, x in share.items()}
+    odds = lambda p: math.log(p / (1 - p))
+    kind = lambda w: w.encode()[: toxicity.BEGINNING]
+
+    def weights(h):
+        n, t, kn, kt = Counter(), Counter(), Counter(), Counter()
+        for words, label, half in train:
+            for w in set(words) if h in ("both", half) else ():
+                n[w] += 1
+                t[w] += label
+                kn[kind(w)] += 1
+                kt[kind(w)] += label
+        at, p = odds(share[h]), share[h]
+        low = lambda x: max(odds(x) - at, -toxicity.FLOOR)
+        of_kind = {b: (kt[b] + toxicity.BETA * p) / (kn[b] + toxicity.BETA) for b in kn}
+        of_word = {w: low((t[w] + toxicity.ALPHA * of_kind[kind(w)]) / (n[w] + toxicity.ALPHA)) for w in n}
+        kinds = {b: low(x) for b, x in of_kind.items()}
+        return lambda w: of_word[w] if w in of_word and abs(of_word[w] - kinds[kind(w)]) > toxicity.SAME else kinds.get(kind(w), 0.0)
+
+    def passages(words, weight):
+        s, last = [], {}
+        for i, w in enumerate(words):
+            v = weight(w)
+            if v > toxicity.DRIFT:
+                if w in last and i - last[w] <= toxicity.REACH:
+                    v = toxicity.DRIFT
+                else:
+                    last[w] = i
+            s.append(v - toxicity.DRIFT)
+
+        def best(lo, hi):
+            at, top, run, start = None, 0.0, 0.0, lo
+            for i in range(lo, hi):
+                if run <= 0:
+                    run, start = 0.0, i
+                run += s[i]
+                if run > top + 1e-12:
+                    at, top = (start, i + 1), run
+            return [] if at is None else [*best(lo, at[0]), top, *best(at[1], hi)]
+
+        return s, best(0, len(s))
+
+    halves = [weights(1), weights(0)]  # each row under the other half's weights
+    scored = [(label, len(words), *passages(words, halves[half])) for words, label, half in train]
+    seen = np.zeros(toxicity._BINS)
+    for label, _, s, _ in scored:
+        if not label:
+            at = np.clip(np.rint((np.array(s) - toxicity._LEAST) / toxicity._BIN), 0, toxicity._BINS - 1).astype(int)
+            seen += np.bincount(at, minlength=toxicity._BINS)
+    lam = toxicity.decay(seen)
+    clean = [(n, max(found, default=0.0)) for label, n, _, found in scored if not label]
+    k = len(clean) / sum(n * math.exp(-lam * b) for n, b in clean)
+
+    def evidence(found, n):
+        x = sorted((lam * v - math.log(k * n) for v in found), reverse=True)
+        return math.sqrt(max(0.0, x[0]) + sum(v for v in x[1:] if v > -math.log(toxicity.SIGNIFICANT))) if x else 0.0
+
+    by = defaultdict(lambda: [0, 0])
+    for label, n, _, found in scored:
+        one = by[round(evidence(found, n) + 1e-12, 2)]
+        one[0] += label
+        one[1] += 1
+    a, b = toxicity.curve(*(np.array(c, float) for c in zip(*((x, *v) for x, v in by.items()))))
+    both, out = weights("both"), []
+    for d, t, *_ in rows:
+        words = ALNUM.findall(lower(t or ""))
+        out.append((d, 1 / (1 + math.exp(-(a + b * evidence(passages(words, both)[1], len(words)))))))
+    return sorted(out, key=str)
+
+
+def test_toxicity_scores(spark):
+    """All scores by brute force, with rows without doc_id, of one doc_id, equal ones and clashing columns."""
+    r = random.Random(9)
+    clean, bad = [f"c{i}" for i in range(120)], [f"zzq{i}" for i in range(20)]
+    rows, labels = [], []
+    for i in range(240):
+        w = [r.choice(clean) for _ in range(r.randint(5, 80))]
+        if i % 4 == 0:
+            at = r.randrange(len(w))
+            w[at:at] = [r.choice(bad) for _ in range(r.randint(2, 8))]
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, int(i % 4 == 0) if i % 17 else None))
+    rows += [(None, rows[0][1], "en", "s", 1), (None, None, "en", "s", 1), (3, rows[8][1], "en", "s", 1), rows[5], (900, " ".join(["c1 zzq3 zzq4 c2"] * 9000), "en", "s", 1)]
+    labels += [(8, 0), (None, 1), (4000, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit("x") for c in ("score", "toxic", "half", "held_out", "n")}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("half", F.lit("x"))
+    got = toxicity.score(df, toxicity.fit(df, lab)).collect()
+    want = brute_toxicity(rows, labels)
+    assert sorted((x["doc_id"] for x in got), key=str) == sorted((d for d, _ in want), key=str)
+    for (d, s), x in zip(want, sorted(((x["doc_id"], x["score"]) for x in got), key=str)):
+        assert x == (d, pytest.approx(s, abs=0.01))  # the curve's counts are rounded to the hundredth
+    assert not any(x["held_out"] for x in got if x["doc_id"] is None)
+
+
 # 10
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_operators import ALNUM, SCHEMA, SPACE, brute_hits, fill, jaccard, lower, sets_of
-from tideline.llm import quality
+from tideline.llm import minhash, quality
 
 
 @pytest.fixture(scope="module")
@@ -83,7 +83,34 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, seen[4]), key=str)
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+def test_stages_take_columns_of_any_type(spark, folder):
+    """A map can be neither ordered nor grouped by; it stays with its row."""
+    sf, rows, _ = folder
+    docs = spark.createDataFrame(rows[:40], SCHEMA).withColumn("m", F.create_map(F.lit("id"), F.col("doc_id"))).withColumn("r", F.lit("x"))
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 6").withColumn("r", F.lit("y")))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert docs.count() and docs.where("m['id'] <> doc_id OR m IS NULL").count() == 0
+    assert docs.columns[-2:] == ["m", "r"]
+    twice = spark.createDataFrame([(1, "", "en", "s", 1)] * 3 + [(1, "", "en", "t", 1), (1, None, "en", "s", 1)], SCHEMA).withColumn("m", F.create_map(F.lit("id"), F.col("doc_id")))
+    assert minhash.keep_one(twice).count() == 3  # wordless rows are one only where all columns are equal
+
+
+def test_runs_keep_their_own_tables(spark, tmp_path):
+    from tideline.llm.common import collecting, settle
+
+    with collecting(spark):
+        first = settle(spark.range(3), "a")
+        with collecting(spark):
+            inner = settle(spark.range(4), "b")
+        assert first.count() == 3
+        with pytest.raises(Exception):
+            spark.read.parquet(inner.inputFiles()[0]).count()
+    outside = settle(spark.range(5), "c")
+    assert outside.count() == 5
+
+
+@pytest.mark.parametrize("n", range(1, 14))
 def test_queries_run(spark, folder, n):
     queries = __spark_entry__.queries()
     name = next(q for q in queries if q.startswith(f"op{n}_"))

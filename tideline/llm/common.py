@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder stands in.
+    Only where it is unset and all runs on one machine (tests) a temporary folder stands in.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
@@ -33,14 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="tideline-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-#: Folders of settled tables of this session, in the order of writing.
-SETTLED: list[str] = []
+#: Folders of the tables settled by the run at hand, if it keeps a list (see ``collecting``).
+_SETTLED: ContextVar[list[str] | None] = ContextVar("settled", default=None)
+
+
+@contextmanager
+def collecting(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at the end, once what was made of them is written; a run has its own list."""
+    mine: list[str] = []
+    token = _SETTLED.set(mine)
+    try:
+        yield
+    finally:
+        _SETTLED.reset(token)
+        for folder in mine:
+            delete(spark, folder)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -48,12 +65,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    SETTLED.append(path)
+    if (mine := _SETTLED.get()) is not None:
+        mine.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,14 +79,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def release(df: DataFrame) -> None:
     """Delete a settled table that nothing will read again."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        _delete(df.sparkSession, folder)
-
-
-def sweep(spark: SparkSession, since: int) -> None:
-    """Delete the tables settled after the first ``since`` ones, once what was made of them is written."""
-    for folder in SETTLED[since:]:
-        _delete(spark, folder)
-    del SETTLED[since:]
+        delete(df.sparkSession, folder)
 
 
 def bit_map(ids: DataFrame, column: str, bits: int) -> np.ndarray:

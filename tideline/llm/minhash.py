@@ -321,8 +321,10 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each class: that with the class's smallest doc_id, a null one last; of equal rows, one."""
     keep = _labelled(docs, **how).where("r = class_key").select(F.col("r").alias("_keep"), (F.col("n") == 0).alias("_wordless")).distinct()
     x, own = hidden(docs)
-    rest = list(own.values())
-    x = x.withColumn("_key", row_key(own["doc_id"], own["text"])).join(keep, F.col("_key") == F.col("_keep"))
-    # wordless rows of one id and text are one document only where all columns are equal
-    x = x.groupBy("_key", F.when(F.col("_wordless"), F.struct(*rest)).alias("_row")).agg(F.min(F.struct(*rest)).alias("_r"))
+    rest, text = list(own.values()), own["text"]
+    x = x.withColumn("_key", row_key(own["doc_id"], text)).join(keep, F.col("_key") == F.col("_keep"))
+    # rows of one key have one id and text; a hash of the others puts them in order, whatever their types are
+    x = x.withColumn("_o", F.xxhash64(F.to_json(F.struct(*(c for c in rest if c != text)))) if len(rest) > 1 else F.lit(0).cast("long"))
+    # wordless ones are one document only where all columns are equal
+    x = x.groupBy("_key", F.when(F.col("_wordless"), F.col("_o")).alias("_row")).agg(F.min_by(F.struct(*rest), F.col("_o")).alias("_r"))
     return x.select(*(F.col(f"_r.{h}").alias(c) for c, h in own.items()))

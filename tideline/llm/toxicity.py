@@ -149,21 +149,23 @@ def word_scores(w: tokens.Words, model: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring (start, end, score) of a sequence, in one scan over its positive places."""
+    """All maximal scoring (start, end, score) of a sequence, in one scan over its positive places.
+
+    Each segment knows the last one before it with a smaller sum on its left.  Looking for such a one for a
+    new segment follows these links; what they pass over is never looked at again, so time is linear."""
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-    for k in np.flatnonzero(scores > 0).tolist():
-        start, end, left, right = k, k + 1, total[k], total[k + 1]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                found.append((start, end, left, right))
-                break
-            start, left = found[j][0], found[j][2]
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, link
+    places = np.flatnonzero(scores > 0)
+    for k, left, right in zip(places.tolist(), total[places].tolist(), total[places + 1].tolist()):
+        start, j = k, len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < right:  # joined with that one and all between
+            start, left, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(s, e, float(r - x)) for s, e, x, r in found]
+            j = link
+        found.append((start, k + 1, left, right, j))
+    return [(s, e, r - x) for s, e, x, r, _ in found]
 
 
 def passages(train: DataFrame, model: dict[str, tuple[np.ndarray, ...]]) -> DataFrame:
