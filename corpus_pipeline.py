@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontaminate, minhash, mixing, quality, sharding
-from tideline.llm.common import SETTLED, shared_dir, sweep, table
+from tideline.llm.common import collecting, delete, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage made.  The tables that a stage was made of, and the stage before, are deleted once it is written."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        path, before = f"{base}/{k}-{name}", len(SETTLED)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        sweep(spark, before)
-        docs = spark.read.parquet(path)
+        path = f"{base}/{k}-{name}"
+        with collecting(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
