@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from tideline.llm.common import settle, text_bytes
+from tideline.llm.common import let, settle, text_bytes
 
 #: Coordinates of a fingerprint, and how many of them one row of a term works out.
 COORDINATES, STEP = 64, 8
@@ -56,11 +56,17 @@ def _samples(terms: DataFrame, keys: list[str], weights: list[str], first: Colum
 
 def fingerprints(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, and for each text column an array of the same name): the codes of its coordinates, 1 to 65535; null
-    where it has no words.  ``keys`` tell the rows apart.  Rows without a word in any column aren't listed."""
-    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    where it has no words.  ``keys`` tell the rows apart, and may carry what else is wanted of them."""
+
+    def words(text: Column) -> Column:
+        found = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        # a row without words goes on as one without a term
+        return let(found, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(F.lit(None).cast("string"))))
+
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("t")) for i, c in enumerate(columns)))).alias("e")
     x = texts.select(*keys, each).select(*keys, F.col("e.i").alias("i"), F.col("e.t").alias("t"))
-    x = x.select(*keys, "i", F.explode(words("t")).alias("w")).select(*keys, "i", F.xxhash64("w").alias("x"))
+    x = x.select(*keys, "i", F.explode(words(F.col("t"))).alias("w"))
+    x = x.select(*keys, F.when(F.col("w").isNotNull(), F.col("i")).alias("i"), F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("x"))
     logs = [f"_w{i}" for i in range(len(columns))]
     counts = x.groupBy(*keys, "x").agg(*(F.sum((F.col("i") == i).cast("long")).alias(w) for i, w in enumerate(logs)))
     # the logarithm of no occurrence is null, and its samples are null too
@@ -123,9 +129,8 @@ def compare(docs: DataFrame) -> DataFrame:
     part = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - part), F.substring(F.col("next_text"), F.lit(1), part))
     x = x.withColumn("edited", F.when(~F.col("guest"), edited))
-    about = x.select("bucket", "rn", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    prints = fingerprints(x, ["bucket", "rn"], ["text", "edited"])
-    both = about.join(prints.hint("merge"), ["bucket", "rn"], "left")
+    x = x.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = fingerprints(x, ["bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256"], ["text", "edited"])
     w = Window.partitionBy("bucket").orderBy("rn")
     both = both.withColumn("next", F.lead("text").over(w)).where("NOT guest")
     return both.select(
