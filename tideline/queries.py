@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import gev, normal, scale
-from tideline.operators import blocks, diagnostics, experiments, plotdata, posterior, predictive, summaries
+from tideline.operators import blocks, chunks, diagnostics, experiments, plotdata, posterior, predictive, summaries
 from tideline.operators import state_space as ss
 from tideline.plans import model as plans
 from tideline.sources import daily as source
@@ -298,6 +298,46 @@ def local_level_filter(spark, sf_dir):
     return x.select("channel", "e.t", r6(F.col("e.m")[0]).alias("level"), r6(F.col("e.p")[0]).alias("variance"))
 
 
+def prices(spark, sf_dir) -> DataFrame:
+    """(channel, t, y): the highest and the lowest price of each day, numbered from the first."""
+    x = daily(spark, sf_dir).select("day", F.explode(F.create_map(F.lit("tx"), F.col("tx"), F.lit("tn"), F.col("tn"))).alias("channel", "y"))
+    first = daily(spark, sf_dir).agg(F.min("day").alias("first"))
+    return x.join(F.broadcast(first), F.col("day") >= F.col("first")).select("channel", F.datediff("day", "first").alias("t"), (F.col("y") / 1000).alias("y"))
+
+
+#: Variances of a level and of prices around it, in thousands; a chunk has so many days.
+PRICE_Q, PRICE_R, PRICE_SIZE = 2.0, 50.0, 128
+_PRICE_CTE = f"""WITH RECURSIVE {DAILY}, obs AS (
+ SELECT channel, CAST(date_diff('day', (SELECT min(day) FROM daily), day) AS INTEGER) AS t, y FROM (SELECT 'tx' AS channel, day, tx / 1000 AS y FROM daily UNION ALL SELECT 'tn', day, tn / 1000 FROM daily)),
+k AS (
+ SELECT channel, -1 AS t, CAST(50 AS DOUBLE) AS m, CAST(100 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS ll FROM obs WHERE t = 0
+ UNION ALL SELECT o.channel, o.t, k.m + (k.p + {PRICE_Q}) / (k.p + {PRICE_Q + PRICE_R}) * (o.y - k.m), (k.p + {PRICE_Q}) - (k.p + {PRICE_Q}) * (k.p + {PRICE_Q}) / (k.p + {PRICE_Q + PRICE_R}), k.ll - 0.5 * (ln(2 * pi()) + ln(k.p + {PRICE_Q + PRICE_R}) + (o.y - k.m) * (o.y - k.m) / (k.p + {PRICE_Q + PRICE_R})) FROM k JOIN obs o ON o.channel = k.channel AND o.t = k.t + 1)"""
+
+
+def _chunked(of, spark, sf_dir):
+    return of(prices(spark, sf_dir), plans.compile_model(LEVEL), {"level": PRICE_Q}, PRICE_R, PRICE_SIZE, 8)
+
+
+@query(_PRICE_CTE + " SELECT channel, t, round(m, 6) AS level, round(p, 6) AS variance FROM k WHERE t >= 0")
+def chunked_filter(spark, sf_dir):
+    x = _chunked(chunks.filtered, spark, sf_dir)
+    return x.select("channel", "t", r6(F.col("m")[0]).alias("level"), r6(F.col("p")[0]).alias("variance"))
+
+
+@query(_PRICE_CTE + " SELECT channel, round(arg_max(ll, t), 5) AS loglik FROM k GROUP BY channel")
+def chunked_loglik(spark, sf_dir):
+    return _chunked(chunks.likelihood, spark, sf_dir).select("channel", F.round("loglik", 5).alias("loglik"))
+
+
+@query(_PRICE_CTE + f""", n AS (SELECT channel, max(t) AS n FROM k GROUP BY 1), s AS (
+ SELECT k.channel, k.t, k.m, k.p FROM k JOIN n ON n.channel = k.channel AND k.t = n.n
+ UNION ALL SELECT k.channel, k.t, k.m + k.p / (k.p + {PRICE_Q}) * (s.m - k.m), k.p + (k.p / (k.p + {PRICE_Q})) * (k.p / (k.p + {PRICE_Q})) * (s.p - k.p - {PRICE_Q}) FROM s JOIN k ON k.channel = s.channel AND k.t = s.t - 1 WHERE k.t >= 0)
+ SELECT channel, t, round(m, 6) AS level, round(p, 6) AS variance FROM s""")
+def chunked_smoother(spark, sf_dir):
+    x = _chunked(chunks.smoothed, spark, sf_dir)
+    return x.select("channel", "t", r6(F.col("m")[0]).alias("level"), r6(F.col("v")[0]).alias("variance"))
+
+
 @query(_LEVEL_CTE + " SELECT channel, round(arg_max(ll, t), 6) AS loglik FROM k GROUP BY channel")
 def local_level_loglik(spark, sf_dir):
     _, x = _forward(spark, sf_dir, LEVEL, {"level": 4.0})
