@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType
 from tideline.llm.common import let, settle, text_bytes
 
 #: Coordinates of a fingerprint, and how many of them one row of a term works out.
-COORDINATES, STEP = 64, 8
+COORDINATES, STEP = 64, 4
 #: Hexadecimal digits of a coordinate in the printed fingerprint.
 DIGITS = 4
 EMPTY = "0" * (COORDINATES * DIGITS)
@@ -56,7 +56,7 @@ def _samples(terms: DataFrame, keys: list[str], weights: list[str], first: Colum
 
 def fingerprints(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, and for each text column an array of the same name): the codes of its coordinates, 1 to 65535; null
-    where it has no words.  ``keys`` tell the rows apart, and may carry what else is wanted of them."""
+    where it has no words.  ``keys`` tell the rows apart; few and short ones, as they go along with every word."""
 
     def words(text: Column) -> Column:
         found = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -116,7 +116,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))
     sent = F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(n, 1))).cast("int").alias("b"), F.lit(True).alias("guest"))
     places = F.when(F.get(bounds, F.col("bucket")) == F.col("key"), F.array(own, sent)).otherwise(F.array(own))
-    rows = rows.select("key", "text", F.explode(places).alias("at")).select(F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"), "key", "text")
+    # a bucket that can't be null: a filter for that, pushed below the shuffle by a join, would keep it from being shared
+    rows = rows.select("key", "text", F.explode(places).alias("at")).select(F.coalesce("at.b", F.lit(0)).alias("bucket"), F.col("at.guest").alias("guest"), "key", "text")
     # one row of a bucket after the other: no bucket holds more than its share, whatever repeats
     w = Window.partitionBy("bucket").orderBy("guest", "key")
     return rows.repartition("bucket").select("bucket", F.row_number().over(w).alias("rn"), "guest", F.col("key.doc_id").alias("doc_id"), "text", F.lead("text").over(w).alias("next_text"))
@@ -129,8 +130,9 @@ def compare(docs: DataFrame) -> DataFrame:
     part = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - part), F.substring(F.col("next_text"), F.lit(1), part))
     x = x.withColumn("edited", F.when(~F.col("guest"), edited))
-    x = x.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    both = fingerprints(x, ["bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256"], ["text", "edited"])
+    about = x.select("bucket", "rn", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    # both sides come from one shuffle of the texts, and meet where it put them
+    both = about.join(fingerprints(x, ["bucket", "rn"], ["text", "edited"]).hint("merge"), ["bucket", "rn"])
     w = Window.partitionBy("bucket").orderBy("rn")
     both = both.withColumn("next", F.lead("text").over(w)).where("NOT guest")
     return both.select(
