@@ -18,7 +18,7 @@ SD_KEYS = {f.name: "xi_sd" if f.name == "shape" else f"{f.name}_sd" for f in fie
 # The keys a configuration may have, level by level.
 KEYS = {
     "": {"name", "description", "extends", "data", "model", "priors", "pooling", "profiles", "laplace", "forecast_years", "return_years", "risk_thresholds", "validation", "plot", "seed"},
-    "data": {"source", "frequency", "series"},
+    "data": {"source", "frequency", "series", "start", "end"},
     "model": {"period", "steps_per_year", "level", "slope", "seasonal", "seasonal_scale", "scale_prior_sd"},
     "priors": {*SD_KEYS.values(), "variance_shape", "variance_scale"},
 }

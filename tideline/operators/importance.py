@@ -171,15 +171,24 @@ def _adapted(rows: DataFrame, k: int, n: int) -> DataFrame:
     return x.select("channel", "ys", "centre", spread.alias("spread"))
 
 
+def gathered(obs: DataFrame, model: Model) -> DataFrame:
+    """(channel, ys): each channel's series, with the features that the model needs."""
+    features = compile_model(model).features
+    if features and "x" not in obs.columns:
+        raise ValueError(f"the model needs features {features} in a column x")
+    return ss.series(obs, ["channel"], x="x" if features else None)
+
+
 def posterior(obs: DataFrame, model: Model, points: int = 400, rounds: int = 3, seed: int = 1000) -> DataFrame:
     """(channel, point, params, loglik, weight) for every channel; see ``effective``.
 
     Empty tables give no rows; extra columns are left out; t, y and channel must not be null (see ``check``)."""
-    plan = compile_model(model)
-    if plan.features and "x" not in obs.columns:
-        raise ValueError(f"the model needs features {plan.features} in a column x")
+    return posterior_of(gathered(obs, model), model, points, rounds, seed)
+
+
+def posterior_of(rows: DataFrame, model: Model, points: int = 400, rounds: int = 3, seed: int = 1000) -> DataFrame:
+    """``posterior`` of series (channel, ys)."""
     free, fixed = parameters(model)
-    rows = ss.series(obs, ["channel"], x="x" if plan.features else None)
     # the variance starts at half the mean square of steps, all else at its prior
     step = F.zip_with(F.slice("ys", F.lit(2), F.size("ys")), "ys", lambda a, b: F.coalesce(a["y"] - b["y"], F.lit(0.0)))
     rough = F.aggregate(step, F.lit(0.0), lambda a, d: a + d * d) / F.greatest(F.size("ys") - 1, F.lit(1)) / 2

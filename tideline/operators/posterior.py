@@ -21,6 +21,7 @@ from tideline.operators import importance
 from tideline.operators.importance import take
 from tideline.operators import state_space as ss
 from tideline.plans.model import Fixed, HalfNormal, InverseGamma, Model, Normal, Plan, Pooling, compile_model
+from tideline.sources.scratch import settle
 
 
 def capability(model: Model) -> dict[str, str]:
@@ -130,12 +131,17 @@ def path_draws(obs: DataFrame, taken: DataFrame, model: Model, seed: int = 1000)
     A series is simulated from the model, and the smoothed difference to the data is
     added to the simulated states, which is an exact draw of a normal model.  For extreme values
     a column ``weight`` is added, by which paths have to be taken anew."""
+    return path_draws_of(importance.gathered(obs, model), taken, model, seed)
+
+
+def path_draws_of(series: DataFrame, taken: DataFrame, model: Model, seed: int = 1000) -> DataFrame:
+    """``path_draws`` of series (channel, ys)."""
     plan = compile_model(model)
     d, groups = len(plan.names), list(plan.noise)
     x = "x" if plan.features else None
     family = model.observation.family
     value = lambda name: F.element_at("params", name)
-    rows = importance.observed(taken.join(ss.series(obs, ["channel"], x=x), "channel"), model, value)
+    rows = importance.observed(taken.join(series, "channel"), model, value)
     key = [F.col("channel"), F.col("chain"), F.col("draw")]
     amp = {g: F.element_at("params", g) for g in groups}
     root = _root(plan.cov)
@@ -199,12 +205,22 @@ def outputs(draws: DataFrame, model: Model) -> DataFrame:
     return long.select("channel", "chain", "draw", F.col("s.t").alias("t"), F.explode(each).alias("o")).select("channel", "chain", "draw", "t", "o.*")
 
 
-def fit(obs: DataFrame, model: Model, draws: int = 1000, chains: int = 4, seed: int = 1000, points: int = 400, pooling: Pooling | None = None, spare: int = 3) -> dict[str, DataFrame]:
-    """The whole way: {posterior, draws, outputs[, shared]}.  With ``pooling`` amplitudes are each channel's own,
-    under scales that all share (``shared``).  ``spare``: paths drawn for each one taken, for extreme values."""
-    capability(model)
+def fit(obs: DataFrame, model: Model, draws: int = 1000, chains: int = 4, seed: int = 1000, points: int = 400, pooling: Pooling | None = None, spare: int = 3, only: tuple[int, ...] | None = None) -> dict[str, DataFrame]:
+    """The whole way: {posterior, draws, outputs, effective[, shared]}, written to the shared folder as it is made, so no use
+    of it starts from the data again.  With ``pooling`` amplitudes are each channel's own, under scales that all share
+    (``shared``).  ``spare``: paths drawn for each one taken, for extreme values.  ``only``: chains to draw; they are
+    the same as in a fit of all chains."""
     importance.check(obs)
-    weights = importance.posterior(obs, model, points, seed=seed)
+    return fit_of(importance.gathered(obs, model), model, draws, chains, seed, points, pooling, spare, only)
+
+
+def fit_of(series: DataFrame, model: Model, draws: int = 1000, chains: int = 4, seed: int = 1000, points: int = 400, pooling: Pooling | None = None, spare: int = 3, only: tuple[int, ...] | None = None) -> dict[str, DataFrame]:
+    """``fit`` of series (channel, ys)."""
+    capability(model)
+    if draws < 1 or chains < 1 or draws % chains:
+        raise ValueError("draws must be a multiple of chains")
+    series = settle(series, "series")
+    weights = settle(importance.posterior_of(series, model, points, seed=seed), "weights")
     gev_family = model.observation.family == "gev"
     many = draws * spare if gev_family else draws
     shared = None
@@ -212,11 +228,18 @@ def fit(obs: DataFrame, model: Model, draws: int = 1000, chains: int = 4, seed:
         taken = take(weights, many, chains)
     else:
         shared, taken = importance.pooled(weights, model, pooling, many, chains, seed)
-    paths = path_draws(obs, taken, model, seed)
+        shared = settle(shared, "shared")
+    if only is not None:
+        taken = taken.where(F.col("chain").isin(*only))
+    paths = settle(path_draws_of(series, taken, model, seed), "paths")
+    worth = importance.effective(weights)
     if gev_family:
-        numbered = paths.withColumn("point", F.col("draw") * chains + F.col("chain")).drop("chain", "draw")
-        paths = take(numbered, draws, chains).select("channel", "chain", "draw", "params", "states")
-    out = {"posterior": weights, "draws": paths, "outputs": outputs(paths, model)}
+        # of these weights nobody sees more than this
+        worth = worth.join(importance.effective(paths).select("channel", F.col("points").alias("paths"), F.col("effective").alias("effective_paths")), "channel")
+        numbered = paths.withColumnsRenamed({"chain": "own", "draw": "point"})
+        paths = take(numbered, draws // chains, 1, keys=("channel", "own"))
+        paths = settle(paths.select("channel", F.col("own").alias("chain"), "draw", "params", "states"), "draws")
+    out = {"posterior": weights, "draws": paths, "outputs": outputs(paths, model), "effective": worth}
     return out if shared is None else out | {"shared": shared}
 
 
@@ -267,16 +290,18 @@ def gev_path_mode(obs: DataFrame, model: Model, params: dict[str, float], rounds
     return rows.select("channel", F.zip_with("ys", "eta", lambda y, e: F.struct(y["t"].alias("t"), e.alias("eta"))).alias("path"))
 
 
-def combine(*fits: DataFrame) -> DataFrame:
-    """Draws of separate runs with chains numbered on; all need the same columns and draws a chain."""
+def combine(*draws: DataFrame) -> DataFrame:
+    """Draws of separate runs with chains numbered on; all need the same columns and draws a chain.  ``runs.combine`` also
+    checks that they are runs of one thing."""
     out, chains, shape = None, 0, None
-    for f in fits:
-        got = f.groupBy("chain").agg(F.countDistinct("draw").alias("n")).agg(F.max("chain").alias("top"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    for f in draws:
+        got = f.groupBy("chain").agg(F.countDistinct("draw").alias("n")).agg(F.count("chain").alias("chains"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
         if got["lo"] != got["hi"] or (shape is not None and shape != (got["hi"], f.columns)):
             raise ValueError("runs must have the same columns and the same number of draws in each chain")
         shape = (got["hi"], f.columns)
-        moved = f.withColumn("chain", (F.col("chain") + chains).cast("int"))
-        out, chains = moved if out is None else out.unionByName(moved), chains + got["top"] + 1
+        place = F.dense_rank().over(Window.partitionBy("channel").orderBy("chain")) - 1
+        moved = f.withColumn("chain", (place + chains).cast("int"))
+        out, chains = moved if out is None else out.unionByName(moved), chains + got["chains"]
     if out is None:
         raise ValueError("nothing to combine")
     return out

@@ -72,8 +72,9 @@ def observe(rows: DataFrame, family: str, tail: str, seed: int, keys: list[str])
     return rows.withColumn("y", y)
 
 
-def predict(draws: DataFrame, model: Model, n_obs: int, horizon: int, taken: DataFrame, seed: int = 2000, future_x: DataFrame | None = None) -> DataFrame:
-    """(channel, draw, t, y, location, sigma, xi, states) from the last states of posterior draws.
+def predict(draws: DataFrame, model: Model, n_obs: int | None, horizon: int, taken: DataFrame, seed: int = 2000, future_x: DataFrame | None = None) -> DataFrame:
+    """(channel, draw, t, y, location, sigma, xi, states) from the last states of posterior draws; times go on from ``n_obs``,
+    or from each draw's own last time.
 
     ``draws``: (channel, chain, draw, params, states); ``taken``: a draw index, joined by a
     broadcast only as Spark sees fit.  ``future_x``: (channel, xs array<array<double>>)."""
@@ -82,13 +83,14 @@ def predict(draws: DataFrame, model: Model, n_obs: int, horizon: int, taken: Dat
         raise ValueError(f"a forecast needs future values of {plan.features}")
     if future_x is not None and not plan.features:
         raise ValueError("the model declares no features")
-    x = draws.select("channel", "chain", "draw", "params", F.element_at("states", -1)["m"].alias("m")).join(taken, ["chain", "draw"]).drop("draw").withColumnRenamed("pred", "draw")
+    x = draws.select("channel", "chain", "draw", "params", F.element_at("states", -1).alias("end")).join(taken, ["chain", "draw"]).drop("draw").withColumnRenamed("pred", "draw")
     if future_x is not None:
         x = x.join(future_x, "channel")
-    path = _walk(plan, F.col("m"), {g: F.element_at("params", g) for g in plan.noise}, whole("horizon", horizon), seed, [F.col("channel"), F.col("draw")], F.col("xs") if future_x is not None else None)
+    path = _walk(plan, F.col("end.m"), {g: F.element_at("params", g) for g in plan.noise}, whole("horizon", horizon), seed, [F.col("channel"), F.col("draw")], F.col("xs") if future_x is not None else None)
     sig = importance.sigmas(model, lambda name: F.element_at("params", name))
     xi = F.coalesce(F.element_at("params", "xi"), F.lit(0.0))
-    rows = x.select("channel", "draw", sig.alias("sig"), xi.alias("xi"), F.explode(path).alias("p")).withColumn("t", (F.col("p.k") + n_obs - 1).cast("int"))
+    last = F.col("end.t") if n_obs is None else F.lit(n_obs - 1)
+    rows = x.select("channel", "draw", sig.alias("sig"), xi.alias("xi"), last.alias("last"), F.explode(path).alias("p")).withColumn("t", (F.col("p.k") + F.col("last")).cast("int"))
     rows = rows.select("channel", "draw", "t", F.col("p.location").alias("location"), importance.sigma_at(model, F.col("sig"), F.col("t")).alias("sigma"), "xi", F.col("p.m").alias("states"))
     return observe(rows, model.observation.family, model.observation.tail, seed, ["channel", "draw", "t"])
 

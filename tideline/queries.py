@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import gev, normal, scale
-from tideline.operators import blocks, chunks, diagnostics, experiments, plotdata, posterior, predictive, summaries
+from tideline.operators import blocks, chunks, diagnostics, experiments, plotdata, posterior, predictive, summaries, validation
 from tideline.operators import state_space as ss
 from tideline.plans import model as plans
 from tideline.sources import daily as source
@@ -731,6 +731,34 @@ def coverage_pivot(spark, sf_dir):
     return x.select("origin", "channel", F.round("`0.9`", 4).alias("0.9"))
 
 
+#: Origins of the refits, and days that each forecast is held against.
+ORIGINS, HORIZON = [14, 19, 24], 5
+
+
+def _refits(spark, sf_dir) -> dict[str, DataFrame]:
+    """Every channel fitted anew at each origin: a moving level under normal observations."""
+    obs = channels(spark, sf_dir)
+    priors = plans.Priors(initial_level=plans.Normal(50.0, 20.0), level=plans.Normal(0.0, 2.0), variance=plans.InverseGamma(2.0, 60.0))
+    level = plans.Model(components=(plans.LocalLevel(),), priors=priors)
+    models = {r["channel"]: level for r in obs.select("channel").distinct().collect()}  # a model a channel
+    return validation.refits(obs, models, ORIGINS, HORIZON, draws=400, points=200, predictive_draws=400)
+
+
+@query()
+def refit_coverage(spark, sf_dir):
+    """Coverage after each origin: window 0 is the whole horizon, the others three days each."""
+    fits = _refits(spark, sf_dir)
+    whole = validation.coverage(fits, HORIZON).withColumn("window", F.lit(0))
+    return whole.unionByName(validation.coverage_by_window(fits, 3).withColumn("requested", F.lit(3)))
+
+
+@query()
+def refit_counts(spark, sf_dir):
+    """How often each channel passes its mean plus a spread after each origin, against what its forecasts expect."""
+    spec = channels(spark, sf_dir).groupBy("channel").agg(F.round(F.avg("y") + F.stddev_pop("y"), 3).alias("threshold"))
+    return validation.threshold_counts(_refits(spark, sf_dir), spec.withColumns({"tail": F.lit("upper"), "phase": F.lit(0)}), F.lit(0))
+
+
 @query(f"""WITH {PSEUDO}, s AS (SELECT channel, round(mu + s, 3) AS threshold FROM base), r AS (SELECT channel, t, threshold, {gev_sf_sql('threshold')} AS risk FROM pseudo JOIN s USING (channel))
  SELECT channel, t, threshold, round(avg(risk), 6) AS mean, round(quantile_cont(risk, 0.025), 6) AS lower, round(quantile_cont(risk, 0.975), 6) AS upper, 'upper' AS tail FROM r GROUP BY 1, 2, 3""")
 def risk_probabilities(spark, sf_dir):
