@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import gev, random
-from tideline.operators import importance
+from tideline.operators import importance, pareto
 from tideline.operators.importance import take
 from tideline.operators import state_space as ss
-from tideline.plans.model import Fixed, HalfNormal, InverseGamma, Model, Normal, Plan, Pooling, compile_model
+from tideline.plans.model import Fixed, HalfNormal, InverseGamma, Model, Normal, Pooling, compile_model
 from tideline.sources.scratch import settle
 
 
@@ -168,7 +169,7 @@ def path_draws_of(series: DataFrame, taken: DataFrame, model: Model, seed: int =
     fields = lambda y, s: F.struct(y["t"].alias("t"), (y["y"] - s["y"]).alias("y"), y["r"].alias("r"), *([y["x"].alias("x")] if x else []))
     rows = rows.withColumn("diff", F.zip_with("seen", "sim", fields))
     # the difference has mean zero at time zero
-    centred = Plan(plan.names, plan.transition, plan.loading, plan.noise, plan.amplitude, plan.outputs, (0.0,) * d, plan.cov)
+    centred = replace(plan, mean=(0.0,) * d)
     rows = rows.withColumn("path", ss.forward(centred, F.col("diff"), {g: a * a for g, a in amp.items()}, lambda y: y["r"]))
     rows = rows.withColumn("smooth", ss.backward(centred, F.col("diff"), F.col("path")))
     states = F.zip_with("sim", "smooth", lambda a, b: F.struct(a["t"].alias("t"), F.zip_with(a["m"], b["m"], lambda u, v: u + v).alias("m")))
@@ -232,13 +233,16 @@ def fit_of(series: DataFrame, model: Model, draws: int = 1000, chains: int = 4,
     if only is not None:
         taken = taken.where(F.col("chain").isin(*only))
     paths = settle(path_draws_of(series, taken, model, seed), "paths")
-    worth = importance.effective(weights)
+    worth = importance.effective(weights).join(pareto.shape(weights), "channel")
     if gev_family:
         # of these weights nobody sees more than this
-        worth = worth.join(importance.effective(paths).select("channel", F.col("points").alias("paths"), F.col("effective").alias("effective_paths")), "channel")
+        more = importance.effective(paths).join(pareto.shape(paths), "channel")
+        worth = worth.join(more.select("channel", F.col("points").alias("paths"), F.col("effective").alias("effective_paths"), F.col("shape").alias("shape_paths")), "channel")
         numbered = paths.withColumnsRenamed({"chain": "own", "draw": "point"})
         paths = take(numbered, draws // chains, 1, keys=("channel", "own"))
         paths = settle(paths.select("channel", F.col("own").alias("chain"), "draw", "params", "states"), "draws")
+    worth = settle(worth, "effective")
+    pareto.warn(worth)
     out = {"posterior": weights, "draws": paths, "outputs": outputs(paths, model), "effective": worth}
     return out if shared is None else out | {"shared": shared}
 

@@ -119,7 +119,7 @@ def prior_draws(spark: SparkSession, model: Model | MultiSeriesModel, draws: int
         if isinstance(v, Fixed):
             params["variance"] = F.lit(v.value)
         else:
-            params["variance"] = v.scale / _gamma(v.shape, seed, key("variance"))
+            params["variance"] = v.scale / random.gamma(v.shape, seed, *key("variance"))
         if (seasonal := m.observation.scale) is not None:
             params |= {f"u{i + 1}": random.gaussian(seed, *key(f"u{i + 1}")) * seasonal.prior_sd for i in range(seasonal.period - 1)}
         if m.observation.family == "gev":
@@ -135,15 +135,6 @@ def prior_draws(spark: SparkSession, model: Model | MultiSeriesModel, draws: int
     return out
 
 
-def _gamma(shape: float, seed: int, key: tuple) -> Column:
-    """Gamma(shape, 1) for shapes that are multiples of one half: logarithms of uniforms, and a squared normal."""
-    n, half = int(shape), abs(shape - int(shape) - 0.5) < 1e-9
-    if not half and abs(shape - n) > 1e-9:
-        raise NotImplementedError("prior draws take inverse gamma shapes that are multiples of 0.5")
-    out = random.gamma_integer(n, seed, *key)
-    return out + random.gaussian(seed, *key, F.lit("half")) ** 2 / 2 if half else out
-
-
 def _cov_root(plan: Plan) -> list[list[float]]:
     from tideline.operators.posterior import _root
 

@@ -362,13 +362,23 @@ class Plan:
     outputs: dict[str, tuple]
     mean: tuple[float, ...]
     cov: tuple[tuple[float, ...], ...]
+    #: Features that the rows bring, also those whose coefficient is gone.
+    declared: tuple[str, ...] | None = None
 
     @property
     def features(self) -> tuple[str, ...]:
-        return tuple(x for x in self.loading if isinstance(x, str))
+        return tuple(x for x in self.loading if isinstance(x, str)) if self.declared is None else self.declared
 
 
-def compile_model(model: Model) -> Plan:
+def placeholder_features(model: Model, steps: int) -> list[list[float]]:
+    """Zeros in the place of a model's features, a row a step; none for a model without."""
+    if type(steps) is not int or steps < 1:
+        raise ValueError("steps must be an integer of at least 1")
+    names = dict.fromkeys(f for c in model.components for f in getattr(c, "features", ()))
+    return [[0.0] * len(names) for _ in range(steps)] if names else []
+
+
+def compile_model(model: Model, prune: bool = True) -> Plan:
     parts = [(c, c.build(model.priors).check()) for c in model.components if getattr(c, "mode", "") != "off"]
     if not parts:
         raise ValueError("all components are off")
@@ -397,4 +407,28 @@ def compile_model(model: Model) -> Plan:
     if len(set(names)) != d:
         raise ValueError("duplicate state names")
     tup = lambda m: tuple(map(tuple, m))
-    return Plan(tuple(names), tup(transition), tuple(loading), noise, amplitude, outputs, tuple(mean), tup(cov))
+    plan = Plan(tuple(names), tup(transition), tuple(loading), noise, amplitude, outputs, tuple(mean), tup(cov))
+    return reachable(plan) if prune else plan
+
+
+def reachable(plan: Plan) -> Plan:
+    """The plan without states that stay zero: those outside the span of R, F R, F^2 R, .. for the columns R of every
+    noise, of the initial covariance, and of the initial mean.
+
+    A part whose noise is off and whose start is fixed at zero has such states; likelihoods and outputs don't change, and
+    filters, whose work grows with the square of the states, get smaller.  A plan of nothing but zeros keeps its first state."""
+    d = len(plan.names)
+    start = {i for i in range(d) if plan.mean[i] or any(plan.cov[i]) or any(r[i] for cols in plan.noise.values() for r in cols)}
+    live, new = set(start), start
+    while new:
+        new = {i for i in range(d) if any(plan.transition[i][j] for j in new)} - live
+        live |= new
+    at = sorted(live) or [0]
+    if len(at) == d:
+        return plan
+    some = lambda v: tuple(v[i] for i in at)
+    square = lambda m: tuple(some(m[i]) for i in at)
+    return Plan(
+        some(plan.names), square(plan.transition), some(plan.loading), {g: tuple(map(some, cols)) for g, cols in plan.noise.items()}, plan.amplitude,
+        {n: some(v) for n, v in plan.outputs.items()}, some(plan.mean), square(plan.cov), plan.features,
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import gev, normal, scale
-from tideline.operators import blocks, chunks, diagnostics, experiments, plotdata, posterior, predictive, summaries, validation
+from tideline.operators import blocks, chunks, diagnostics, experiments, pareto, plotdata, posterior, predictive, summaries, validation
 from tideline.operators import state_space as ss
 from tideline.plans import model as plans
 from tideline.sources import daily as source
@@ -461,6 +461,23 @@ def systematic_draws(spark, sf_dir):
     return posterior.take(w, 200).select("channel", "chain", "draw", "point")
 
 
+_PARETO = """WITH a AS (SELECT event_type AS channel, coalesce(value, 0) AS w, CAST(ceil(least(count(*) OVER (PARTITION BY event_type) / 5.0, 3 * sqrt(count(*) OVER (PARTITION BY event_type)))) AS INTEGER) AS m, row_number() OVER (PARTITION BY event_type ORDER BY coalesce(value, 0) DESC) AS down FROM events),
+ c AS (SELECT channel, w AS cut FROM a WHERE down = m + 1), t AS (SELECT a.channel, m, cut, m - down + 1 AS i, w - cut AS x FROM a JOIN c USING (channel) WHERE down <= m),
+ b AS (SELECT channel, m, max(x) AS top, max(x) FILTER (i = CAST(floor(m / 4.0 + 0.5) AS INTEGER)) AS quarter, CAST(30 + floor(sqrt(m)) AS INTEGER) AS n FROM t GROUP BY channel, m),
+ g AS (SELECT channel, m, j.j, 1 / top + (1 - sqrt(n / (j.j - 0.5))) / (3 * quarter) AS theta FROM b, (SELECT unnest(range(1, 500)) AS j) j WHERE j.j <= n),
+ k AS (SELECT g.channel, g.m, g.j, g.theta, avg(ln(1 - g.theta * x)) AS k FROM g JOIN t ON t.channel = g.channel GROUP BY 1, 2, 3, 4),
+ l AS (SELECT *, m * (ln(-theta / k) - k - 1) AS l FROM k), e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY channel)) AS e FROM l), h AS (SELECT channel, sum(theta * e) / sum(e) AS theta FROM e GROUP BY 1),
+ f AS (SELECT t.channel, t.m, h.theta, avg(ln(1 - h.theta * x)) AS k FROM t JOIN h ON h.channel = t.channel GROUP BY 1, 2, 3)
+ SELECT channel, m, round((m * k + 5) / (m + 10), 6) AS shape, round(-k / theta, 6) AS scale FROM f"""
+
+
+@query(_PARETO)
+def pareto_shape(spark, sf_dir):
+    """The tail of each event type's values, taken as weights."""
+    x = table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.col("value").alias("weight"))
+    return rounded(pareto.fit(x).drop("cut"), "shape", "scale")
+
+
 @query(f"""WITH {OBS}, last AS (SELECT channel, max(t) AS t0, max(day) AS d0 FROM obs GROUP BY 1), k AS (SELECT unnest(range(1, 15)) AS k)
  SELECT channel, CAST(t0 + k AS INTEGER) AS t, CAST(d0 + CAST(k AS INTEGER) AS TIMESTAMP) AS ts FROM last, k""")
 def future_calendar(spark, sf_dir):
