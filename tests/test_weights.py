@@ -95,3 +95,75 @@ def test_states_that_stay_zero_go(spark):
         out = s.select(ss.likelihood(plan, F.col("ys"), q, F.lit(0.7)).alias("a"), ss.likelihood(whole, F.col("ys"), q, F.lit(0.7)).alias("b")).first()
         assert out["a"] == pytest.approx(out["b"], abs=1e-12), name
     assert plans.placeholder_features(cases["coefficient"][0], 2) == [[0.0] * 3] * 2 and plans.placeholder_features(cases["slope"][0], 2) == []
+
+
+def brute_ess(chains):
+    """Geyer's monotone sequence over split chains of scores, with all lags."""
+    halves = np.array([h for c in chains for h in (c[: len(c) // 2], c[len(c) - len(c) // 2 :])])
+    k, n = halves.shape
+    c = halves - halves.mean(axis=1, keepdims=True)
+    a = np.array([(c[:, : n - t] * c[:, t:]).sum(axis=1).mean() / n for t in range(n)])
+    within = a[0] * n / (n - 1)
+    plus = within * (n - 1) / n + halves.mean(axis=1).var(ddof=1)
+    rho = 1 - (within - a) / plus
+    rho[0] = 1
+    total, last = 0.0, math.inf
+    for i in range(n // 2):
+        p = rho[2 * i] + rho[2 * i + 1]
+        if p <= 0:
+            break
+        last = min(last, p)
+        total += last
+    return min(k * n, k * n / (2 * total - 1))
+
+
+def test_effective_sizes_by_groups_of_lags(spark, monkeypatch):
+    from statistics import NormalDist
+
+    from tideline.operators import diagnostics
+
+    g = np.random.default_rng(8)
+    series = {}
+    for name, phi in (("white", 0.0), ("slow", 0.97), ("against", -0.6)):
+        e = g.normal(size=(4, 401))
+        for t in range(1, 401):
+            e[:, t] += phi * e[:, t - 1]
+        series[name] = e
+    rows = [(c, i, t, float(v)) for c, e in series.items() for i, x in enumerate(e) for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "channel string, chain int, draw int, value double")
+    monkeypatch.setattr(diagnostics, "LAGS", 4)  # the slow ones take many groups
+    got = {r["channel"]: r["ess"] for r in diagnostics.ess_bulk(df, ["channel"]).collect()}
+    for c, e in series.items():
+        halves = np.concatenate([[x[:200], x[201:]] for x in e])
+        order = np.argsort(np.argsort(halves.ravel())) + 1
+        z = np.array([NormalDist().inv_cdf((r - 0.375) / (order.size + 0.25)) for r in order]).reshape(halves.shape)
+        assert got[c] == pytest.approx(brute_ess(np.concatenate(z.reshape(4, 2, 200), axis=0).reshape(4, 400)), rel=1e-6), c
+    assert got["slow"] < 200 < 1000 < got["white"]
+
+
+def test_effective_size_of_a_million_draws(spark):
+    from tideline.operators import diagnostics
+
+    x = spark.range(1_000_000).select(F.lit("a").alias("channel"), (F.col("id") % 4).cast("int").alias("chain"), F.floor(F.col("id") / 4).cast("int").alias("draw"), random.gaussian(3, F.col("id")).alias("value"))
+    assert diagnostics.ess_bulk(x, ["channel"]).first()["ess"] > 900_000
+
+
+def test_loess_of_windows(spark):
+    from tideline.operators import plotdata
+
+    g = np.random.default_rng(6)
+    t = np.sort(g.choice(400, 150, replace=False)).tolist()
+    rows = [("a", i, float(np.sin(i / 40) + g.normal() / 5)) for i in t] + [("b", 1, 2.0), ("b", 5, 3.0), ("c", 7, 1.5)]
+    got = {(r["channel"], r["t"]): r["smooth"] for r in plotdata.loess(spark.createDataFrame(rows, "channel string, t int, y double").repartition(3), 0.3).collect()}
+    assert len(got) == len(rows)
+    for c in "abc":
+        x, y = (np.array(v, float) for v in zip(*((r[1], r[2]) for r in rows if r[0] == c)))
+        k = min(max(math.ceil(0.3 * len(x)), 3), len(x))
+        for at in x:
+            d = np.abs(x - at)
+            h = np.sort(d)[k - 1]
+            w = (1 - np.minimum(d / (h or 1), 1) ** 3) ** 3
+            s = [(w * v).sum() for v in (np.ones_like(x), x - at, y, (x - at) ** 2, (x - at) * y)]
+            det = s[0] * s[3] - s[1] ** 2
+            want = (s[3] * s[2] - s[1] * s[4]) / det if det > 1e-12 * s[0] ** 2 else s[2] / s[0]
+            assert got[c, int(at)] == pytest.approx(want, abs=1e-9)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import normal
+from tideline.sources.scratch import settle
 
 NAN = float("nan")
 
@@ -50,33 +51,45 @@ def rhat(draws: DataFrame, key: list[str], value: str = "value") -> DataFrame:
     return out.select(*key, F.when(F.col("constant") | (F.col("chains") < 2), NAN).otherwise(F.greatest("r", "f")).alias("rhat"))
 
 
+#: Lags of the first group; each further one is twice as wide.
+LAGS = 64
+
+
 def _ess(x: DataFrame, key: list[str], z: str) -> DataFrame:
     """Effective sizes by Geyer's monotone sequence; z: a column of scores, chains of equal length.
 
-    A chain is one array; its autocovariances, lag by lag, stop being needed where a pair of
-    lags is negative, so the fold over pairs ends early on white noise."""
+    A chain is one array.  Its autocovariances come in groups of lags, a row a lag, and only keys whose pairs of lags
+    were all positive so far go on to the next group: white noise ends in the first, in work proportional to its length."""
     per = x.groupBy(*key, "chain", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", z))), lambda e: e[z]).alias("zs"))
     per = per.withColumn("n", F.size("zs")).withColumn("m", F.aggregate("zs", F.lit(0.0), lambda a, v: a + v) / F.size("zs"))
-    per = per.withColumn("c", F.transform("zs", lambda v: v - F.col("m")))
+    per = settle(per.select(*key, "chain", "part", "n", "m", F.transform("zs", lambda v: v - F.col("m")).alias("c")), "chains")
     lagged = lambda k: F.aggregate(F.zip_with(F.slice("c", F.lit(1), F.col("n") - k), F.slice("c", k + 1, F.col("n") - k), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v) / F.col("n")
-    per = per.withColumn("acov", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lagged))
-    g = per.groupBy(*key).agg(F.collect_list("acov").alias("a"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.var_samp("m").alias("b"))
-    at = lambda t: F.aggregate(F.transform("a", lambda v: F.get(v, t)), F.lit(0.0), lambda s, v: s + v) / F.col("k")
-    g = g.withColumn("within", at(F.lit(0)) * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)))
-    g = g.withColumn("plus", F.col("within") * (F.col("n") - 1) / F.col("n") + F.coalesce("b", F.lit(0.0)))
-    rho = lambda t: F.when(t == 0, 1.0).otherwise(1 - F.try_divide(F.col("within") - at(t), F.col("plus")))
-    g = g.withColumn("rho", F.transform(F.sequence(F.lit(0), F.col("n") - 1), rho))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.col("n") / 2) - 1, F.lit(0)).cast("int")), lambda i: F.get("rho", 2 * i) + F.coalesce(F.get("rho", 2 * i + 1), F.lit(0.0)))
+    base = per.groupBy(*key).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.var_samp("m").alias("b"), F.avg(lagged(F.lit(0))).alias("a0"))
+    base = base.withColumn("within", F.col("a0") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)))
+    base = settle(base.withColumn("plus", F.col("within") * (F.col("n") - 1) / F.col("n") + F.coalesce("b", F.lit(0.0))), "base")
+    # an odd last lag has no partner, unless it is the only one
+    last = F.greatest(F.floor(F.col("n") / 2).cast("int") * 2, F.lit(1))
+    lo, hi, groups, going = 0, LAGS, None, per
+    while True:
+        some = going.where(last > lo).select(*key, F.posexplode(F.transform(F.sequence(F.lit(lo), F.least(F.lit(hi), last) - 1), lagged)).alias("i", "a"))
+        some = some.groupBy(*key, (F.col("i") + lo).alias("lag")).agg(F.avg("a").alias("a")).join(base, key)
+        rho = F.when(F.col("lag") == 0, 1.0).otherwise(1 - F.try_divide(F.col("within") - F.col("a"), F.col("plus")))
+        some = settle(some.groupBy(*key, F.floor(F.col("lag") / 2).cast("int").alias("pair")).agg(F.sum(rho).alias("p"), F.count(rho).alias("_c"), F.count(F.lit(1)).alias("_d")), "pairs")
+        # a constant has no correlations
+        some = some.withColumn("p", F.when(F.col("_c") == F.col("_d"), F.col("p"))).drop("_c", "_d")
+        groups = some if groups is None else groups.unionByName(some)
+        ended = some.where("p <= 0 OR p IS NULL").select(*key).distinct()
+        rest = base.where(last > hi).select(*key).join(ended, key, "left_anti")
+        rest = rest if lo == 0 else rest.join(some.select(*key).distinct(), key, "left_semi")
+        if rest.isEmpty():
+            break
+        going, lo, hi = per.join(settle(rest, "rest"), key, "left_semi"), hi, hi + 2 * (hi - lo)
     # positive pairs from the first on, none above the one before
-    fold = F.aggregate(
-        pairs, F.struct(F.lit(0.0).alias("s"), F.lit(float("inf")).alias("last"), F.lit(True).alias("on")),
-        lambda a, p: F.struct(
-            F.when(a["on"] & (p > 0), a["s"] + F.least(p, a["last"])).otherwise(a["s"]).alias("s"), F.when(a["on"] & (p > 0), F.least(p, a["last"])).otherwise(a["last"]).alias("last"), (a["on"] & (p > 0)).alias("on")
-        ),
-    )
-    total = F.col("n") * F.col("k")
-    tau = 2 * fold["s"] - 1
-    return g.select(*key, F.least(total.cast("double"), total / F.greatest(tau, F.lit(1e-12))).alias("ess"), total.cast("double").alias("total"))
+    w = Window.partitionBy(*key).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
+    groups = groups.withColumn("_on", F.min(F.coalesce((F.col("p") > 0).cast("int"), F.lit(0))).over(w)).withColumn("_low", F.min("p").over(w))
+    total = groups.groupBy(*key).agg(F.sum(F.when(F.col("_on") == 1, F.col("_low")).otherwise(0.0)).alias("s")).join(base, key)
+    size = F.col("n") * F.col("k")
+    return total.select(*key, F.least(size.cast("double"), size / F.greatest(2 * F.col("s") - 1, F.lit(1e-12))).alias("ess"), size.cast("double").alias("total"))
 
 
 def ess_bulk(draws: DataFrame, key: list[str], value: str = "value") -> DataFrame:

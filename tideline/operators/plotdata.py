@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.diagnostics import acf, qq
+from tideline.operators.state_space import let
 from tideline.operators.summaries import summarize
 
 TYPES: dict[str, Callable[..., DataFrame]] = {}
@@ -99,21 +100,36 @@ def density(values: DataFrame, key: list[str], value: str = "value", points: int
 def loess(points: DataFrame, span: float = 0.5, t: str = "t", y: str = "y") -> DataFrame:
     """(channel, t, smooth): a local line with tricube weights over the nearest ceil(span * n) points, three at least.
 
-    A channel's points are one sorted array; each point's neighbours are read from it, so
-    nothing is joined pairwise."""
+    A channel's points are one sorted array, in which a point's nearest ones stand together; where they begin is
+    found by halving, and only they are summed: memory is that of the array, work that of the neighbourhoods."""
     a = points.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y")))).alias("p"))
-    a = a.withColumn("k", F.greatest(F.ceil(F.size("p") * F.lit(span)).cast("int"), F.lit(3)))
-    a = a.withColumn("x0", F.explode("p")).withColumn("d", F.transform("p", lambda e: F.abs(e["t"] - F.col("x0.t"))))
-    a = a.withColumn("h", F.get(F.sort_array("d"), F.least(F.col("k"), F.size("p")) - 1))
-    u = lambda e: F.least(F.abs(e["t"] - F.col("x0.t")) / F.when(F.col("h") > 0, F.col("h")).otherwise(1.0), F.lit(1.0))
-    w = lambda e: F.pow(1 - F.pow(u(e), F.lit(3.0)), F.lit(3.0))
-    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("w", "wx", "wy", "wxx", "wxy")))
-
-    def add(s, e):
-        x = e["t"] - F.col("x0.t")
-        return F.struct((s["w"] + w(e)).alias("w"), (s["wx"] + w(e) * x).alias("wx"), (s["wy"] + w(e) * e["y"]).alias("wy"), (s["wxx"] + w(e) * x * x).alias("wxx"), (s["wxy"] + w(e) * x * e["y"]).alias("wxy"))
-
-    a = a.withColumn("s", F.aggregate("p", zero, add))
-    det = F.col("s.w") * F.col("s.wxx") - F.col("s.wx") * F.col("s.wx")
-    value = F.when(det > 1e-12 * F.col("s.w") * F.col("s.w"), (F.col("s.wxx") * F.col("s.wy") - F.col("s.wx") * F.col("s.wxy")) / det).otherwise(F.col("s.wy") / F.col("s.w"))
-    return a.select("channel", F.col("x0.t").cast("int").alias("t"), value.alias("smooth"))
+    a = a.withColumn("n", F.size("p")).withColumn("k", F.least(F.greatest(F.ceil(F.col("n") * F.lit(span)).cast("int"), F.lit(3)), F.col("n")))
+    time = lambda i: F.get("p", i)["t"]
+
+    def begin(x0: Column) -> Column:
+        # the window moves on while the point after it is nearer than its first
+        far = lambda i: (i + F.col("k") < F.col("n")) & (x0 - time(i) > time(i + F.col("k")) - x0)
+        steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda j: F.pow(F.lit(2.0), j.cast("double")).cast("int"))
+        return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.col("n") - F.col("k")) & far(at + s - 1), at + s).otherwise(at))
+
+    def line(x0: Column, at: Column) -> Column:
+        h = F.greatest(x0 - time(at), time(at + F.col("k") - 1) - x0)
+        wide = F.when(h > 0, h).otherwise(1.0)
+
+        def add(s: Column, e: Column) -> Column:
+            def summed(c: Column) -> Column:
+                return F.struct((s["w"] + c["w"]).alias("w"), (s["wx"] + c["w"] * c["x"]).alias("wx"), (s["wy"] + c["w"] * e["y"]).alias("wy"), (s["wxx"] + c["w"] * c["x"] * c["x"]).alias("wxx"), (s["wxy"] + c["w"] * c["x"] * e["y"]).alias("wxy"))
+
+            x = e["t"] - x0
+            u = F.least(F.abs(x) / wide, F.lit(1.0))
+            return let(F.struct(x.alias("x"), F.pow(1 - F.pow(u, F.lit(3.0)), F.lit(3.0)).alias("w")), summed)
+
+        def solved(s: Column) -> Column:
+            det = s["w"] * s["wxx"] - s["wx"] * s["wx"]
+            return F.when(det > 1e-12 * s["w"] * s["w"], (s["wxx"] * s["wy"] - s["wx"] * s["wxy"]) / det).otherwise(s["wy"] / s["w"])
+
+        zero = F.struct(*(F.lit(0.0).alias(n) for n in ("w", "wx", "wy", "wxx", "wxy")))
+        return let(F.aggregate(F.slice("p", at + 1, F.col("k")), zero, add), solved)
+
+    smooth = F.transform("p", lambda e: F.struct(e["t"].cast("int").alias("t"), let(begin(e["t"]), lambda at: line(e["t"], at)).alias("smooth")))
+    return a.select("channel", F.explode(smooth).alias("e")).select("channel", "e.*")
