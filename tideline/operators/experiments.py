@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import fields, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.plans.model import GEV, DummySeasonal, Gaussian, HalfNormal, InverseGamma, LocalLinearTrend, Model, MultiSeriesModel, Normal, Pooling, Priors, SeasonalScale
@@ -173,3 +173,68 @@ def prior_horizon_covariance(spark: SparkSession, years: list[int], steps_per_ye
     s = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, r: a + (F.col("h") - r) * (F.col("k") - r))
     return x.select("years_a", "years_b", (n * level_sd**2 + s * slope_sd**2).alias("covariance"))
 
+
+def horizon_roots(years: list[int], steps_per_year: int) -> dict[str, list[list[float]]]:
+    """Triangular square roots of the covariances between horizons of what level, slope and season innovations of size one add
+    to a same-season change: min(h, k); the sum of (h - r)(k - r) over r below both; twice the years in common."""
+    from tideline.operators.posterior import _root
+
+    steps = [y * steps_per_year for y in years]
+    cov = {
+        "level": [[float(min(h, k)) for k in steps] for h in steps],
+        "slope": [[float(sum((h - r) * (k - r) for r in range(1, min(h, k)))) for k in steps] for h in steps],
+        "seasonal": [[2.0 * min(a, b) for b in years] for a in years],
+    }
+    return {name: _root(c) for name, c in cov.items()}
+
+
+#: What the parts of a change are called.
+CONTRIBUTIONS = ("level", "slope", "seasonal", "initial_rate", "combined")
+
+
+def horizon_changes(draws: DataFrame, years: list[int], steps_per_year: int, noise: Callable[[str, int], Column]) -> DataFrame:
+    """(channel, draw, years, contribution, value): same-season changes over each horizon that prior draws imply.
+
+    ``draws``: (channel, draw, level, slope, seasonal, initial_slope): amplitudes, and the slope at the start; ``noise(part, j)``: standard
+    normal columns, one a part and horizon.  Exact covariances between horizons stand for the states in between."""
+    roots = horizon_roots(years, steps_per_year)
+    x = draws.withColumns({f"_{g}{j}": noise(g, j) for g in roots for j in range(len(years))})
+    each = []
+    for i, y in enumerate(years):
+        parts = {g: F.col(g) * sum((F.col(f"_{g}{j}") * root[i][j] for j in range(i + 1)), F.lit(0.0)) for g, root in roots.items()}
+        each.append(F.struct(F.lit(y).alias("years"), *(v.alias(g) for g, v in parts.items()), (F.col("initial_slope") * (y * steps_per_year)).alias("initial_rate")))
+    x = x.select("channel", "draw", F.explode(F.array(*each)).alias("e")).select("channel", "draw", "e.*")
+    x = x.withColumn("combined", sum((F.col(c) for c in CONTRIBUTIONS[:-1]), F.lit(0.0)))
+    named = F.array(*(F.struct(F.lit(c).alias("contribution"), F.col(c).alias("value")) for c in CONTRIBUTIONS))
+    return x.select("channel", "draw", "years", F.explode(named).alias("e")).select("channel", "draw", "years", "e.*")
+
+
+def horizon_table(changes: DataFrame, thresholds: DataFrame | None = None, accuracy: int = 100_000) -> DataFrame:
+    """(channel, years, contribution, mean, sd, lower_95, upper_95, draws[, threshold, share]): quantiles by a mergeable sketch, exact
+    up to ``accuracy`` draws; ``thresholds`` (channel, threshold): the share of draws whose change is above."""
+    key = ["channel", "years", "contribution"]
+    more = []
+    if thresholds is not None:
+        changes, key = changes.join(thresholds.select("channel", "threshold"), "channel"), [*key, "threshold"]
+        more = [F.avg((F.col("value") > F.col("threshold")).cast("double")).alias("share")]
+    q = F.percentile_approx("value", F.array(F.lit(0.025), F.lit(0.975)), accuracy)
+    x = changes.groupBy(*key).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), q.alias("q"), F.count(F.lit(1)).alias("draws"), *more)
+    return x.select(*key, "mean", "sd", F.col("q")[0].alias("lower_95"), F.col("q")[1].alias("upper_95"), "draws", *(["share"] if more else []))
+
+
+def calibrate(spark: SparkSession, model: MultiSeriesModel, years: list[int], steps_per_year: int, draws: int = 10_000, seed: int = 19830, thresholds: DataFrame | None = None) -> DataFrame:
+    """``horizon_table`` of draws from the priors of all channels, whose shared scales are drawn once a draw."""
+    from tideline.functions import random
+    from tideline.operators.predictive import prior_draws
+    from tideline.plans.model import compile_model
+
+    x = prior_draws(spark, model, draws, seed)
+    size = lambda g: F.coalesce(F.abs(F.element_at("params", g)), F.lit(0.0)).alias(g)
+    slope = None
+    for name, m in model.channels.items():
+        at = [i for i, n in enumerate(compile_model(m).names) if n == "slope"]
+        own = F.get("state0", F.lit(at[0])) if at else F.lit(0.0)
+        slope = F.when(F.col("channel") == name, own) if slope is None else slope.when(F.col("channel") == name, own)
+    x = x.select("channel", "draw", size("level"), size("slope"), size("seasonal"), slope.alias("initial_slope"))
+    noise = lambda g, j: random.gaussian(seed, F.col("channel"), F.col("draw"), F.lit(f"horizon.{g}"), F.lit(j))
+    return horizon_table(horizon_changes(x, years, steps_per_year, noise), thresholds)

@@ -721,6 +721,44 @@ def prior_horizon_covariance(spark, sf_dir):
     return rounded(experiments.prior_horizon_covariance(spark, [10, 20, 30], 4, 0.05, 0.002), "covariance")
 
 
+#: Horizons, steps a year and draws of the prior's changes; what a draw's numbers are made from: its number times these.
+HORIZONS, PER_YEAR, PRIOR_DRAWS = [10, 30], 4, 400
+STEPS = {name: math.sqrt(p) % 1.0 for name, p in zip(("level", "slope", "seasonal", "initial_slope", "level0", "level1", "slope0", "slope1", "seasonal0", "seasonal1"), (2, 3, 5, 7, 11, 13, 17, 19, 23, 29))}
+#: Amplitudes and the slope at the start, in spreads of a channel.
+SIZES = {"level": 0.1, "slope": 0.002, "seasonal": 0.1, "initial_slope": 0.01}
+
+
+def _horizon_sql() -> str:
+    u = lambda name: f"(0.5 + d * CAST({STEPS[name]!r} AS DOUBLE) - floor(0.5 + d * CAST({STEPS[name]!r} AS DOUBLE)))"
+    roots = experiments.horizon_roots(HORIZONS, PER_YEAR)
+    z = ", ".join(f"{ppf0_sql('u_' + n)} AS z_{n}" for n in STEPS)
+    parts = {g: {y: f"{'abs' if g != 'initial_slope' else ''}(z_{g}) * s * {SIZES[g]}" for y in HORIZONS} for g in SIZES}
+    for i, y in enumerate(HORIZONS):
+        for g, root in roots.items():
+            parts[g][y] = f"({parts[g][y]} * (" + " + ".join(f"z_{g}{j} * CAST({root[i][j]!r} AS DOUBLE)" for j in range(i + 1)) + "))"
+        parts["initial_slope"][y] = f"({parts['initial_slope'][y]} * {y * PER_YEAR})"
+    rows = []
+    for y in HORIZONS:
+        own = {name: parts["initial_slope" if name == "initial_rate" else name][y] for name in experiments.CONTRIBUTIONS[:-1]}
+        rows += [f"SELECT channel, h, {y} AS years, '{name}' AS contribution, {v} AS v FROM z" for name, v in (own | {"combined": " + ".join(own.values())}).items()]
+    return f"""WITH {OBS}, b AS (SELECT channel, stddev_pop(y) AS s, round(stddev_pop(y) / 2, 3) AS h FROM obs GROUP BY 1), n AS (SELECT channel, s, h, {", ".join(f"{u(n)} AS u_{n}" for n in STEPS)} FROM b, (SELECT unnest(range({PRIOR_DRAWS})) AS d)),
+ z AS (SELECT channel, s, h, {z} FROM n), c AS ({" UNION ALL ".join(rows)})
+ SELECT channel, CAST(years AS INTEGER) AS years, contribution, h AS threshold, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_disc(v, 0.025), 6) AS lower_95, round(quantile_disc(v, 0.975), 6) AS upper_95, count(*) AS draws, round(avg(CASE WHEN v > h THEN 1.0 ELSE 0.0 END), 6) AS share FROM c GROUP BY 1, 2, 3, 4"""
+
+
+@query(_horizon_sql())
+def prior_horizon_changes(spark, sf_dir):
+    """Changes over 10 and 30 years that priors in proportion to each channel's spread imply, and how often they pass half of it."""
+    base = channels(spark, sf_dir).groupBy("channel").agg(F.stddev_pop("y").alias("s"))
+    d = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(PRIOR_DRAWS - 1))))
+    d = d.withColumns({f"z_{n}": ss.let(frac(0.5 + F.col("draw") * v), normal.ppf0) for n, v in STEPS.items()})
+    size = lambda n: (F.col(f"z_{n}") if n == "initial_slope" else F.abs(f"z_{n}")) * F.col("s") * SIZES[n]
+    d = d.withColumns({n: size(n) for n in SIZES})
+    thresholds = base.select("channel", F.round(F.col("s") / 2, 3).alias("threshold"))
+    x = experiments.horizon_changes(d, HORIZONS, PER_YEAR, lambda g, j: F.col(f"z_{g}{j}"))
+    return rounded(experiments.horizon_table(x, thresholds), "mean", "sd", "lower_95", "upper_95", "share")
+
+
 @query("""SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS variant, a::DOUBLE AS level_sd, b::DOUBLE AS slope_sd, c::DOUBLE AS scale_prior_sd FROM (SELECT unnest([0.05, 0.1, 0.2]) AS a), (SELECT unnest([0.001, 0.002]) AS b), (SELECT unnest([0.15, 0.3]) AS c)""")
 def sensitivity_grid(spark, sf_dir):
     return experiments.grid_table(spark, {"level_sd": [0.05, 0.1, 0.2], "slope_sd": [0.001, 0.002], "scale_prior_sd": [0.15, 0.3]})
