@@ -301,8 +301,8 @@ def local_level_filter(spark, sf_dir):
 def prices(spark, sf_dir) -> DataFrame:
     """(channel, t, y): the highest and the lowest price of each day, numbered from the first."""
     x = daily(spark, sf_dir).select("day", F.explode(F.create_map(F.lit("tx"), F.col("tx"), F.lit("tn"), F.col("tn"))).alias("channel", "y"))
-    first = daily(spark, sf_dir).agg(F.min("day").alias("first"))
-    return x.join(F.broadcast(first), F.col("day") >= F.col("first")).select("channel", F.datediff("day", "first").alias("t"), (F.col("y") / 1000).alias("y"))
+    t = F.datediff("day", F.min("day").over(Window.partitionBy("channel"))).cast("int")
+    return x.select("channel", t.alias("t"), (F.col("y") / 1000).alias("y"))
 
 
 #: Variances of a level and of prices around it, in thousands; a chunk has so many days.
