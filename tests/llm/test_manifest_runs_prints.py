@@ -214,7 +214,7 @@ def brute_print(text, cache={}):  # noqa: B006
         x = hash64(word.encode())
         for k in range(fingerprints.COORDINATES):
             if (x, k) not in cache:
-                a = hash64(x.to_bytes(8, "little"), k.to_bytes(4, "little"))
+                a = hash64((x ^ k).to_bytes(8, "little"))
                 b = hash64(a.to_bytes(8, "little"))
                 u = lambda h, low, bits: ((h >> low & (1 << bits) - 1) + 0.5) * 2.0**-bits
                 cache[x, k] = -math.log(u(a, 0, 32) * u(a, 32, 32)), math.log(-math.log(u(b, 0, 21) * u(b, 21, 21))), u(b, 42, 22)

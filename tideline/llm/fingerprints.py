@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType
 from tideline.llm.common import let, settle, text_bytes
 
 #: Coordinates of a fingerprint, and how many of them one row of a term works out.
-COORDINATES, STEP = 64, 4
+COORDINATES, STEP = 64, 8
 #: Hexadecimal digits of a coordinate in the printed fingerprint.
 DIGITS = 4
 EMPTY = "0" * (COORDINATES * DIGITS)
@@ -46,7 +46,8 @@ def _unit(h: Column, low: int, bits: int) -> Column:
 def _samples(terms: DataFrame, keys: list[str], weights: list[str], first: Column) -> DataFrame:
     """Least samples of ``STEP`` coordinates from ``first`` on: columns m<weight index>_<step>."""
     at = range(STEP)
-    x = terms.withColumns({f"_a{j}": F.xxhash64("x", first + j) for j in at})
+    # x is a hash: it and the few bits of the coordinate are hashed at once
+    x = terms.withColumns({f"_a{j}": F.xxhash64(F.col("x").bitwiseXOR((first + j).cast("long"))) for j in at})
     x = x.withColumns({f"_b{j}": F.xxhash64(f"_a{j}") for j in at})
     two = lambda h, low, bits: -F.log(_unit(h, low, bits) * _unit(h, low + bits, bits))  # noqa: E731  a gamma of shape 2
     x = x.withColumns({f"_r{j}": two(F.col(f"_a{j}"), 0, 32) for j in at} | {f"_c{j}": F.log(two(F.col(f"_b{j}"), 0, 21)) for j in at} | {f"_u{j}": _unit(F.col(f"_b{j}"), 42, 22) for j in at})
