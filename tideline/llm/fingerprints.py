@@ -132,7 +132,7 @@ def compare(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - part), F.substring(F.col("next_text"), F.lit(1), part))
     x = x.withColumn("edited", F.when(~F.col("guest"), edited))
     about = x.select("bucket", "rn", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    # both sides come from one shuffle of the texts, and meet where it put them
+    # both sides come from one shuffle of the texts; only short rows go on to the join
     both = about.join(fingerprints(x, ["bucket", "rn"], ["text", "edited"]).hint("merge"), ["bucket", "rn"])
     w = Window.partitionBy("bucket").orderBy("rn")
     both = both.withColumn("next", F.lead("text").over(w)).where("NOT guest")
