@@ -170,6 +170,25 @@ def test_lm_score_keeps_every_word(spark):
     assert by[100] < by[101]
 
 
+def test_lm_score_prunes_no_bigram_by_share(spark):
+    """Over two million words a bigram seen twice had less than one in 2^20 places and was dropped, however rare its first word."""
+    rows = [(i, " ".join(f"a{(i * 7 + j) % 90}" for j in range(70_000)), "en", "s", 1) for i in range(45)]
+    rows += [(100, "only here", "en", "s", 1), (101, "only here", "en", "s", 1), (102, "here only", "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["background_loss"] for r in lm_score.cross_entropy_difference(df, spark.createDataFrame([(100,)], "doc_id long")).collect()}
+    want = {d: b for d, _, _, b in brute_lm(rows, {100}, lm_score.MU, 1 << 30)[0]}
+    assert {d: round(b, 6) for d, b in got.items()} == want and got[100] < got[102]
+
+
+@pytest.mark.parametrize("held", [0, 12])
+def test_lm_score_joins_what_tasks_do_not_hold(spark, docs, held):
+    rows, df = docs
+    good = {d for d, *_ in rows if d is not None and d % 3 == 0}
+    got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(g,) for g in good], "doc_id long"), 5.0, held=held).collect()
+    shown = sorted(((r["doc_id"], r["n_tokens"], *(None if v is None else round(v, 6) for v in r[2:4])) for r in got), key=str)
+    assert shown == brute_lm(rows, good, 5.0, 1 << 30)[0]
+
+
 # 3
 
 

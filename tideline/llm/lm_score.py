@@ -3,8 +3,8 @@
 A target model (documents labelled as good) and a background model (all
 documents) share one vocabulary: every word of all documents, and one sign for a
 text's start.  Both are bigram models pruned alike: a bigram is kept with at least
-``MIN_COUNT`` places and a share of 1 / ``KEPT`` or more of all places; any other
-backs off to its word.  The models are matched: background counts are scaled to as
+``MIN_COUNT`` places, in a corpus of any size; a single one backs off to its word.
+The models are matched: background counts are scaled to as
 many words as the target has, so both are smoothed alike.  With c the counts of kept
 bigrams, P(w | v) = (c(v, w) + mu * p(w)) / (sum of c(v, .) + mu), which adds up
 to one, and p(w) comes from add-one unigrams.  A document's score is its mean loss a
@@ -12,12 +12,12 @@ word under the target less that under the background; below zero it is nearer to
 the target.
 
 Counts are Spark tables and grow with the corpus: words and bigrams are counted in
-each task and summed by a shuffle.  A kept bigram consists of words with the same
-share at least, so bigrams of other words aren't counted; and by their share there are
-at most ``KEPT`` words and bigrams that a scan receives.  All other words of a
-document get their losses by a join with the word table, in which none has more than
-one in ``KEPT`` places.  Words are told apart by 64-bit hashes, bigrams by their
-words' numbers among the frequent ones.  Texts aren't shuffled, but for those that a map of fixed size takes for labelled.
+each task and summed by a shuffle.  A scan receives the ``HELD`` most frequent words and
+bigrams of such words and sums what they lose.  All else is exact by joins: other words get their
+losses from the word table, and for other bigrams a document gets from the bigram table what they lose less
+than their words alone.  A bit map of fixed size spares most bigrams that aren't kept that join.
+Words are told apart by 64-bit hashes, those that tasks hold by their numbers among them.
+Texts aren't shuffled, but for those that a map of fixed size takes for labelled.
 
 Defined cases: a null or wordless text has n_tokens 0 and null losses; equal rows, and
 rows of one doc_id or none, are documents of their own, and all rows of a labelled
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from tideline.llm import tokens
 from tideline.llm.common import bit_map, marked, settle
 
-#: Words and bigrams with a share of one in so many are kept in the model of each task, at most so many.
-KEPT = 1 << 20
+#: At most so many words, and so many bigrams, are in the model of each task; all others are joined.
+KEPT = HELD = 1 << 19
 #: A bigram seen less often is pruned.
 MIN_COUNT = 2
 #: The sign of a text's start.
@@ -47,10 +47,13 @@ START = np.uint64(1)
 #: Weight of the unigram model inside a bigram's probability.
 MU = 20.0
 WORDS = "lower"
+COUNTS = ["n_target", "n_all"]
 #: Tokens that a task counts at a time.
 FLUSH = 1_500_000
 #: Bits of the map of labelled doc_ids (2 MB); what it lets through falsely, a join drops.
 MAP_BITS = 1 << 24
+#: Bits of the map of bigrams that are kept and that tasks don't hold (8 MB); what it lets through falsely finds no partner.
+PAIR_BITS = 1 << 26
 
 
 def before(w: tokens.Words) -> np.ndarray:
@@ -74,8 +77,8 @@ def places(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, sorted_[at] == x
 
 
-def counted(docs: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """(*names, n): how often the keys stand in all texts; counted within a task first."""
+def counted(docs: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str], n: str) -> DataFrame:
+    """(*names, n_target, n_all): how often the keys stand in the texts by task, as column ``n``; the other one is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -83,8 +86,16 @@ def counted(docs: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], n
         def flush() -> pa.RecordBatch:
             x = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            _, at, n = np.unique(x[0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(tokens.long_column(c[at]) for c in x), pa.array(n, pa.int64())], [*names, "n"])
+            order = np.lexsort(x[::-1])
+            x = [c[order] for c in x]
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for c in x:
+                new[1:] |= c[1:] != c[:-1]
+            at = np.flatnonzero(new)
+            times = {n: pa.array(np.diff(np.r_[at, len(order)]), pa.int64())}
+            zero = pa.array(np.zeros(len(at), np.int64))
+            return pa.RecordBatch.from_arrays([*(tokens.long_column(c[at]) for c in x), *(times.get(c, zero) for c in COUNTS)], [*names, *COUNTS])
 
         for batch in batches:
             for _, w in tokens.slices(batch, "text", WORDS):
@@ -94,15 +105,13 @@ def counted(docs: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], n
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, *COUNTS]))
 
 
 def both_counts(docs: DataFrame, good: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str]) -> DataFrame:
     """(*names, n_target, n_all): counts in the target's texts and in all."""
-    zero = F.lit(0).cast("long")
-    each = counted(docs, keys, names).select(*names, zero.alias("t"), F.col("n").alias("a"))
-    each = each.union(counted(good, keys, names).select(*names, F.col("n").alias("t"), zero.alias("a")))
-    return each.groupBy(*names).agg(F.sum("t").alias("n_target"), F.sum("a").alias("n_all"))
+    each = counted(docs, keys, names, "n_all").union(counted(good, keys, names, "n_target"))
+    return each.groupBy(*names).agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def target_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
@@ -119,24 +128,71 @@ def target_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
     return maybe.join(ids, "doc_id", "left_semi").select("text")
 
 
+def codes(words: np.ndarray, w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word and the one before it by their numbers among ``words``, or else their hashes, and which have numbers."""
+    out = []
+    for x in (before(w), w.hash):
+        at, known = places(words, x)
+        out += [np.where(known, at.astype(np.uint64), x), known]
+    return out[0], out[2], out[1], out[3]
+
+
+def spots(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The place of a bigram of two codes in the bit map."""
+    return (tokens.mix(tokens.mix(v) + w) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+
+
+def spot_map(cold: DataFrame) -> np.ndarray:
+    """The bit map of a table of bigrams (v, w); bits are set in the tasks, PAIR_BITS / 32 words at most come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(spots(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 5).astype(np.int32)), pa.array(np.int64(1) << (at & 31))], ["i", "b"])
+
+    got = cold.select("v", "w").mapInArrow(run, "i int, b long").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(PAIR_BITS // 32, np.uint32)
+    out[got.column("i").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+    return out
+
+
+def top(counts: DataFrame, most: int) -> int:
+    """The least count that no more than ``most`` rows reach."""
+    by = sorted(counts.groupBy("n_all").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)
+    least, rows = by[0]["n_all"] + 1 if by else 1, 0
+    for n, k in by:
+        rows += k
+        if rows > most:
+            break
+        least = n
+    return least
+
+
 class Model:
-    """What every task receives: counts of the frequent words and of the kept bigrams, by sorted hashes."""
+    """What every task receives: counts of the frequent words and bigrams, by sorted hashes, and the map of other bigrams."""
 
-    def __init__(self, words: pa.Table, bigrams: pa.Table, totals: tuple[int, int, int], mu: float):
+    def __init__(self, words: pa.Table, totals: tuple[int, int, int], mu: float):
         self.good, self.every, self.n_words = totals
         self.mu, self.total = mu, self.good or self.every
         self.words, *word_counts = self._sorted(words, "word")
-        self.pairs, *pair_counts = self._sorted(bigrams, "pair")
         self.word_loss = [self.one(kind, n) for kind, n in enumerate(word_counts)]
+
+    def take(self, bigrams: pa.Table, mass: pa.Table, cold: np.ndarray) -> None:
+        """Bigrams of numbered words (pair), kept places by numbered first word (v), and the map of the kept bigrams not given."""
+        self.pairs, *pair_counts = self._sorted(bigrams, "pair")
         self.pair_count = [n * self.scale(kind) for kind, n in enumerate(pair_counts)]
-        head = (self.pairs >> np.uint64(32)).astype(np.int64)
-        self.head_mass = [np.bincount(head, weights=n, minlength=len(self.words)) for n in self.pair_count]
+        self.head_loss = []
+        for kind, c in enumerate(COUNTS):
+            n = np.zeros(len(self.words))
+            n[mass.column("v").to_numpy()] = mass.column(c).to_numpy() * self.scale(kind)
+            self.head_loss.append(np.log2(n + self.mu))
+        self.cold = cold
 
     @staticmethod
     def _sorted(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = table.column(key).to_numpy().view(np.uint64)
         order = np.argsort(x)
-        return x[order], *(table.column(c).to_numpy().astype(np.float64)[order] for c in ("n_target", "n_all"))
+        return x[order], *(table.column(c).to_numpy().astype(np.float64)[order] for c in COUNTS)
 
     def scale(self, kind: int) -> float:
         n = (self.good, self.every)[kind]
@@ -147,80 +203,119 @@ class Model:
         mass = self.total if (self.good, self.every)[kind] else 0
         return (n * self.scale(kind) + 1.0) / float(mass + self.n_words or 1)
 
-    def losses(self, w: tokens.Words) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which words are known here, and the losses of all, those of others without their log p(w)."""
-        v, head = places(self.words, before(w))
-        at, known = places(self.words, w.hash)
-        p_at, kept = places(self.pairs, pair(v, at))
-        kept &= head & known
+    def losses(self, v: np.ndarray, w: np.ndarray, head: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which bigrams the table may hold, and the losses of all: without log p(w) of words that have no number, without
+        the kept places of first words that have none, and as if bigrams that aren't held were not kept."""
+        both = head & known
+        p_at, held = places(self.pairs, pair(v, w))
+        held &= both
         out = []
         for kind in (0, 1):
             one = np.ones(len(v))
-            one[known] = self.word_loss[kind][at[known]]
+            one[known] = self.word_loss[kind][w[known].view(np.int64)]
             c = np.zeros(len(v))
-            c[kept] = self.pair_count[kind][p_at[kept]]
-            mass = np.zeros(len(v))
-            mass[head] = self.head_mass[kind][v[head]]
-            out.append(np.log2(mass + self.mu) - np.log2(c + self.mu * one))
-        return known, out
+            c[held] = self.pair_count[kind][p_at[held]]
+            loss = -np.log2(c + self.mu * one)
+            loss[head] += self.head_loss[kind][v[head].view(np.int64)]
+            out.append(loss)
+        maybe = ~held
+        maybe[maybe] = marked(spots(v[maybe], w[maybe]), self.cold)
+        return maybe, out
+
+
+def numbered(column: str, n: int):
+    """Is a code a number among ``n`` words?"""
+    return F.col(column).between(0, n - 1)
 
 
-def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int = KEPT) -> tuple[Model, DataFrame]:
-    """The model of each task, and (word, n_target, n_all) of all words."""
+def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = None, held: int = HELD) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of each task; (word, n_target, n_all, m_target, m_all) of the words that tasks don't hold, with the kept places of
+    bigrams they begin; and (v, w, n_target, n_all) of the kept bigrams that tasks don't hold, the counts as bits they lose less.
+    With ``kept``, bigrams with a share under 1 / ``kept`` are pruned as well."""
+    spark = docs.sparkSession
     target = settle(target_texts(docs, good), "target")
     words = settle(both_counts(docs, target, lambda w: [w.hash], ["word"]), "words")
     totals = tuple(x or 0 for x in words.agg(F.sum("n_target"), F.sum("n_all"), F.count(F.lit(1))).first())
-    least = max(MIN_COUNT, -(-totals[1] // kept))
-    # shares of 1 / kept or more: at most ``kept`` rows
-    sign = docs.sparkSession.createDataFrame([(int(START), 0, 0)], "word long, n_target long, n_all long")
-    frequent = words.where(F.col("n_all") >= least).union(sign).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.column("word").to_numpy().view(np.uint64)))
-
-    def bigrams(w: tokens.Words) -> list[np.ndarray]:
-        (v, head), (x, known) = places(shared.value, before(w)), places(shared.value, w.hash)
-        return [pair(v, x)[head & known]]
-
-    pairs = both_counts(docs, target, bigrams, ["pair"]).where(F.col("n_all") >= least).toArrow()
-    return Model(frequent, pairs, totals, mu), words
-
-
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    often = top(words, held)
+    sign = spark.createDataFrame([(int(START), 0, 0)], "word long, n_target long, n_all long")
+    model = Model(words.where(F.col("n_all") >= often).union(sign).toArrow(), totals, mu)
+    n = len(model.words)
+    shared = spark.sparkContext.broadcast(model.words)
+    least = max(MIN_COUNT, -(-totals[1] // kept)) if kept else MIN_COUNT
+    pairs = settle(both_counts(docs, target, lambda w: list(codes(shared.value, w)[:2]), ["v", "w"]).where(F.col("n_all") >= least), "pairs")
+
+    inside = numbered("v", n) & numbered("w", n)
+    hot = inside & (F.col("n_all") >= top(pairs.where(inside), held))
+    cold = pairs.where(~hot)
+    mass = pairs.groupBy("v").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    one_key = F.call_function("shiftleft", F.col("v"), F.lit(32)).bitwiseOR(F.col("w")).alias("pair")
+    model.take(pairs.where(hot).select(one_key, *COUNTS).toArrow(), mass.where(numbered("v", n)).toArrow(), spot_map(cold))
+
+    def saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = arrays.value
+        for batch in batches:
+            v, w, *c = (batch.column(i).to_numpy() for i in range(4))
+            out = [np.log2(1 + c[kind] * m.scale(kind) / (m.mu * m.word_loss[kind][w])) for kind in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v, w, *out)], ["v", "w", *COUNTS])
+
+    arrays = spark.sparkContext.broadcast(model)
+    known = cold.where(numbered("w", n)).mapInArrow(saved, "v long, w long, n_target double, n_all double")
+    own = words.where(F.col("n_all") < often)
+    less = lambda kind, c: F.log2(1 + F.col(f"p.{c}") * model.scale(kind) / (mu * model.one(kind, F.col(f"o.{c}")))).alias(c)
+    other = cold.where(~numbered("w", n)).alias("p").join(own.alias("o"), F.col("p.w") == F.col("o.word")).select("v", "w", less(0, "n_target"), less(1, "n_all"))
+    heads = mass.where(~numbered("v", n)).select(F.col("v").alias("word"), F.col("n_target").alias("m_target"), F.col("n_all").alias("m_all"))
+    return model, own.join(heads, "word", "left").fillna(0, ["m_target", "m_all"]), known.union(other)
+
+
+def tallied(n_rows: int, row: np.ndarray, keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[pa.Array, ...]:
+    """Keys grouped by row: lists of each row's distinct keys, and of the sums of their weights."""
+    order = np.lexsort((*keys[::-1], row))
+    row, keys = row[order], [k[order] for k in keys]
+    new = np.zeros(len(row), bool)
+    new[:1] = True
+    for x in (row, *keys):
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    ends = pa.array(np.searchsorted(row[at], np.arange(n_rows + 1)).astype(np.int32))
+    sums = [np.add.reduceat(x[order], at) if len(at) else np.zeros(0, np.int64) for x in weights]
+    lists = [pa.ListArray.from_arrays(ends, tokens.long_column(k[at])) for k in keys]
+    return *lists, *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in sums)
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) in bits a word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    lists = {"words": "bigint", "times": "int", "heads": "int", "v": "bigint", "w": "bigint", "n": "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for rows, w in tokens.slices(batch, "text", WORDS):
-                known, losses = m.losses(w)
+                v, x, head, known = codes(m.words, w)
+                maybe, losses = m.losses(v, x, head, known)
                 row = w.row
                 sums = [np.bincount(row, weights=x, minlength=w.n_rows) for x in losses]
-                other = np.flatnonzero(~known)
-                r, h = row[other], w.hash[other]
-                order = np.lexsort((h, r))
-                r, h = r[order], h[order]
-                at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[at, len(r)])
-                ends = pa.array(np.searchsorted(r[at], np.arange(w.n_rows + 1)).astype(np.int32))
+                ends = np.repeat([1, 0], [(~known).sum(), (~head).sum()])
+                rest = tallied(w.n_rows, np.r_[row[~known], row[~head]], [np.r_[x[~known], v[~head]]], [ends, 1 - ends])
+                cold = tallied(w.n_rows, row[maybe], [v[maybe], x[maybe]], [np.ones(maybe.sum(), np.int64)])
                 doc_id, number = (rows.column(rows.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "row"))
-                yield pa.RecordBatch.from_arrays(
-                    [number, doc_id, pa.array(w.counts, pa.int64()), *map(pa.array, sums), pa.ListArray.from_arrays(ends, tokens.long_column(h[at])), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))],
-                    ["row", "doc_id", "n_tokens", "t", "b", "words", "times"],
-                )
-
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    base = settle(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, t double, b double, words array<bigint>, times array<int>"), "scored")
-    # the words that tasks don't know: each has its losses from the word table
-    rest = base.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    loss = lambda kind, c: (-F.log2(model.one(kind, F.col(c))) * F.col("n")).alias(c)
-    rest = rest.join(words, "word").select("row", loss(0, "n_target"), loss(1, "n_all"))
-    rest = rest.groupBy("row").agg(F.sum("n_target").alias("rt"), F.sum("n_all").alias("rb"))
-    x = base.select("row", "doc_id", "n_tokens", "t", "b").join(rest, "row", "left")
+                yield pa.RecordBatch.from_arrays([number, doc_id, pa.array(w.counts, pa.int64()), *map(pa.array, sums), *rest, *cold], ["row", "doc_id", "n_tokens", "t", "b", *lists])
+
+    numbers = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    base = settle(numbers.mapInArrow(run, "row long, doc_id long, n_tokens long, t double, b double, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items())), "scored")
+    zipped = lambda *c: base.select("row", F.inline(F.arrays_zip(*c)))
+    # the words that tasks don't hold: each has its losses, as a word and as the one before, from the word table
+    word = lambda kind, c, m: (F.log2(F.col(m) * model.scale(kind) + model.mu) * F.col("heads") - F.log2(model.one(kind, F.col(c))) * F.col("times")).alias(c)
+    rest = zipped("words", "times", "heads").withColumnRenamed("words", "word").join(words, "word").select("row", word(0, "n_target", "m_target"), word(1, "n_all", "m_all"))
+    # the bigrams that tasks don't hold
+    cold = zipped("v", "w", "n").join(bigrams, ["v", "w"]).select("row", *((-F.col(c) * F.col("n")).alias(c) for c in COUNTS))
+    parts = rest.union(cold).groupBy("row").agg(F.sum("n_target").alias("rt"), F.sum("n_all").alias("rb"))
+    x = base.select("row", "doc_id", "n_tokens", "t", "b").join(parts, "row", "left")
     mean = lambda a, b: F.when(F.col("n_tokens") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_tokens"))
     out = x.select("doc_id", "n_tokens", mean("t", "rt").alias("target_loss"), mean("b", "rb").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int = KEPT) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = None, held: int = HELD) -> DataFrame:
     """Scores of all documents; ``good`` holds the doc_ids of the target's documents."""
-    return score(docs, *fit(docs, good, mu, kept))
+    return score(docs, *fit(docs, good, mu, kept, held))
