@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.llm.common import bit_map, marked, settle
+from tideline.llm.common import bit_map, marked, release, settle
 
 #: At most so many words, and so many bigrams, are in the model of each task; all others are joined.
 KEPT = HELD = 1 << 19
@@ -49,9 +49,11 @@ MU = 20.0
 WORDS = "lower"
 COUNTS = ["n_target", "n_all"]
 #: Tokens that a task counts at a time.
-FLUSH = 1_500_000
-#: Bits of the map of labelled doc_ids (2 MB); what it lets through falsely, a join drops.
-MAP_BITS = 1 << 24
+FLUSH = 500_000
+#: Rows that are picked at a time, so that a batch of texts isn't copied whole.
+PICK = 256
+#: Bits of the map of labelled doc_ids (8 MB); what it lets through falsely, a join tells.
+MAP_BITS = 1 << 26
 #: Bits of the map of bigrams that are kept and that tasks don't hold (8 MB); what it lets through falsely finds no partner.
 PAIR_BITS = 1 << 26
 
@@ -77,55 +79,85 @@ def places(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, sorted_[at] == x
 
 
-def counted(docs: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str], n: str) -> DataFrame:
-    """(*names, n_target, n_all): how often the keys stand in the texts by task, as column ``n``; the other one is 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            x = [np.concatenate(c) for c in zip(*held)]
-            held.clear()
-            order = np.lexsort(x[::-1])
-            x = [c[order] for c in x]
-            new = np.zeros(len(order), bool)
-            new[:1] = True
-            for c in x:
-                new[1:] |= c[1:] != c[:-1]
-            at = np.flatnonzero(new)
-            times = {n: pa.array(np.diff(np.r_[at, len(order)]), pa.int64())}
-            zero = pa.array(np.zeros(len(at), np.int64))
-            return pa.RecordBatch.from_arrays([*(tokens.long_column(c[at]) for c in x), *(times.get(c, zero) for c in COUNTS)], [*names, *COUNTS])
-
-        for batch in batches:
-            for _, w in tokens.slices(batch, "text", WORDS):
-                held.append(keys(w))
-                if sum(len(x[0]) for x in held) > FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, *COUNTS]))
-
-
-def both_counts(docs: DataFrame, good: DataFrame, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """(*names, n_target, n_all): counts in the target's texts and in all."""
-    each = counted(docs, keys, names, "n_all").union(counted(good, keys, names, "n_target"))
-    return each.groupBy(*names).agg(*(F.sum(c).alias(c) for c in COUNTS))
-
-
-def target_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """(text) of the rows whose doc_id is in ``good``: a scan with a bit map first, then an exact join of what is left."""
-    ids = good.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, "doc_id", MAP_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(marked(batch.column(2).to_numpy(), shared.value))).select(["doc_id", "text"])
-
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    maybe = own.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))).mapInArrow(run, "doc_id long, text string")
-    return maybe.join(ids, "doc_id", "left_semi").select("text")
+def sums(keys: list[np.ndarray], good: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct keys, how often they stand where ``good`` is set, and how often in all."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    upto = np.r_[0, np.cumsum(good[order])]
+    ends = np.r_[at[1:], len(order)]
+    return [k[at] for k in keys], upto[ends] - upto[at], ends - at
+
+
+class Texts:
+    """All texts, each once, and whether it is the target's."""
+
+    def __init__(self, docs: DataFrame, good: DataFrame):
+        """A scan with a bit map tells most of the other texts; those it lets through are joined with the ids and written down."""
+        ids = settle(good.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "ids")
+        self.map = docs.sparkSession.sparkContext.broadcast(bit_map(ids, "doc_id", MAP_BITS))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
+        maybe = self.docs.mapInArrow(self._let(True), "doc_id long, text string")
+        self.maybe = settle(maybe.join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")), "labelled")
+
+    def _let(self, through: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared = self.map
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = marked(batch.column(2).to_numpy(), shared.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                for i in range(0, len(ok), PICK):
+                    yield batch.slice(i, PICK).select(["doc_id", "text"]).filter(pa.array(ok[i : i + PICK] == through))
+
+        return run
+
+    def counts(self, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str], bits: int = 64) -> DataFrame:
+        """(*names, n_target, n_all): how often the keys stand in the target's texts and in all; counted within a task first.
+        Two keys under 2 ** ``bits`` each are sorted as one."""
+
+        def tally(x: list[np.ndarray], good: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+            if bits > 31 or len(x) != 2:
+                return sums(x, good)
+            one, top = np.uint64(1), np.uint64(1 << bits)
+            small = (x[0] < top) & (x[1] < top)
+            packed = np.sort((x[0][small] << np.uint64(bits + 1)) | (x[1][small] << one) | good[small])
+            key = packed >> one
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            ends = np.r_[at[1:], len(key)][: len(at)]
+            upto = np.r_[0, np.cumsum((packed & one).astype(np.int64))]
+            other, t, n = sums([c[~small] for c in x], good[~small])
+            first = [key[at] >> np.uint64(bits), key[at] & (top - one)]
+            return [np.r_[a, b] for a, b in zip(first, other)], np.r_[upto[ends] - upto[at], t], np.r_[ends - at, n]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                *x, good = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                x, t, n = tally(x, good.astype(np.uint64))
+                return pa.RecordBatch.from_arrays([*map(tokens.long_column, x), pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], [*names, *COUNTS])
+
+            for batch in batches:
+                for rows, w in tokens.slices(batch, "text", WORDS):
+                    is_good = rows.column(1).to_numpy(zero_copy_only=False) if rows.schema.names[1] == "good" else np.zeros(w.n_rows, bool)
+                    held.append([*keys(w), is_good[w.row]])
+                    size += len(held[-1][0])
+                    if size > FLUSH:
+                        yield flush()
+                        size = 0
+            if held:
+                yield flush()
+
+        schema, let = ", ".join(f"{c} long" for c in [*names, *COUNTS]), self._let(False)
+        rest = self.docs.mapInArrow(lambda batches: count(b.select(["text", "doc_id"]) for b in let(batches)), schema)
+        each = rest.union(self.maybe.mapInArrow(count, schema))
+        return each.groupBy(*names).agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def codes(words: np.ndarray, w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,8 +265,8 @@ def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = Non
     bigrams they begin; and (v, w, n_target, n_all) of the kept bigrams that tasks don't hold, the counts as bits they lose less.
     With ``kept``, bigrams with a share under 1 / ``kept`` are pruned as well."""
     spark = docs.sparkSession
-    target = settle(target_texts(docs, good), "target")
-    words = settle(both_counts(docs, target, lambda w: [w.hash], ["word"]), "words")
+    texts = Texts(docs, good)
+    words = settle(texts.counts(lambda w: [w.hash], ["word"]), "words")
     totals = tuple(x or 0 for x in words.agg(F.sum("n_target"), F.sum("n_all"), F.count(F.lit(1))).first())
     often = top(words, held)
     sign = spark.createDataFrame([(int(START), 0, 0)], "word long, n_target long, n_all long")
@@ -242,7 +274,8 @@ def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = Non
     n = len(model.words)
     shared = spark.sparkContext.broadcast(model.words)
     least = max(MIN_COUNT, -(-totals[1] // kept)) if kept else MIN_COUNT
-    pairs = settle(both_counts(docs, target, lambda w: list(codes(shared.value, w)[:2]), ["v", "w"]).where(F.col("n_all") >= least), "pairs")
+    pairs = settle(texts.counts(lambda w: list(codes(shared.value, w)[:2]), ["v", "w"], n.bit_length()).where(F.col("n_all") >= least), "pairs")
+    release(texts.maybe)
 
     inside = numbered("v", n) & numbered("w", n)
     hot = inside & (F.col("n_all") >= top(pairs.where(inside), held))
@@ -277,15 +310,15 @@ def tallied(n_rows: int, row: np.ndarray, keys: list[np.ndarray], weights: list[
         new[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(new)
     ends = pa.array(np.searchsorted(row[at], np.arange(n_rows + 1)).astype(np.int32))
-    sums = [np.add.reduceat(x[order], at) if len(at) else np.zeros(0, np.int64) for x in weights]
+    totals = [np.add.reduceat(x[order], at) if len(at) else np.zeros(0, np.int64) for x in weights]
     lists = [pa.ListArray.from_arrays(ends, tokens.long_column(k[at])) for k in keys]
-    return *lists, *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in sums)
+    return *lists, *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in totals)
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) in bits a word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    lists = {"words": "bigint", "times": "int", "heads": "int", "v": "bigint", "w": "bigint", "n": "int"}
+    lists = {"words": "bigint", "times": "int", "heads": "int", "v": "bigint", "w": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -294,12 +327,13 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame) -
                 v, x, head, known = codes(m.words, w)
                 maybe, losses = m.losses(v, x, head, known)
                 row = w.row
-                sums = [np.bincount(row, weights=x, minlength=w.n_rows) for x in losses]
+                lost = [np.bincount(row, weights=y, minlength=w.n_rows) for y in losses]
                 ends = np.repeat([1, 0], [(~known).sum(), (~head).sum()])
                 rest = tallied(w.n_rows, np.r_[row[~known], row[~head]], [np.r_[x[~known], v[~head]]], [ends, 1 - ends])
-                cold = tallied(w.n_rows, row[maybe], [v[maybe], x[maybe]], [np.ones(maybe.sum(), np.int64)])
+                at = pa.array(np.searchsorted(np.flatnonzero(maybe), w.first).astype(np.int32))
+                cold = [pa.ListArray.from_arrays(at, tokens.long_column(c[maybe])) for c in (v, x)]
                 doc_id, number = (rows.column(rows.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "row"))
-                yield pa.RecordBatch.from_arrays([number, doc_id, pa.array(w.counts, pa.int64()), *map(pa.array, sums), *rest, *cold], ["row", "doc_id", "n_tokens", "t", "b", *lists])
+                yield pa.RecordBatch.from_arrays([number, doc_id, pa.array(w.counts, pa.int64()), *map(pa.array, lost), *rest, *cold], ["row", "doc_id", "n_tokens", "t", "b", *lists])
 
     numbers = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     base = settle(numbers.mapInArrow(run, "row long, doc_id long, n_tokens long, t double, b double, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items())), "scored")
@@ -308,7 +342,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame) -
     word = lambda kind, c, m: (F.log2(F.col(m) * model.scale(kind) + model.mu) * F.col("heads") - F.log2(model.one(kind, F.col(c))) * F.col("times")).alias(c)
     rest = zipped("words", "times", "heads").withColumnRenamed("words", "word").join(words, "word").select("row", word(0, "n_target", "m_target"), word(1, "n_all", "m_all"))
     # the bigrams that tasks don't hold
-    cold = zipped("v", "w", "n").join(bigrams, ["v", "w"]).select("row", *((-F.col(c) * F.col("n")).alias(c) for c in COUNTS))
+    cold = zipped("v", "w").join(bigrams, ["v", "w"]).select("row", *((-F.col(c)).alias(c) for c in COUNTS))
     parts = rest.union(cold).groupBy("row").agg(F.sum("n_target").alias("rt"), F.sum("n_all").alias("rb"))
     x = base.select("row", "doc_id", "n_tokens", "t", "b").join(parts, "row", "left")
     mean = lambda a, b: F.when(F.col("n_tokens") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_tokens"))
