@@ -9,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, license_scan, lm_score, minhash, mixing, phrases, quality, sharding, tokens, toxicity, url_filter
+from tideline.llm import decontaminate, license_scan, lm_score, minhash, mixing, packed, phrases, quality, sharding, tokens, toxicity, url_filter
 from tideline.llm.components import components
 
 SPACE, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -189,6 +190,65 @@ def test_lm_score_joins_what_tasks_do_not_hold(spark, docs, held):
     assert shown == brute_lm(rows, good, 5.0, 1 << 30)[0]
 
 
+def test_packed_pairs_are_what_they_were():
+    """Bigrams of numbers and of hashes, with all counts, in blobs of any length; one of frequent words takes some seven bytes."""
+    r = np.random.default_rng(3)
+    v = np.r_[r.integers(0, 50, 2000), r.integers(0, 1 << 63, 700), 0, -1].astype(np.int64).view(np.uint64)
+    w = np.r_[r.integers(0, 1 << 19, 2000), r.integers(-(1 << 63), 1 << 63, 700), 0, -1].astype(np.int64).view(np.uint64)
+    ends = np.array([0, 1, 900, len(v)])
+    order = np.concatenate([a + np.lexsort((w[a:b], v[a:b])) for a, b in zip(ends, ends[1:])])
+    n, t = np.where(np.arange(len(v)) % 9, 0, r.integers(0, 1 << 40, len(v))).astype(np.uint64), r.integers(0, 3, len(v)).astype(np.uint64)
+    table = pa.table(packed.pack_pairs(ends, v[order], w[order], n, t), ["lengths", "more", "data"])
+    got_ends, got = packed.unpack_pairs(pa.concat_tables([table.slice(2), table.slice(0, 2)]))
+    turned = np.r_[ends[2] : ends[3], 0 : ends[2]]
+    assert got_ends.tolist() == [0, *np.cumsum(np.diff(ends)[[2, 0, 1]])]
+    assert all((x == y[turned]).all() for x, y in zip(got, (v[order], w[order], n, t)))
+    key = np.sort(r.integers(0, 1 << 38, 4000).astype(np.uint64))
+    blobs = packed.pack_pairs(np.array([0, len(key)]), key >> np.uint64(19), key & np.uint64((1 << 19) - 1), *np.zeros((2, len(key)), np.uint64))
+    assert sum(len(x[0].as_py()) for x in blobs) < 7 * len(key)
+
+
+def test_lm_score_buckets():
+    """Each bigram lies in one bucket, whoever sends it; matches are exact for numbers and for hashes."""
+    r = np.random.default_rng(5)
+    v, w = (np.r_[r.integers(0, 40, 3000), r.integers(0, 1 << 62, 500)].astype(np.uint64) for _ in range(2))
+    v, w = np.unique(np.c_[v, w], axis=0).T
+    x, y = np.arange(len(v)).astype(np.uint64), np.zeros(len(v), np.uint64)
+    for n_buckets in (1, 7, 1 << 20):
+        where = {}
+        for part in (slice(0, 2000), slice(1000, None)):
+            bucket, *blobs = lm_score.bucketed(v[part], w[part], x[part], y[part], n_buckets, 6)
+            ends, got = packed.unpack_pairs(pa.table(blobs, packed.NAMES))
+            assert len(set(bucket.to_pylist())) == len(bucket) and sorted(got[2].tolist()) == x[part].tolist()
+            assert (v[got[2].view(np.int64)] == got[0]).all() and (w[got[2].view(np.int64)] == got[1]).all()
+            for i, b in zip(got[2].tolist(), np.repeat(bucket.to_numpy(), np.diff(ends)).tolist()):
+                assert where.setdefault(i, b) == b < n_buckets
+    some = r.permutation(len(v))[: len(v) // 2]
+    asked = r.integers(0, len(v), 4000)
+    at = lm_score.matches(v[asked], w[asked], v[some], w[some], 6)
+    place = {int(i): k for k, i in enumerate(some)}
+    assert at.tolist() == [place.get(int(i), -1) for i in asked]
+    assert lm_score.buckets(0) == 1 and lm_score.buckets(10**13) * (1 << 22) > 10**13
+
+
+def test_lm_score_shuffles_few_bytes(spark):
+    """Bigrams were rows of three or four long numbers in two shuffles: eleven bytes for each word of such texts in all shuffles."""
+    r = np.random.default_rng(8)
+    words = (r.random((1500, 200)) ** 2 * 6000).astype(int)
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in x), "en", "s", 1) for i, x in enumerate(words.tolist())], SCHEMA).repartition(3)
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    df = df.localCheckpoint()
+    before = written()
+    got = lm_score.cross_entropy_difference(df, df.select("doc_id").where("doc_id % 2 = 0"), held=12_000)
+    assert got.where("background_loss > 0").count() == 1500
+    assert 0 < (written() - before) / words.size < 7
+
+
 # 3
 
 

@@ -12,9 +12,10 @@ word under the target less that under the background; below zero it is nearer to
 the target.
 
 Counts are Spark tables and grow with the corpus: words and bigrams are counted in
-each task and summed by a shuffle.  A scan receives the ``HELD`` most frequent words and
+each task and summed by a shuffle.  Bigrams are dealt into buckets by their hashes, as many as the corpus needs;
+what a task has for a bucket is one row of bytes (``packed``).  A scan receives the ``HELD`` most frequent words and
 bigrams of such words and sums what they lose.  All else is exact by joins: other words get their
-losses from the word table, and for other bigrams a document gets from the bigram table what they lose less
+losses from the word table, and for other bigrams a document gets from the bigram table, bucket by bucket, what they lose less
 than their words alone.  A bit map of fixed size spares most bigrams that aren't kept that join.
 Words are told apart by 64-bit hashes, those that tasks hold by their numbers among them.
 Texts aren't shuffled, but for those that a map of fixed size takes for labelled.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm import tokens
+from tideline.llm import packed, tokens
 from tideline.llm.common import bit_map, marked, release, settle
 
 #: At most so many words, and so many bigrams, are in the model of each task; all others are joined.
@@ -50,6 +51,10 @@ WORDS = "lower"
 COUNTS = ["n_target", "n_all"]
 #: Tokens that a task counts at a time.
 FLUSH = 500_000
+#: The same for bigrams.
+PAIR_FLUSH = 3 << 19
+#: Bigrams to be joined that a task sends at a time.
+COLD_FLUSH = 1 << 20
 #: Rows that are picked at a time, so that a batch of texts isn't copied whole.
 PICK = 256
 #: Bits of the map of labelled doc_ids (8 MB); what it lets through falsely, a join tells.
@@ -58,14 +63,6 @@ MAP_BITS = 1 << 26
 PAIR_BITS = 1 << 26
 
 
-def before(w: tokens.Words) -> np.ndarray:
-    """The word before each word, or START."""
-    out = np.empty_like(w.hash)
-    out[1:] = w.hash[:-1]
-    out[w.first[:-1][w.counts > 0]] = START
-    return out
-
-
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A bigram of two words' numbers."""
     return (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
@@ -115,63 +112,152 @@ class Texts:
 
         return run
 
-    def counts(self, keys: Callable[[tokens.Words], list[np.ndarray]], names: list[str], bits: int = 64) -> DataFrame:
-        """(*names, n_target, n_all): how often the keys stand in the target's texts and in all; counted within a task first.
-        Two keys under 2 ** ``bits`` each are sorted as one."""
-
-        def tally(x: list[np.ndarray], good: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-            if bits > 31 or len(x) != 2:
-                return sums(x, good)
-            one, top = np.uint64(1), np.uint64(1 << bits)
-            small = (x[0] < top) & (x[1] < top)
-            packed = np.sort((x[0][small] << np.uint64(bits + 1)) | (x[1][small] << one) | good[small])
-            key = packed >> one
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            ends = np.r_[at[1:], len(key)][: len(at)]
-            upto = np.r_[0, np.cumsum((packed & one).astype(np.int64))]
-            other, t, n = sums([c[~small] for c in x], good[~small])
-            first = [key[at] >> np.uint64(bits), key[at] & (top - one)]
-            return [np.r_[a, b] for a, b in zip(first, other)], np.r_[upto[ends] - upto[at], t], np.r_[ends - at, n]
+    def _each(self, count: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``count`` makes of batches of texts, and whether they are the target's (a second column ``good``; without it none is)."""
+        let = self._let(False)
+        rest = self.docs.mapInArrow(lambda batches: count(b.select(["text", "doc_id"]) for b in let(batches)), schema)
+        return rest.union(self.maybe.mapInArrow(count, schema))
+
+    def words(self) -> DataFrame:
+        """(word, n_target, n_all): how often the words stand in the target's texts and in all; counted within a task first."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[list[np.ndarray]] = []
-            size = 0
+            for held in flushes(batches, lambda w: [w.hash], FLUSH):
+                (x,), t, n = sums(held[:1], held[1])
+                yield pa.RecordBatch.from_arrays([tokens.long_column(x), pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", *COUNTS])
 
-            def flush() -> pa.RecordBatch:
-                *x, good = (np.concatenate(c) for c in zip(*held))
-                held.clear()
-                x, t, n = tally(x, good.astype(np.uint64))
-                return pa.RecordBatch.from_arrays([*map(tokens.long_column, x), pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], [*names, *COUNTS])
+        return self._each(count, "word long, n_target long, n_all long").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
-            for batch in batches:
-                for rows, w in tokens.slices(batch, "text", WORDS):
-                    is_good = rows.column(1).to_numpy(zero_copy_only=False) if rows.schema.names[1] == "good" else np.zeros(w.n_rows, bool)
-                    held.append([*keys(w), is_good[w.row]])
-                    size += len(held[-1][0])
-                    if size > FLUSH:
-                        yield flush()
-                        size = 0
-            if held:
-                yield flush()
+    def pairs(self, shared, n_buckets: int, least: int) -> DataFrame:
+        """(v, w, n_target, n_all) of the bigrams of ``codes`` with ``least`` places; tasks count ``PAIR_FLUSH`` words at a time and
+        send what they counted packed, by buckets of bigrams."""
+        bits = len(shared.value).bit_length()
 
-        schema, let = ", ".join(f"{c} long" for c in [*names, *COUNTS]), self._let(False)
-        rest = self.docs.mapInArrow(lambda batches: count(b.select(["text", "doc_id"]) for b in let(batches)), schema)
-        each = rest.union(self.maybe.mapInArrow(count, schema))
-        return each.groupBy(*names).agg(*(F.sum(c).alias(c) for c in COUNTS))
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in flushes(batches, lambda x: list(codes(shared.value, x)[:2]), PAIR_FLUSH):
+                for (v, w), t, n in tally(*held, bits):
+                    yield pa.RecordBatch.from_arrays(bucketed(v, w, (n - 1).astype(np.uint64), t.astype(np.uint64), n_buckets), ["bucket", *packed.NAMES])
+
+        def merge(blobs: pa.Table) -> pa.Table:
+            _, (v, w, more, good) = packed.unpack_pairs(blobs)
+            done = []
+            for keys, (n, t) in merged(v, w, [more.view(np.int64) + 1, good.view(np.int64)], bits):
+                kept = n >= least
+                done.append(pa.table([tokens.long_column(x[kept]) for x in keys] + [pa.array(t[kept]), pa.array(n[kept])], ["v", "w", *COUNTS]))
+            return pa.concat_tables(done)
+
+        return self._each(count, f"bucket int, {packed.SCHEMA}").groupBy("bucket").applyInArrow(merge, "v long, w long, n_target long, n_all long")
+
+
+def flushes(batches: Iterator[pa.RecordBatch], keys: Callable[[tokens.Words], list[np.ndarray]], most: int) -> Iterator[list[np.ndarray]]:
+    """The keys of the words of some ``most`` words' texts at a time, and whether each is the target's."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def flush() -> list[np.ndarray]:
+        out = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        return out
+
+    for batch in batches:
+        for rows, w in tokens.slices(batch, "text", WORDS):
+            is_good = rows.column(1).to_numpy(zero_copy_only=False) if rows.schema.names[1] == "good" else np.zeros(w.n_rows, bool)
+            held.append([*keys(w), is_good[w.row]])
+            size += len(held[-1][0])
+            if size > most:
+                yield flush()
+                size = 0
+    if size:
+        yield flush()
+
+
+def tally(v: np.ndarray, w: np.ndarray, good: np.ndarray, bits: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """As ``sums``, of bigrams: first those of two codes under 2 ** ``bits``, which are sorted as one key, then the others."""
+    one, top = np.uint64(1), np.uint64(1 << bits)
+    small = (v < top) & (w < top)
+    keys = (v[small] << np.uint64(bits + 1)) | (w[small] << one) | good[small]
+    keys.sort()
+    key = keys >> one
+    if len(key):
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[at[1:], len(key)]
+        upto = np.r_[0, np.cumsum((keys & one).astype(np.int64))]
+        yield [key[at] >> np.uint64(bits), key[at] & (top - one)], upto[ends] - upto[at], ends - at
+    if not small.all():
+        yield sums([v[~small], w[~small]], good[~small])
+
+
+def merged(v: np.ndarray, w: np.ndarray, weights: list[np.ndarray], bits: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """The distinct bigrams and the sums of their weights, in two parts as ``tally``."""
+    top = np.uint64(1 << bits)
+    small = (v < top) & (w < top)
+    for part, one_key in ((small, True), (~small, False)):
+        a, b = v[part], w[part]
+        order = np.argsort((a << np.uint64(bits)) | b) if one_key else np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(new)
+        yield [a[at], b[at]], [np.add.reduceat(x[part][order], at) if len(at) else x[:0] for x in weights]
 
 
 def codes(words: np.ndarray, w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each word and the one before it by their numbers among ``words``, or else their hashes, and which have numbers."""
-    out = []
-    for x in (before(w), w.hash):
-        at, known = places(words, x)
-        out += [np.where(known, at.astype(np.uint64), x), known]
-    return out[0], out[2], out[1], out[3]
+    at, known = places(words, w.hash)
+    code = np.where(known, at.astype(np.uint64), w.hash)
+    start, start_known = places(words, np.array([START]))
+    begins = w.first[:-1][w.counts > 0]
+    v, head = np.empty_like(code), np.empty_like(known)
+    v[1:], head[1:] = code[:-1], known[:-1]
+    v[begins], head[begins] = start.astype(np.uint64) if start_known[0] else START, start_known[0]
+    return v, code, head, known
+
+
+def hashed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of a bigram of two codes."""
+    return tokens.mix(tokens.mix(v) + w)
+
+
+def buckets(n_tokens: int) -> int:
+    """Into how many buckets bigrams are dealt: those of a bucket have 2^19 to 2^22 places."""
+    return n_tokens // min(1 << 22, max(1 << 19, n_tokens >> 12)) + 1
+
+
+def bucketed(v: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray, n_buckets: int, bits: int = 0) -> list[pa.Array]:
+    """The numbers and blobs of the buckets of some bigrams with two more columns each; with ``bits`` they are sorted first."""
+    order = np.argsort((v << np.uint64(bits)) | w) if bits else np.arange(len(v))
+    b = ((hashed(v, w) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
+    order = order[np.argsort(b[order], kind="stable")]
+    b = b[order]
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    return [pa.array(b[at].astype(np.int32)), *packed.pack_pairs(np.r_[at, len(b)], *(c[order] for c in (v, w, x, y)))]
+
+
+def matches(v: np.ndarray, w: np.ndarray, of_v: np.ndarray, of_w: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bigram (v, w) stands among distinct others, or -1."""
+    out = np.full(len(v), -1)
+    top = np.uint64(1 << bits)
+    mine, other = (v < top) & (w < top), (of_v < top) & (of_w < top)
+    for a, b in ((mine, other), (~mine, ~other)):
+        a, b = np.flatnonzero(a), np.flatnonzero(b)
+        if len(a) and len(b):
+            x, y = [v[a], w[a]], [of_v[b], of_w[b]]
+            shift = np.uint64(bits)
+            if v[a[0]] >= top or w[a[0]] >= top:
+                shift, values = np.uint64(32), [np.unique(c) for c in y]
+                known = [places(u, c) for u, c in zip(values, x)]
+                a = a[known[0][1] & known[1][1]]
+                x, y = ([np.searchsorted(u, c).astype(np.uint64) for u, c in zip(values, z)] for z in ([v[a], w[a]], y))
+            key = y[0] << shift | y[1]
+            order = np.argsort(key)
+            at, found = places(key[order], x[0] << shift | x[1])
+            out[a[found]] = b[order][at[found]]
+    return out
 
 
 def spots(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The place of a bigram of two codes in the bit map."""
-    return (tokens.mix(tokens.mix(v) + w) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+    return (hashed(v, w) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
 
 
 def spot_map(cold: DataFrame) -> np.ndarray:
@@ -205,7 +291,7 @@ class Model:
 
     def __init__(self, words: pa.Table, totals: tuple[int, int, int], mu: float):
         self.good, self.every, self.n_words = totals
-        self.mu, self.total = mu, self.good or self.every
+        self.mu, self.total, self.n_buckets = mu, self.good or self.every, buckets(self.every)
         self.words, *word_counts = self._sorted(words, "word")
         self.word_loss = [self.one(kind, n) for kind, n in enumerate(word_counts)]
 
@@ -262,11 +348,12 @@ def numbered(column: str, n: int):
 
 def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = None, held: int = HELD) -> tuple[Model, DataFrame, DataFrame]:
     """The model of each task; (word, n_target, n_all, m_target, m_all) of the words that tasks don't hold, with the kept places of
-    bigrams they begin; and (v, w, n_target, n_all) of the kept bigrams that tasks don't hold, the counts as bits they lose less.
+    bigrams they begin; and, packed by buckets, the kept bigrams that tasks don't hold, with their counts in the target and in all, or
+    else (``less``) with the bits that they lose less.
     With ``kept``, bigrams with a share under 1 / ``kept`` are pruned as well."""
     spark = docs.sparkSession
     texts = Texts(docs, good)
-    words = settle(texts.counts(lambda w: [w.hash], ["word"]), "words")
+    words = settle(texts.words(), "words")
     totals = tuple(x or 0 for x in words.agg(F.sum("n_target"), F.sum("n_all"), F.count(F.lit(1))).first())
     often = top(words, held)
     sign = spark.createDataFrame([(int(START), 0, 0)], "word long, n_target long, n_all long")
@@ -274,7 +361,7 @@ def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = Non
     n = len(model.words)
     shared = spark.sparkContext.broadcast(model.words)
     least = max(MIN_COUNT, -(-totals[1] // kept)) if kept else MIN_COUNT
-    pairs = settle(texts.counts(lambda w: list(codes(shared.value, w)[:2]), ["v", "w"], n.bit_length()).where(F.col("n_all") >= least), "pairs")
+    pairs = settle(texts.pairs(shared, model.n_buckets, least), "pairs")
     release(texts.maybe)
 
     inside = numbered("v", n) & numbered("w", n)
@@ -284,20 +371,18 @@ def fit(docs: DataFrame, good: DataFrame, mu: float = MU, kept: int | None = Non
     one_key = F.call_function("shiftleft", F.col("v"), F.lit(32)).bitwiseOR(F.col("w")).alias("pair")
     model.take(pairs.where(hot).select(one_key, *COUNTS).toArrow(), mass.where(numbered("v", n)).toArrow(), spot_map(cold))
 
-    def saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = arrays.value
+    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, w, *c = (batch.column(i).to_numpy() for i in range(4))
-            out = [np.log2(1 + c[kind] * m.scale(kind) / (m.mu * m.word_loss[kind][w])) for kind in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v, w, *out)], ["v", "w", *COUNTS])
+            out = bucketed(*(batch.column(i).to_numpy().view(np.uint64) for i in range(4)), n_buckets, bits)
+            yield pa.RecordBatch.from_arrays([*out, pa.repeat(pa.types.is_floating(batch.column(2).type), len(out[0]))], ["bucket", *packed.NAMES, "less"])
 
-    arrays = spark.sparkContext.broadcast(model)
-    known = cold.where(numbered("w", n)).mapInArrow(saved, "v long, w long, n_target double, n_all double")
+    n_buckets, bits, schema = model.n_buckets, n.bit_length(), f"bucket int, {packed.SCHEMA}, less boolean"
+    known = cold.where(numbered("w", n))
     own = words.where(F.col("n_all") < often)
     less = lambda kind, c: F.log2(1 + F.col(f"p.{c}") * model.scale(kind) / (mu * model.one(kind, F.col(f"o.{c}")))).alias(c)
     other = cold.where(~numbered("w", n)).alias("p").join(own.alias("o"), F.col("p.w") == F.col("o.word")).select("v", "w", less(0, "n_target"), less(1, "n_all"))
     heads = mass.where(~numbered("v", n)).select(F.col("v").alias("word"), F.col("n_target").alias("m_target"), F.col("n_all").alias("m_all"))
-    return model, own.join(heads, "word", "left").fillna(0, ["m_target", "m_all"]), known.union(other)
+    return model, own.join(heads, "word", "left").fillna(0, ["m_target", "m_all"]), known.mapInArrow(box, schema).union(other.mapInArrow(box, schema))
 
 
 def tallied(n_rows: int, row: np.ndarray, keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[pa.Array, ...]:
@@ -318,10 +403,19 @@ def tallied(n_rows: int, row: np.ndarray, keys: list[np.ndarray], weights: list[
 def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) in bits a word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    lists = {"words": "bigint", "times": "int", "heads": "int", "v": "bigint", "w": "bigint"}
+    bits, n_buckets = len(model.words).bit_length(), model.n_buckets
+    schema = "row long, doc_id long, n_tokens long, t double, b double, words array<bigint>, times array<int>, heads array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def sent(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        v, w, row = (np.concatenate(c) for c in zip(*held))
+        out = bucketed(v, w, (row - row.min()).view(np.uint64), np.zeros(len(v), np.uint64), n_buckets, bits)
+        types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(out[0]), t) for t in types), *out, pa.repeat(pa.scalar(row.min(), pa.int64()), len(out[0]))], [*names, "bucket", *packed.NAMES, "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for rows, w in tokens.slices(batch, "text", WORDS):
                 v, x, head, known = codes(m.words, w)
@@ -330,19 +424,46 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame) -
                 lost = [np.bincount(row, weights=y, minlength=w.n_rows) for y in losses]
                 ends = np.repeat([1, 0], [(~known).sum(), (~head).sum()])
                 rest = tallied(w.n_rows, np.r_[row[~known], row[~head]], [np.r_[x[~known], v[~head]]], [ends, 1 - ends])
-                at = pa.array(np.searchsorted(np.flatnonzero(maybe), w.first).astype(np.int32))
-                cold = [pa.ListArray.from_arrays(at, tokens.long_column(c[maybe])) for c in (v, x)]
                 doc_id, number = (rows.column(rows.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "row"))
-                yield pa.RecordBatch.from_arrays([number, doc_id, pa.array(w.counts, pa.int64()), *map(pa.array, lost), *rest, *cold], ["row", "doc_id", "n_tokens", "t", "b", *lists])
+                none = [pa.nulls(w.n_rows, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([number, doc_id, pa.array(w.counts, pa.int64()), *map(pa.array, lost), *rest, *none], [*names, "bucket", *packed.NAMES, "first"])
+                if maybe.any():
+                    held.append([v[maybe], x[maybe], number.to_numpy()[row[maybe]]])
+                if sum(len(c[0]) for c in held) > COLD_FLUSH:
+                    yield sent(held)
+                    held.clear()
+        if held:
+            yield sent(held)
+
+    def look(mine: pa.Table, table: pa.Table) -> pa.Table:
+        """What the rows lose less by the bigrams of a bucket."""
+        if not mine.num_rows or not table.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.float64())], ["row", *COUNTS])
+        m = shared.value
+        at, (v, w, row, _) = packed.unpack_pairs(mine)
+        row = row.view(np.int64) + np.repeat(mine.column("first").to_numpy(), np.diff(at))
+        ends, (of_v, of_w, *c) = packed.unpack_pairs(table)
+        less = np.repeat(table.column("less").to_numpy(), np.diff(ends))
+        i = matches(v, w, of_v, of_w, bits)
+        row, i = row[i >= 0], i[i >= 0]
+        rows, of = np.unique(row, return_inverse=True)
+        out = []
+        for kind in (0, 1):
+            saved = c[kind].view(np.float64).copy()
+            saved[~less] = np.log2(1 + c[kind][~less] * m.scale(kind) / (m.mu * m.word_loss[kind][of_w[~less].view(np.int64)]))
+            out.append(-np.bincount(of, weights=saved[i], minlength=len(rows)))
+        return pa.table([pa.array(x) for x in (rows, *out)], ["row", *COUNTS])
 
     numbers = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    base = settle(numbers.mapInArrow(run, "row long, doc_id long, n_tokens long, t double, b double, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items())), "scored")
+    both = settle(numbers.mapInArrow(run, f"{schema}, bucket int, {packed.SCHEMA}, first long"), "scored")
+    base = both.where("bucket IS NULL")
     zipped = lambda *c: base.select("row", F.inline(F.arrays_zip(*c)))
     # the words that tasks don't hold: each has its losses, as a word and as the one before, from the word table
     word = lambda kind, c, m: (F.log2(F.col(m) * model.scale(kind) + model.mu) * F.col("heads") - F.log2(model.one(kind, F.col(c))) * F.col("times")).alias(c)
     rest = zipped("words", "times", "heads").withColumnRenamed("words", "word").join(words, "word").select("row", word(0, "n_target", "m_target"), word(1, "n_all", "m_all"))
     # the bigrams that tasks don't hold
-    cold = zipped("v", "w").join(bigrams, ["v", "w"]).select("row", *((-F.col(c)).alias(c) for c in COUNTS))
+    mine = both.where("bucket IS NOT NULL").select("bucket", *packed.NAMES, "first")
+    cold = mine.groupBy("bucket").cogroup(bigrams.groupBy("bucket")).applyInArrow(look, "row long, n_target double, n_all double")
     parts = rest.union(cold).groupBy("row").agg(F.sum("n_target").alias("rt"), F.sum("n_all").alias("rb"))
     x = base.select("row", "doc_id", "n_tokens", "t", "b").join(parts, "row", "left")
     mean = lambda a, b: F.when(F.col("n_tokens") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_tokens"))
